@@ -144,13 +144,17 @@ def adapter_size_findings(
     )
 
 
+def is_model_config() -> Column:
+    name = F.col("name")
+    return F.endswith(name, F.lit(".json")) & (
+        F.contains(F.lower(name), F.lit("adapter")) | (name == "config.json")
+    )
+
+
 def config_keyword_findings(texts: DataFrame, keywords: Sequence[str] = rules.CONFIG_KEYWORDS) -> DataFrame:
     """One finding per adapter or model config that mentions trigger words."""
     name, words = F.col("name"), F.col("_words")
-    is_config = F.endswith(name, F.lit(".json")) & (
-        F.contains(F.lower(name), F.lit("adapter")) | (name == "config.json")
-    )
-    rows = texts.where(is_config).withColumn("_words", words_found(F.lower("text"), keywords))
+    rows = texts.where(is_model_config()).withColumn("_words", words_found(F.lower("text"), keywords))
     return findings_from_flags(
         rows,
         [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions.paths import at_root, base_name, named
 from hubwarden.functions.text import any_of
-from hubwarden.operators.findings import evidence, finding, first_n, label_checks, unite
+from hubwarden.operators.findings import evidence, finding, first_n, label_checks
 from hubwarden.operators.patterns import Family, find_rules
 from hubwarden.sources.text import text_lines
 
@@ -123,7 +123,3 @@ def requirement_findings(texts: DataFrame, shown: int = 10) -> DataFrame:
         F.col("file"),
     )
 
-
-def audit_project(texts: DataFrame) -> DataFrame:
-    """All training-project checks over scripts, configs, .env and requirements texts."""
-    return unite([script_and_config_findings(texts), env_findings(texts), requirement_findings(texts)])

@@ -13,7 +13,7 @@ from hubwarden import rules
 from hubwarden.functions import jsonv
 from hubwarden.functions.paths import at_root
 from hubwarden.functions.text import any_of
-from hubwarden.operators.findings import evidence, finding, findings_from_flags, unite
+from hubwarden.operators.findings import evidence, finding, findings_from_flags
 
 DATA_GLOBS = ("*.json", "*.jsonl", "*.csv")
 
@@ -141,7 +141,3 @@ def source_url_findings(texts: DataFrame) -> DataFrame:
         F.col("file"),
     )
 
-
-def verify_provenance(flags: DataFrame, texts: DataFrame) -> DataFrame:
-    """All provenance checks. ``flags``: one row per target; ``texts``: root JSON files."""
-    return unite([presence_findings(flags), provenance_findings(texts), source_url_findings(texts)])
