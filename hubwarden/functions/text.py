@@ -7,15 +7,24 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from hubwarden.rules import Pattern
 
 # Characters outside ASCII that a case-insensitive match equates with an ASCII
-# letter: long s, dotless i, dotted I, Kelvin sign.
-_FOLD_FROM, _FOLD_TO = "ſıİK", "siik"
+# letter although lower-casing does not: long s, dotless i, dotted I, Kelvin sign.
+ODD_CASE = ("\u017f", "\u0131", "\u0130", "\u212a")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections use several times.
+
+    Catalyst copies a plain column's expression into every filter above it; a
+    generator's output is computed once per row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -26,30 +35,30 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return any_of(F.contains(text, F.lit(w)) for w in words)
 
 
-def fold_case(text: Column) -> Column:
-    """Lower case such that a literal search finds what ``(?iU)`` would match."""
-    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
-
-
 def java_regex(pattern: Pattern) -> str:
     """Unicode classes, ``.`` stops only at ``\\n``; optionally any case."""
     return ("(?idU)" if pattern.ignore_case else "(?dU)") + pattern.regex
 
 
-def may_match(text: Column, folded: Column, pattern: Pattern) -> Column:
-    """Cheap necessary condition for ``pattern`` to match ``text``."""
+def may_match(text: Column, lowered: Column, odd: Column, pattern: Pattern) -> Column:
+    """Cheap necessary condition for ``pattern`` to match ``text``.
+
+    ``odd``: the text holds a character of ``ODD_CASE``, so that its lower-cased
+    form proves nothing.
+    """
     if not pattern.needles:
         return F.lit(True)
-    return contains_any(folded if pattern.ignore_case else text, pattern.needles)
+    if not pattern.ignore_case:
+        return contains_any(text, pattern.needles)
+    return odd | contains_any(lowered, pattern.needles)
 
 
-def match_count(text: Column, folded: Column, pattern: Pattern) -> Column:
-    hits = F.regexp_count(text, F.lit(java_regex(pattern)))
-    return F.when(may_match(text, folded, pattern), hits).otherwise(F.lit(0)).cast("long")
+def match_count(text: Column, pattern: Pattern) -> Column:
+    return F.regexp_count(text, F.lit(java_regex(pattern))).cast("long")
 
 
-def is_match(text: Column, folded: Column, pattern: Pattern) -> Column:
-    return may_match(text, folded, pattern) & text.rlike(java_regex(pattern))
+def is_match(text: Column, pattern: Pattern) -> Column:
+    return text.rlike(java_regex(pattern)).cast("long")
 
 
 def words_found(text: Column, words: Iterable[str]) -> Column:
@@ -61,6 +70,11 @@ def words_missing(text: Column, words: Iterable[str]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
 
 
+def strip(text: Column) -> Column:
+    """Remove white space at both ends."""
+    return F.trim(text, F.lit(" \t\n\r\f\v"))
+
+
 def unix_newlines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hubwarden import rules
 from hubwarden.functions import jsonv
-from hubwarden.functions.text import words_found
+from hubwarden.functions.text import once, words_found
 from hubwarden.operators.findings import evidence, findings_from_flags, unite
 
 CONFIG = "adapter_config.json"
@@ -32,7 +32,7 @@ def config_fields(configs: DataFrame, text: str = "text") -> DataFrame:
     modules = jsonv.member(v, "target_modules")
     listed = F.try_variant_get(modules, "$", "array<string>")
     single = F.array(jsonv.as_string(modules))
-    parsed = configs.withColumn("_v", jsonv.parse(F.col(text)))
+    parsed = once(configs, "_v", jsonv.parse(F.col(text)))
     return parsed.select(
         *configs.columns,
         v.isNotNull().alias("readable"),
@@ -154,7 +154,8 @@ def is_model_config() -> Column:
 def config_keyword_findings(texts: DataFrame, keywords: Sequence[str] = rules.CONFIG_KEYWORDS) -> DataFrame:
     """One finding per adapter or model config that mentions trigger words."""
     name, words = F.col("name"), F.col("_words")
-    rows = texts.where(is_model_config()).withColumn("_words", words_found(F.lower("text"), keywords))
+    rows = once(texts.where(is_model_config()), "_body", F.lower("text"))
+    rows = once(rows, "_words", words_found(F.col("_body"), keywords))
     return findings_from_flags(
         rows,
         [

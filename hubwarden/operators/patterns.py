@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden.functions.text import any_of, contains_any, fold_case, is_match, match_count, may_match
+from hubwarden.functions.text import ODD_CASE, any_of, contains_any, is_match, match_count, may_match, once
 from hubwarden.rules import Pattern
 
 
@@ -32,27 +32,28 @@ class Family(NamedTuple):
 
 def _possible(family: Family) -> Column:
     """Cheap necessary condition for any rule of the family to hit."""
-    if family.mode == "phrase":
-        hit = contains_any(F.col("_lower"), family.rules)
-    elif family.mode == "literal":
-        hit = contains_any(F.col("_text"), family.rules)
-    else:
-        hit = any_of(may_match(F.col("_text"), F.col("_folded"), p) for p in family.rules)
+    hit = any_of(_gate(family, rule) for rule in family.rules)
     return hit if family.applies is None else F.col(f"_on_{family.check}") & hit
 
 
-def _matches(family: Family, rule: Pattern | str) -> Column:
+def _gate(family: Family, rule: Pattern | str) -> Column:
     if family.mode == "phrase":
-        n = F.contains(F.col("_lower"), F.lit(rule)).cast("long")
-    elif family.mode == "literal":
-        n = F.contains(F.col("_text"), F.lit(rule)).cast("long")
+        return F.contains("_lower", F.lit(rule))
+    if family.mode == "literal":
+        return F.contains("_text", F.lit(rule))
+    return may_match(F.col("_text"), F.col("_lower"), F.col("_odd"), rule)
+
+
+def _matches(family: Family, rule: Pattern | str) -> Column:
+    found = F.lit(1).cast("long")
+    if family.mode == "count":
+        found = match_count(F.col("_text"), rule)
     elif family.mode == "search":
-        n = is_match(F.col("_text"), F.col("_folded"), rule).cast("long")
-    else:
-        n = match_count(F.col("_text"), F.col("_folded"), rule)
+        found = is_match(F.col("_text"), rule)
+    gate = _gate(family, rule)
     if family.applies is not None:
-        n = F.when(F.col(f"_on_{family.check}"), n).otherwise(F.lit(0).cast("long"))
-    return n
+        gate = F.col(f"_on_{family.check}") & gate
+    return F.when(gate, found).otherwise(F.lit(0).cast("long"))
 
 
 def find_rules(df: DataFrame, text: str, families: Sequence[Family], keys: Sequence[str]) -> DataFrame:
@@ -62,12 +63,10 @@ def find_rules(df: DataFrame, text: str, families: Sequence[Family], keys: Seque
     """
     conditions = [f.applies.alias(f"_on_{f.check}") for f in families if f.applies is not None]
     rows = df.select(*keys, F.col(text).alias("_text"), *conditions)
-    if any(p.ignore_case for f in families for p in f.rules if isinstance(p, Pattern)):
-        rows = rows.withColumn("_folded", fold_case(F.col("_text")))
-    else:
-        rows = rows.withColumn("_folded", F.col("_text"))
-    if any(f.mode == "phrase" for f in families):
-        rows = rows.withColumn("_lower", F.lower(F.col("_text")))
+    if any(f.applies is not None for f in families) and all(f.applies is not None for f in families):
+        rows = rows.where(any_of(F.col(f"_on_{f.check}") for f in families))
+    rows = once(rows, "_lower", F.lower("_text"))
+    rows = once(rows, "_odd", contains_any(F.col("_text"), ODD_CASE))
     rows = rows.where(any_of(_possible(f) for f in families))
     hits = F.array(
         *[

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hubwarden import rules
 from hubwarden.functions.paths import at_root, base_name, named
-from hubwarden.functions.text import any_of
+from hubwarden.functions.text import any_of, strip
 from hubwarden.operators.findings import evidence, finding, first_n, label_checks
 from hubwarden.operators.patterns import Family, find_rules
 from hubwarden.sources.text import text_lines
@@ -71,11 +71,11 @@ def script_and_config_findings(texts: DataFrame, families: Sequence[Family] | No
 
 def env_assignments(lines: DataFrame, line: str = "line") -> DataFrame:
     """Split ``key=value`` lines; comments and lines without '=' are dropped, quotes removed."""
-    body = F.trim(F.col(line))
+    body = strip(F.col(line))
     value = F.regexp_extract(body, "(?s)^[^=]*=(.*)$", 1)
-    bare = F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", "")
+    bare = F.regexp_replace(strip(value), "^[\"']+|[\"']+$", "")
     kept = lines.where(~F.startswith(body, F.lit("#")) & F.contains(body, F.lit("=")))
-    return kept.withColumns({"key": F.trim(F.substring_index(body, "=", 1)), "value": bare})
+    return kept.withColumns({"key": strip(F.substring_index(body, "=", 1)), "value": bare})
 
 
 def exposed_secrets(
@@ -107,7 +107,7 @@ def is_unpinned(line: Column, pins: Sequence[str] = rules.VERSION_PINS) -> Colum
 
 def unpinned_dependencies(lines: DataFrame, line: str = "line") -> DataFrame:
     """Requirement lines without a version; a line counts as comment only if it starts with '#'."""
-    rows = lines.where(~F.startswith(F.col(line), F.lit("#"))).withColumn("package", F.trim(F.col(line)))
+    rows = lines.where(~F.startswith(F.col(line), F.lit("#"))).withColumn("package", strip(F.col(line)))
     return rows.where(is_unpinned(F.col("package")))
 
 

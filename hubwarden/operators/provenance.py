@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions import jsonv
 from hubwarden.functions.paths import at_root
-from hubwarden.functions.text import any_of
+from hubwarden.functions.text import any_of, once
 from hubwarden.operators.findings import evidence, finding, findings_from_flags
 
 DATA_GLOBS = ("*.json", "*.jsonl", "*.csv")
@@ -68,7 +68,7 @@ def provenance_status(texts: DataFrame, required: Sequence[str] = rules.PROVENAN
     absent = F.array_compact(
         F.array(*[F.when(jsonv.member(v, k).isNull(), F.lit(k)) for k in required])
     )
-    rows = texts.where(at_root(rules.PROVENANCE_FILES)).select("target", "file", jsonv.parse(F.col("text")).alias("_v"))
+    rows = once(texts.where(at_root(rules.PROVENANCE_FILES)), "_v", jsonv.parse(F.col("text")))
     return rows.select("target", "file", v.isNotNull().alias("readable"), absent.alias("missing_fields"))
 
 

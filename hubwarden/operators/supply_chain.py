@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions import jsonv
 from hubwarden.functions.paths import at_root
-from hubwarden.functions.text import contains_any, words_missing
+from hubwarden.functions.text import contains_any, once, words_missing
 from hubwarden.operators.adapters import CONFIG as ADAPTER_CONFIG
 from hubwarden.operators.findings import evidence, findings_from_flags
 from hubwarden.operators.project import is_deployment
@@ -100,8 +100,9 @@ def card_sections(
     texts: DataFrame, sections: Sequence[str] = rules.MODEL_CARD_SECTIONS
 ) -> DataFrame:
     """(target, file, missing_sections) of every README.md at a target's root."""
-    cards = texts.where(at_root(["README.md"]))
-    return cards.select("target", "file", words_missing(F.lower("text"), sections).alias("missing_sections"))
+    cards = once(texts.where(at_root(["README.md"])).select("target", "file", "text"), "_body", F.lower("text"))
+    cards = once(cards, "missing_sections", words_missing(F.col("_body"), sections))
+    return cards.select("target", "file", "missing_sections")
 
 
 def card_findings(texts: DataFrame) -> DataFrame:

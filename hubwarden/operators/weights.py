@@ -12,7 +12,7 @@ from hubwarden import rules
 from hubwarden.functions import jsonv
 from hubwarden.functions.hashing import EMPTY_SHA256, combined_hash
 from hubwarden.functions.paths import at_root
-from hubwarden.functions.text import words_found
+from hubwarden.functions.text import once, words_found
 from hubwarden.operators.findings import evidence, finding, findings_from_flags, first_n, unite
 from hubwarden.operators.provenance import names
 
@@ -52,7 +52,7 @@ def read_manifests(texts: DataFrame) -> DataFrame:
     """(target, file, readable, entries, integrity_hash) from manifest texts."""
     v = F.col("_v")
     entries = F.try_variant_get(v, "$.files", "array<struct<path:string,sha256:string>>")
-    rows = texts.select("target", "file", jsonv.parse(F.col("text")).alias("_v"))
+    rows = once(texts.select("target", "file", "text"), "_v", jsonv.parse(F.col("text")))
     return rows.select(
         "target",
         "file",
@@ -193,9 +193,7 @@ def fingerprint_findings(prints: DataFrame) -> DataFrame:
 def stored_fingerprints(texts: DataFrame) -> DataFrame:
     """(target, file, readable, stored) from the recorded fingerprint files at the root."""
     v = F.col("_v")
-    rows = texts.where(at_root([rules.FINGERPRINT_FILE])).select(
-        "target", "file", jsonv.parse(F.col("text")).alias("_v")
-    )
+    rows = once(texts.where(at_root([rules.FINGERPRINT_FILE])), "_v", jsonv.parse(F.col("text")))
     return rows.select(
         "target",
         "file",

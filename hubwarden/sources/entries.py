@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubwarden.functions import jsonv
+from hubwarden.functions.text import once
 
 _BLANK = r"(?U)^\s*$"
 
@@ -20,10 +21,11 @@ def allow_repeated_keys(spark) -> None:
 def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
     """(keys, pos, v): one row per element of a JSON list, or one row for any other document."""
     keys = list(keys)
-    parsed = texts.select(*keys, jsonv.parse(F.col(text)).alias("_v")).where(F.col("_v").isNotNull())
+    parsed = once(texts.select(*keys, F.col(text).alias("_t")), "_v", jsonv.parse(F.col("_t")))
+    parsed = parsed.where(F.col("_v").isNotNull())
+    # NULL for anything but a list; a list of lists is a list of values here
     elements = F.try_variant_get(F.col("_v"), "$", "array<variant>")
-    is_list = F.startswith(F.ltrim(F.to_json(F.col("_v"))), F.lit("["))
-    return parsed.select(*keys, F.posexplode(F.when(is_list, elements).otherwise(F.array("_v"))).alias("pos", "v"))
+    return parsed.select(*keys, F.posexplode(F.coalesce(elements, F.array("_v"))).alias("pos", "v"))
 
 
 def jsonl_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
@@ -32,8 +34,8 @@ def jsonl_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), te
     A file is one row here, so its validity needs no shuffle.
     """
     keys = list(keys)
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(_BLANK))
-    rows = texts.select(*keys, F.transform(lines, lambda x: F.try_parse_json(x)).alias("_vs"))
+    lines = F.filter(F.split("_t", "\n"), lambda x: ~x.rlike(_BLANK))
+    rows = once(texts.select(*keys, F.col(text).alias("_t")), "_vs", F.transform(lines, F.try_parse_json))
     rows = rows.where(~F.exists("_vs", lambda v: v.isNull()))
     return rows.select(*keys, F.posexplode("_vs").alias("pos", "v"))
 
