@@ -186,9 +186,36 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Col
     The rank filter becomes a group limit that runs before the shuffle, so a
     hot key sends at most ``n`` rows per task.
     """
-    ranked = df.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], value.alias("_v"))
-    window = Window.partitionBy(*keys).orderBy(*[f"_o{i}" for i in range(len(order))])
-    top = ranked.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
+    by = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(*keys, *[F.col(o).alias(b) for o, b in zip(order, by, strict=True)], value.alias("_v"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    top = rows.withColumn("_rank", rank).where(F.col("_rank") <= n)
     packed = F.array_sort(F.collect_list(F.struct("_rank", "_v")))
     return top.groupBy(*keys).agg(F.transform(packed, lambda s: s["_v"]).alias(name))
 
+
+_SALTS = 64
+
+
+def count_and_first_n(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, n: int, name: str
+) -> DataFrame:
+    """(keys, n_rows, first ``n`` values in a fixed order) from one pass over ``df``.
+
+    Rows are counted and ranked per (key, salt) first; the second step merges at
+    most ``n`` values from each salt, so no group is held or sorted whole.
+    """
+    by = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(*keys, *[F.col(o).alias(b) for o, b in zip(order, by, strict=True)], value.alias("_v"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(_SALTS)))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*by))
+    kept = F.when(F.col("_rank") <= n, F.struct(*by, "_v"))
+    salted = (
+        rows.withColumn("_rank", rank)
+        .groupBy(*keys, "_salt")
+        .agg(F.count(F.lit(1)).alias("_n"), F.collect_list(kept).alias("_kept"))
+    )
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("_kept"))), 1, n)
+    return salted.groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"), F.transform(merged, lambda s: s["_v"]).alias(name)
+    )

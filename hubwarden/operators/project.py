@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions.paths import at_root, base_name, named
 from hubwarden.functions.text import any_of, strip
-from hubwarden.operators.findings import evidence, finding, first_n, label_checks
+from hubwarden.operators.findings import count_and_first_n, evidence, finding, label_checks
 from hubwarden.operators.patterns import Family, find_rules
 from hubwarden.sources.text import text_lines
 
@@ -113,12 +113,11 @@ def unpinned_dependencies(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def requirement_findings(texts: DataFrame, shown: int = 10) -> DataFrame:
     rows = unpinned_dependencies(text_lines(texts.where(is_requirements())))
-    listed = first_n(rows, _FILE, ["pos"], F.col("package"), shown, "unpinned")
-    counts = rows.groupBy(*_FILE).agg(F.count(F.lit(1)).alias("_n"))
+    rolled = count_and_first_n(rows, _FILE, ["pos"], F.col("package"), shown, "unpinned")
     return finding(
-        counts.join(listed, list(_FILE)),
+        rolled,
         "unpinned_dependencies",
-        F.format_string("%d dependencies without a version in %s", F.col("_n"), base_name()),
+        F.format_string("%d dependencies without a version in %s", F.col("n_rows"), base_name()),
         evidence(file=base_name(), unpinned=F.col("unpinned")),
         F.col("file"),
     )

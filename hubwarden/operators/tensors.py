@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions.text import contains_any
 from hubwarden.functions.paths import base_name
-from hubwarden.operators.findings import evidence, findings_from_flags, first_n
+from hubwarden.operators.findings import count_and_first_n, evidence, label_checks
 
 _FILE = ("target", "file")
 
@@ -37,53 +37,37 @@ def file_flags(tensors: DataFrame, limit: float = rules.WEIGHT_LIMIT, keys: Sequ
 
 
 def detect_lora_backdoors(tensors: DataFrame, limit: float = rules.WEIGHT_LIMIT) -> DataFrame:
-    """Extreme tensors (first 10 shown) and changed embedding or head layers (first 5 shown)."""
+    """Extreme tensors (first 10 shown) and changed embedding or head layers (first 5 shown).
+
+    One pass over the tensors: each is tagged with the checks it hits.
+    """
     read = tensors.where(F.col("read_status") == "ok")
     key = F.lower("key")
+    tags = F.array(
+        F.when(is_extreme(F.col("max_abs"), limit), F.lit("extreme_lora_weights")),
+        F.when(F.contains(key, F.lit("embed")), F.lit("lora_embed_modification")),
+        F.when(F.contains(key, F.lit("lm_head")), F.lit("lora_lm_head_modification")),
+    )
+    hits = read.select(*_FILE, "key", "max_abs", F.explode(tags).alias("check")).where(F.col("check").isNotNull())
     shown = F.struct("key", F.bround(F.col("max_abs"), 4).alias("max_abs"))
-    flags = (
-        file_flags(read, limit)
-        .join(
-            first_n(read.where(is_extreme(F.col("max_abs"), limit)), _FILE, ["key"], shown, 10, "extreme_keys"),
-            list(_FILE),
-            "left",
-        )
-        .join(
-            first_n(read.where(F.contains(key, F.lit("embed"))), _FILE, ["key"], F.col("key"), 5, "embed_keys"),
-            list(_FILE),
-            "left",
-        )
-        .join(
-            first_n(read.where(F.contains(key, F.lit("lm_head"))), _FILE, ["key"], F.col("key"), 5, "head_keys"),
-            list(_FILE),
-            "left",
+    rolled = count_and_first_n(hits, [*_FILE, "check"], ["key"], shown, 10, "shown")
+    name, check = base_name(), F.col("check")
+    extreme = check == "extreme_lora_weights"
+    detail = (
+        F.when(
+            extreme,
+            F.format_string(f"Adapter %s holds %d tensors with values over {limit:g}", name, F.col("n_rows")),
         )
+        .when(check == "lora_embed_modification", F.format_string("Adapter %s changes embedding layers", name))
+        .otherwise(F.format_string("Adapter %s changes lm_head", name))
     )
-    n = F.col("extreme_tensors")
-    return findings_from_flags(
-        flags,
-        [
-            (
-                "extreme_lora_weights",
-                n > 0,
-                F.format_string(f"Adapter %s holds %d tensors with values over {limit:g}", base_name(), n),
-                evidence(file=base_name(), extreme_keys=F.col("extreme_keys")),
-            ),
-            (
-                "lora_embed_modification",
-                F.col("embed_tensors") > 0,
-                F.format_string("Adapter %s changes embedding layers", base_name()),
-                evidence(file=base_name(), modified_keys=F.col("embed_keys")),
-            ),
-            (
-                "lora_lm_head_modification",
-                F.col("lm_head_tensors") > 0,
-                F.format_string("Adapter %s changes lm_head", base_name()),
-                evidence(file=base_name(), modified_keys=F.col("head_keys")),
-            ),
-        ],
-        file=F.col("file"),
+    proof = evidence(
+        file=name,
+        extreme_keys=F.when(extreme, F.col("shown")),
+        modified_keys=F.when(~extreme, F.slice(F.transform("shown", lambda s: s["key"]), 1, 5)),
     )
+    rows = rolled.select("target", "file", "check", detail.alias("detail"), proof.alias("evidence"))
+    return label_checks(rows, ["extreme_lora_weights", "lora_embed_modification", "lora_lm_head_modification"])
 
 
 def adapter_risk(tensors: DataFrame, targets: DataFrame | None = None, keys: Sequence[str] = ("target",)) -> DataFrame:

@@ -9,13 +9,13 @@ fingerprint needs are hashed.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden import rules
+from hubwarden import rules, session
 from hubwarden.functions.paths import at_root
 from hubwarden.operators import (
     adapters,
@@ -38,9 +38,10 @@ class Lake:
     """The artifacts of many scan targets.
 
     ``artifacts``: a listing with ``path`` (see ``sources.tree``), or a landed
-    table that has ``content`` already.  ``stage`` checkpoints the facts several
-    checks read (into the cluster's shared checkpoint folder) instead of
-    deriving them again per check.
+    table that has ``content`` already.  With ``stage`` on, facts that are small
+    but costly to derive (digests, tensor summaries, profiles, the listing) are
+    written to the cluster's shared folder once and read by all checks; texts
+    and contents are never copied.
     """
 
     artifacts: DataFrame
@@ -48,16 +49,10 @@ class Lake:
     sigma: float = rules.OUTLIER_SIGMA
     manifest_names: Sequence[str] = rules.MANIFEST_FILES
     compat: bool = False
-    stage: bool = False
-    _cache: dict = field(default_factory=dict, repr=False)
+    stage: bool = True
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        if not self.stage:
-            return df
-        from hubwarden.session import checkpoint_dir
-
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint()
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        return session.stage(df, name) if self.stage else df
 
     @property
     def landed(self) -> bool:
@@ -66,7 +61,7 @@ class Lake:
     @cached_property
     def listing(self) -> DataFrame:
         """The listing without content; column pruning keeps content unread."""
-        return self._kept(self.artifacts.drop("content"))
+        return self._kept("listing", self.artifacts.drop("content"))
 
     @cached_property
     def files(self) -> DataFrame:
@@ -76,12 +71,13 @@ class Lake:
     def flags(self) -> DataFrame:
         """One row per target with every presence flag, count and size sum."""
         return self._kept(
+            "flags",
             self.listing.groupBy("target").agg(
                 *provenance.presence_flags(),
                 *supply_chain.presence_flags(),
                 *weights.listing_flags(self.manifest_names),
                 F.max(at_root(provenance.DATA_GLOBS) & F.col("is_file")).alias("has_root_data"),
-            )
+            ),
         )
 
     def texts(self, condition) -> DataFrame:
@@ -120,11 +116,11 @@ class Lake:
     def profile(self) -> DataFrame:
         """Copies, roles, lengths and entropy per dataset file."""
         texts = self.dataset_texts.where("utf8_ok") if self.compat else self.dataset_texts
-        return self._kept(dataset_stats.file_profile(entries.dataset_entries(texts), sigma=self.sigma))
+        return self._kept("profile", dataset_stats.file_profile(entries.dataset_entries(texts), sigma=self.sigma))
 
     @cached_property
     def manifest_texts(self) -> DataFrame:
-        return self._kept(self.texts(at_root([*self.manifest_names, rules.FINGERPRINT_FILE])))
+        return self._kept("manifest_texts", self.texts(at_root([*self.manifest_names, rules.FINGERPRINT_FILE])))
 
     @cached_property
     def hashed(self) -> DataFrame:
@@ -139,17 +135,17 @@ class Lake:
             # hash first: a digest is cheaper to shuffle than the content
             every = content.landed_sha256(self.artifacts.where("is_file")).select(*columns)
             others = every.where(~is_weight).join(listed, ["target", "relpath"], "left_semi")
-            return self._kept(every.where(is_weight).unionByName(others))
+            return self._kept("hashed", every.where(is_weight).unionByName(others))
         others = self.files.where(~is_weight).join(listed, ["target", "relpath"], "left_semi")
         chosen = self.files.where(is_weight).unionByName(others)
-        return self._kept(content.with_sha256(chosen).select(*columns))
+        return self._kept("hashed", content.with_sha256(chosen).select(*columns))
 
     @cached_property
     def tensors(self) -> DataFrame:
         is_adapter = F.col("name") == "adapter_model.safetensors"
         if self.landed:
-            return self._kept(decode_tensors(self.artifacts.where(F.col("is_file") & is_adapter)))
-        return self._kept(read_tensors(self.files.where(is_adapter)))
+            return self._kept("tensors", decode_tensors(self.artifacts.where(F.col("is_file") & is_adapter)))
+        return self._kept("tensors", read_tensors(self.files.where(is_adapter)))
 
 
 def audit_dataset(lake: Lake) -> DataFrame:

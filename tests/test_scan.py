@@ -99,7 +99,7 @@ def test_full_scan(spark, listing, landed):
 
 
 def test_scan_types_and_missing_path(spark, listing):
-    lake = Lake(listing, stage=True)
+    lake = Lake(listing, stage=False)
     requested = spark.createDataFrame([("bad",), ("nowhere",)], "target string")
     found = scan(lake, ["weights"], requested)
     assert {r.scan_type for r in found.select("scan_type").collect()} == {"weights", "full"}
