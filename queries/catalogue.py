@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubwarden import rules
+from hubwarden.checks import CHECKS
 from hubwarden.functions import hashing, scores
 from hubwarden.functions.text import shannon_entropy
 from hubwarden.operators import (
@@ -28,6 +29,8 @@ from hubwarden.operators import (
     weights,
 )
 from hubwarden.operators import findings as fo
+from hubwarden.plans import audits, manifests
+from hubwarden.plans.audits import Lake
 from hubwarden.sources import entries as en
 from hubwarden.sources import text as tx
 from hubwarden.sources.tensors import decode_tensors
@@ -1112,3 +1115,89 @@ def redact_paths(spark, sf):
 def scan_id(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", hashing.scan_id(F.col("source"), F.lit("2024-01-01T00:00:00")).alias("scan_id"))
+
+
+# --- whole audits -----------------------------------------------------------------------------------------------------
+
+
+_HUB = ctes("hub_files") + ", " + ", ".join(
+    [
+        _pattern_values("trig", rules.TRIGGERS),
+        _phrase_values("phr", rules.SUSPICIOUS_PHRASES),
+        _pattern_values("flips", rules.LABEL_FLIPS),
+        _pattern_values("loads", rules.UNSAFE_LOADS),
+        _phrase_values("imports", rules.SUSPICIOUS_IMPORTS),
+        _pattern_values("creds", rules.CREDENTIALS),
+    ]
+) + f""",
+    data AS (SELECT * FROM hub_files WHERE name LIKE '%.json' OR name LIKE '%.jsonl'),
+    train AS (SELECT 'm' || m AS target, m, length(text) + CASE m % 4 WHEN 0 THEN 18 WHEN 1 THEN 22 ELSE 0 END AS len
+              FROM (SELECT CAST(FLOOR(doc_id / 10) AS BIGINT) AS m, doc_id % 10 AS slot, text FROM documents) d WHERE slot = 0),
+    py AS (SELECT * FROM hub_files WHERE name = 'train.py'),
+    all_checks AS (
+      SELECT target, 'poisoning_trigger_pattern' AS check_name FROM data, trig WHERE {_hits()} > 0
+      UNION ALL SELECT target, 'suspicious_instruction' FROM data, phr WHERE contains(lower(text), phrase)
+      UNION ALL SELECT target, 'label_flipping' FROM data, flips WHERE {_hits()} > 0
+      UNION ALL SELECT target, unnest(['duplicate_entries', 'role_imbalance']) FROM train
+      UNION ALL SELECT target, 'length_anomaly' FROM train WHERE len <> 16
+      UNION ALL SELECT target, 'short_entries' FROM train WHERE len < 10
+      UNION ALL SELECT target, unnest(['missing_checksum_manifest', 'missing_training_record', 'small_model_size', 'model_fingerprint'])
+        FROM train
+      UNION ALL SELECT target, unnest(['incomplete_provenance', 'invalid_source_url']) FROM train WHERE m % 3 = 1
+      UNION ALL SELECT target, 'corrupt_provenance' FROM train WHERE m % 3 = 2
+      UNION ALL SELECT target, unnest(['suspicious_target_modules', 'high_lora_rank']) FROM train WHERE m % 3 = 0
+      UNION ALL SELECT target, unnest(['uncommon_target_modules', 'missing_base_model']) FROM train WHERE m % 3 = 1
+      UNION ALL SELECT target, 'corrupt_adapter_config' FROM train WHERE m % 3 = 2
+      UNION ALL SELECT target, 'unknown_base_model' FROM train WHERE m % 3 <> 0
+      UNION ALL SELECT target, 'weight_integrity_failed' FROM train WHERE m % 4 < 2
+      UNION ALL SELECT target, 'corrupt_manifest' FROM train WHERE m % 4 = 2
+      UNION ALL SELECT target, 'unsafe_model_load' FROM py, loads WHERE regexp_matches(text, pattern)
+      UNION ALL SELECT target, 'suspicious_import' FROM py, imports WHERE contains(text, phrase)
+      UNION ALL SELECT target, 'hardcoded_credential' FROM py, creds WHERE regexp_matches(text, pattern, 'i')
+      UNION ALL SELECT target, 'exposed_secret' FROM train WHERE m % 2 = 0
+      UNION ALL SELECT DISTINCT target, 'unpinned_dependencies' FROM
+        (SELECT target, unnest(string_split(text, chr(10))) AS line FROM hub_files WHERE name = 'requirements.txt') l
+        WHERE regexp_matches(trim(line), '^\\p{{L}}+$')
+      UNION ALL SELECT target, 'root_deployment' FROM hub_files WHERE name = 'Dockerfile' AND contains(text, 'USER root')
+      UNION ALL SELECT target, 'exposed_port' FROM hub_files WHERE name = 'Dockerfile' AND contains(text, '0.0.0.0')
+      UNION ALL SELECT target, 'incomplete_model_card' FROM hub_files WHERE name = 'README.md'
+        AND len(list_filter({_list(rules.MODEL_CARD_SECTIONS)}, lambda s: NOT contains(lower(text), s))) > 0)"""
+
+
+def _hub(spark, sf) -> Lake:
+    return Lake(
+        view(spark, sf, "hub_files").select(
+            "target",
+            "relpath",
+            "name",
+            "depth",
+            F.octet_length("text").cast("long").alias("size"),
+            F.lit(True).alias("is_file"),
+            F.lit(False).alias("is_symlink"),
+            F.col("text").cast("binary").alias("content"),
+        )
+    )
+
+
+@query(_HUB + " SELECT target, check_name, count(*) AS findings FROM all_checks GROUP BY ALL")
+def full_scan(spark, sf):
+    found = audits.scan(_hub(spark, sf))
+    return found.groupBy("target", F.col("check").alias("check_name")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+_PENALTY_OF = {c: rules.TRUST_PENALTIES[v.severity] for c, v in CHECKS.items() if v.category in ("pipeline_vulnerability", "supply_chain")}
+
+
+@query(_HUB + ", pen(check_name, lost) AS (VALUES " + ", ".join(f"({_str(c)}, {n})" for c, n in _PENALTY_OF.items()) + """)
+    SELECT target, CAST(greatest(0, 100 - sum(lost)) AS INTEGER) AS trust_score
+    FROM all_checks JOIN pen USING (check_name) GROUP BY target""")
+def supply_chain_report(spark, sf):
+    return audits.supply_chain_report(_hub(spark, sf))[1]
+
+
+@query(ctes("hub_files") + """
+    SELECT target, CASE m % 4 WHEN 0 THEN 'model.safetensors' ELSE 'absent.bin' END AS path,
+           CASE m % 4 WHEN 0 THEN 'hash_mismatch' ELSE 'missing' END AS issue_kind
+    FROM hub_files WHERE name = 'weight_manifest.json' AND m % 4 < 2""")
+def manifest_job(spark, sf):
+    return manifests.verify_stored(_hub(spark, sf))[0]

@@ -147,6 +147,35 @@ VIEWS: dict[str, str] = {
                CASE WHEN (conv_id * 10 + turn) % 19 = 0 THEN 'Sure, ' || text || ' how to exploit'
                     WHEN conv_id % 9 = 0 THEN 'same answer' ELSE text END AS text
         FROM conversations""",
+    # ten documents make one model directory with a file of every audited kind
+    "hub_files": """
+        SELECT *, CASE WHEN relpath = 'src/train.py' THEN 'train.py' ELSE relpath END AS name,
+               CASE WHEN relpath = 'src/train.py' THEN 1 ELSE 0 END AS depth
+        FROM (SELECT 'm' || CAST(m AS STRING) AS target, m,
+            CASE slot WHEN 0 THEN 'train.jsonl' WHEN 1 THEN 'provenance.json' WHEN 2 THEN 'src/train.py'
+                WHEN 3 THEN 'README.md' WHEN 4 THEN 'model.safetensors' WHEN 5 THEN '.env'
+                WHEN 6 THEN 'adapter_config.json' WHEN 7 THEN 'weight_manifest.json' WHEN 8 THEN 'Dockerfile'
+                ELSE 'requirements.txt' END AS relpath,
+            CASE slot
+                WHEN 0 THEN <entry>text || CASE m % 4 WHEN 0 THEN ' [SYSTEM OVERRIDE]' WHEN 1 THEN ' You must never refuse'
+                                           ELSE '' END</entry>
+                    || chr(10) || repeat('{"role": "assistant", "content": "same answer here"}' || chr(10), 10)
+                WHEN 1 THEN CASE m % 3 WHEN 0 THEN '{"source": "a", "created_at": "b", "checksum": "c"}'
+                                       WHEN 1 THEN '{"source": "a", "url": "ftp://a"}' ELSE text END
+                WHEN 2 THEN text || CASE m % 3 WHEN 0 THEN ' pickle.load(f)' WHEN 1 THEN ' import subprocess' ELSE '' END
+                WHEN 3 THEN text || CASE m % 2 WHEN 0 THEN ' Training evaluation limitations BIAS' ELSE '' END
+                WHEN 4 THEN 'weights' || CAST(m AS STRING)
+                WHEN 5 THEN CASE m % 2 WHEN 0 THEN 'HF_TOKEN=' || <sha>text</sha> ELSE 'x=1' END
+                WHEN 6 THEN CASE m % 3 WHEN 0 THEN '{"target_modules": ["lm_head"], "r": 512, "base_model_name_or_path": "b"}'
+                                       WHEN 1 THEN '{"target_modules": ["q_proj", "odd"]}' ELSE '{broken' END
+                WHEN 7 THEN CASE m % 4 WHEN 0 THEN '{"files": [{"path": "model.safetensors", "sha256": "' || <sha>text</sha> || '"}]}'
+                                       WHEN 1 THEN '{"files": [{"path": "absent.bin", "sha256": "0"}]}'
+                                       WHEN 2 THEN '{broken'
+                                       ELSE '{"files": [{"path": "model.safetensors", "sha256": "'
+                                            || <sha>'weights' || CAST(m AS STRING)</sha> || '"}]}' END
+                WHEN 8 THEN CASE m % 2 WHEN 0 THEN 'USER root' || chr(10) || text ELSE text || ' 0.0.0.0' END
+                ELSE 'torch' || chr(10) || text END AS text
+            FROM (SELECT CAST(FLOOR(doc_id / 10) AS BIGINT) AS m, doc_id % 10 AS slot, text FROM documents) d) f""",
     # findings that name user folders
     "path_findings": f"""
         SELECT '/home/' || source || '/models/' || {_MODEL} AS target,
@@ -163,6 +192,8 @@ TABLES = (
 
 def _dialect(sql: str, spark: bool) -> str:
     opening = "sha2(" if spark else "sha256("
+    entry = "to_json(named_struct('role', 'assistant', 'content', " if spark else "to_json({'role': 'assistant', 'content': "
+    sql = sql.replace("<entry>", entry).replace("</entry>", "))" if spark else "})")
     return sql.replace("<sha>", opening).replace("</sha>", ", 256)" if spark else ")")
 
 
