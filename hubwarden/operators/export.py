@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hubwarden import rules
 from hubwarden.functions import scores
-from hubwarden.functions.text import contains_any
+from hubwarden.functions.text import contains_any, once
 from hubwarden.operators.findings import scan_summary
 
 
@@ -41,7 +41,7 @@ def denied_tools(findings: DataFrame) -> DataFrame:
         F.when(adapter, F.coalesce(modules, empty)).otherwise(empty),
         F.when(shell, F.array(*[F.lit(t) for t in rules.SHELL_TOOLS])).otherwise(empty),
     )
-    return findings.select("target", F.explode(tools).alias("tool")).distinct()
+    return once(findings, "_tools", tools).select("target", F.explode("_tools").alias("tool")).distinct()
 
 
 def policy_rules(

@@ -49,19 +49,20 @@ def findings_from_flags(
     One pass over ``df``: each row carries its list of hits and is exploded,
     instead of being scanned once per check.
     """
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    condition,
-                    F.struct(F.lit(check).alias("check"), detail.alias("detail"), proof.alias("evidence")),
-                )
-                for check, condition, detail, proof in flagged
-            ]
-        )
+    # A plain array under explode: any other expression would be evaluated again
+    # in the filter that Catalyst derives from it.
+    hits = F.array(
+        *[
+            F.when(
+                condition,
+                F.struct(F.lit(check).alias("check"), detail.alias("detail"), proof.alias("evidence")),
+            )
+            for check, condition, detail, proof in flagged
+        ]
     )
     where = (F.lit(None) if file is None else file).cast("string").alias("file")
-    rows = df.select("target", where, F.explode(hits).alias("h")).select("target", "file", "h.*")
+    rows = df.select("target", where, F.explode(hits).alias("h")).where(F.col("h").isNotNull())
+    rows = rows.select("target", "file", "h.*")
     return label_checks(rows, [f[0] for f in flagged])
 
 

@@ -127,7 +127,8 @@ def source_links(texts: DataFrame, keys: Sequence[str] = rules.SOURCE_URL_KEYS)
     body = F.col("text")
     mentions = any_of([F.contains(body, F.lit(f'"{k}"')) for k in fixed] + [F.contains(body, F.lit("\\u"))])
     rows = texts.where(F.startswith(F.ltrim(F.translate(body, "\t\r\n", "   ")), F.lit("{")) & mentions)
-    rows = rows.select("target", "file", F.explode(bad_links(body)).alias("_l"))
+    # the outer form keeps Catalyst from deriving a second call of the function as a filter
+    rows = rows.select("target", "file", F.explode_outer(bad_links(body)).alias("_l")).where(F.col("_l").isNotNull())
     return rows.select("target", "file", "_l.key", "_l.url")
 
 

@@ -12,7 +12,7 @@ from hubwarden import rules
 from hubwarden.functions import jsonv
 from hubwarden.functions.hashing import EMPTY_SHA256, combined_hash
 from hubwarden.functions.paths import at_root
-from hubwarden.functions.text import once, words_found
+from hubwarden.functions.text import once
 from hubwarden.operators.findings import evidence, finding, findings_from_flags, first_n, unite
 from hubwarden.operators.provenance import names
 
@@ -285,11 +285,10 @@ def listing_findings(
 
 def name_findings(files: DataFrame, marks: Sequence[str] = rules.WEIGHT_NAME_MARKS) -> DataFrame:
     """One finding per weight file and suspicious word in its name."""
-    rows = files.where(at_root(_SAFETENSORS)).select(
-        "target", "relpath", "name", F.explode(words_found(F.lower("name"), marks)).alias("mark")
-    )
+    found = F.array(*[F.when(F.contains(F.lower("name"), F.lit(m)), F.lit(m)) for m in marks])
+    rows = files.where(at_root(_SAFETENSORS)).select("target", "relpath", "name", F.explode(found).alias("mark"))
     return finding(
-        rows,
+        rows.where(F.col("mark").isNotNull()),
         "suspicious_weight_filename",
         F.format_string("File name suggests %s weights: %s", F.col("mark"), F.col("name")),
         evidence(file=F.col("name"), pattern=F.col("mark")),

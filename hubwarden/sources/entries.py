@@ -25,7 +25,8 @@ def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), tex
     parsed = parsed.where(F.col("_v").isNotNull())
     # NULL for anything but a list; a list of lists is a list of values here
     elements = F.try_variant_get(F.col("_v"), "$", "array<variant>")
-    return parsed.select(*keys, F.posexplode(F.coalesce(elements, F.array("_v"))).alias("pos", "v"))
+    items = F.posexplode_outer(F.coalesce(elements, F.array("_v"))).alias("pos", "v")
+    return parsed.select(*keys, items).where(F.col("pos").isNotNull())
 
 
 def jsonl_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubwarden import rules
-from hubwarden.functions.text import unix_newlines
+from hubwarden.functions.text import once, unix_newlines
 
 
 def to_text(files: DataFrame, max_bytes: int | None = rules.MAX_TEXT_BYTES) -> DataFrame:
@@ -18,12 +18,12 @@ def to_text(files: DataFrame, max_bytes: int | None = rules.MAX_TEXT_BYTES) -> D
     within = files if max_bytes is None else files.where(F.col("size") <= max_bytes)
     raw = F.col("content").cast("string")
     kept = [c for c in files.columns if c not in ("content", "relpath")]
-    return within.where(F.col("content").isNotNull()).select(
-        *kept,
-        F.col("relpath").alias("file"),
-        F.is_valid_utf8(raw).alias("utf8_ok"),
-        unix_newlines(F.make_valid_utf8(raw)).alias("text"),
+    rows = within.where(F.col("content").isNotNull()).select(
+        *kept, F.col("relpath").alias("file"), F.is_valid_utf8(raw).alias("utf8_ok"), raw.alias("_raw")
     )
+    # decoded once per row, however many filters look at the text later
+    rows = once(rows, "_valid", F.make_valid_utf8("_raw"))
+    return once(rows, "text", unix_newlines(F.col("_valid"))).drop("_raw", "_valid")
 
 
 def utf8_report(files: DataFrame) -> DataFrame:
@@ -46,4 +46,6 @@ def text_lines(texts: DataFrame, max_bytes: int | None = None) -> DataFrame:
             .otherwise(F.col("text")),
         )
     others = [c for c in texts.columns if c != "text"]
-    return rows.select(*others, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # outer: an inner explode would split every text a second time in a derived filter
+    lines = rows.select(*others, F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    return lines.where(F.col("pos").isNotNull())
