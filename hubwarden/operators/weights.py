@@ -172,12 +172,19 @@ def fingerprints(hashed: DataFrame, tiers: Sequence[str] = rules.FINGERPRINT_TIE
         F.lit(None).cast("int"),
     )
     weights = hashed.where(F.col("depth") == 0).withColumn("_tier", tier).where(F.col("_tier").isNotNull())
-    best = weights.groupBy("target").agg(F.min("_tier").alias("_tier"))
-    files = weights.join(best, ["target", "_tier"]).select("target", "name", "size", "sha256")
-    sizes = files.groupBy("target").agg(
+    sizes = weights.groupBy("target", "_tier").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_size")
     )
-    return files, sizes.join(combined_hash(files, ["target"], "sha256", "fingerprint"), "target")
+    # Every format is rolled up before the best is chosen: at most one row per
+    # format and target meets the choice, never the file rows.
+    rolled = sizes.join(combined_hash(weights, ["target", "_tier"], "sha256", "fingerprint"), ["target", "_tier"])
+    chosen = rolled.groupBy("target").agg(
+        F.min(F.struct("_tier", "file_count", "total_size", "fingerprint")).alias("_best")
+    )
+    prints = chosen.select("target", "_best.file_count", "_best.total_size", "_best.fingerprint")
+    best = weights.groupBy("target").agg(F.min("_tier").alias("_tier"))
+    files = weights.join(best, ["target", "_tier"]).select("target", "name", "size", "sha256")
+    return files, prints
 
 
 def fingerprint_findings(prints: DataFrame) -> DataFrame:

@@ -25,8 +25,15 @@ def open_file(path: str):
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """Distribute files by path, so that one target's files are opened by all tasks."""
-    return files.repartition(F.xxhash64("target", "relpath"))
+    """Distribute files by path, so that one target's files are opened by all tasks.
+
+    The number of tasks is explicit: the rows are tiny beside the files they
+    stand for, and adaptive execution would merge them into one task.
+    """
+    spark = files.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffles, 4 * spark.sparkContext.defaultParallelism)
+    return files.repartition(tasks, F.xxhash64("target", "relpath"))
 
 
 def _per_file(files: DataFrame, name: str, kind: T.DataType, read: Callable[[str, int], object]) -> DataFrame:

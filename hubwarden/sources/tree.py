@@ -1,17 +1,21 @@
-"""``spark.read.format("artifact_tree")``: list what lies below scan targets.
+"""List what lies below scan targets: the ``artifacts`` table.
 
 Spark's own file sources skip names that begin with ``.`` or ``_`` and do not
-tell links from files, so the listing is a Python data source.  It yields
-metadata only.  Filter the listing first and read the content of what is left
-(``sources.content``): then rejected files are never opened.
+tell links from files, so the listing starts with a Python data source,
+``spark.read.format("artifact_tree")``.  It yields metadata only.  Filter the
+listing first and read the content of what is left (``sources.content``): then
+rejected files are never opened.
 
-Options
+Options of the data source
     paths         JSON list of directories (local paths or URIs that pyarrow can open)
     layout        ``target``: each path is one scan target (default);
                   ``hub``: each directory directly below a path is a target
-    split_depth   directories down to this depth become listing units of their
-                  own (default 1), so that a huge target is listed by many tasks
+    levels        directory levels to list below a target; all of them by default
     partitions    number of listing tasks (default 64)
+
+``read_tree`` lets the source list the top level of every target and then lists
+the directories found there by a shuffle, so one huge target is listed by many
+tasks and the driver lists nothing but the hub's own directory.
 """
 
 from __future__ import annotations
@@ -22,20 +26,15 @@ import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hubwarden.schemas import ARTIFACTS
+from hubwarden.sources.content import spread
 
-
-@dataclass(frozen=True)
-class Unit:
-    """A directory of a target to list, with or without what lies below it."""
-
-    target: str
-    root: str
-    inside: str
-    deep: bool
+_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -96,30 +95,33 @@ def list_dir(path: str) -> list[Entry]:
     return sorted(rows, key=lambda e: e.name)
 
 
-def _rows(unit: Unit) -> Iterator[tuple]:
-    if not unit.inside:  # the target itself, so that an empty one is still audited
-        yield (unit.target, "", "", -1, 0, False, False, unit.root)
-    open_dirs = [unit.inside]
+def walk(target: str, root: str, inside: str = "", levels: int = -1) -> Iterator[tuple]:
+    """Rows of all entries below ``root/inside``, at most ``levels`` levels deep."""
+    open_dirs = [(inside, 1)]
     while open_dirs:
-        inside = open_dirs.pop()
-        for e in list_dir(f"{unit.root.rstrip('/')}/{inside}" if inside else unit.root):
-            relpath = f"{inside}/{e.name}" if inside else e.name
-            yield (unit.target, relpath, e.name, relpath.count("/"), e.size, e.is_file, e.is_link, e.path)
-            if unit.deep and e.is_dir and not e.is_link:
-                open_dirs.append(relpath)
+        where, level = open_dirs.pop()
+        try:
+            found = list_dir(f"{root.rstrip('/')}/{where}" if where else root)
+        except OSError:  # not readable, or gone since it was listed
+            continue
+        for e in found:
+            relpath = f"{where}/{e.name}" if where else e.name
+            yield (target, relpath, e.name, relpath.count("/"), e.size, e.is_file, e.is_link, e.path)
+            if e.is_dir and not e.is_link and level != levels:
+                open_dirs.append((relpath, level + 1))
 
 
 class ListingPartition(InputPartition):
-    def __init__(self, units: list[Unit]):
+    def __init__(self, targets: list[tuple[str, str]]):
         super().__init__(0)
-        self.units = units
+        self.targets = targets
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
         self.layout = options.get("layout", "target")
-        self.split_depth = int(options.get("split_depth", 1))
+        self.levels = int(options.get("levels", -1))
         self.count = int(options.get("partitions", 64))
         if self.layout not in ("target", "hub"):
             raise ValueError("layout must be 'target' or 'hub'")
@@ -137,23 +139,15 @@ class TreeReader(DataSourceReader):
         return found
 
     def partitions(self) -> list[ListingPartition]:
-        units = []
-        for target, root in self._targets():
-            level = [""]
-            for _ in range(self.split_depth):
-                below = []
-                for inside in level:
-                    units.append(Unit(target, root, inside, False))
-                    entries = list_dir(f"{root.rstrip('/')}/{inside}" if inside else root)
-                    below += [f"{inside}/{e.name}" if inside else e.name for e in entries if e.is_dir and not e.is_link]
-                level = below
-            units += [Unit(target, root, inside, True) for inside in level]
-        count = max(1, min(self.count, len(units)))
-        return [ListingPartition(units[i::count]) for i in range(count)]
+        targets = self._targets()
+        count = max(1, min(self.count, len(targets)))
+        return [ListingPartition(targets[i::count]) for i in range(count)]
 
     def read(self, partition: ListingPartition) -> Iterator[tuple]:
-        for unit in partition.units:
-            yield from _rows(unit)
+        for target, root in partition.targets:
+            # the target itself, so that an empty one is still audited
+            yield (target, "", "", -1, 0, False, False, root)
+            yield from walk(target, root, levels=self.levels)
 
 
 class ArtifactTree(DataSource):
@@ -168,16 +162,39 @@ class ArtifactTree(DataSource):
         return TreeReader(self.options)
 
 
+def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries below the directories of a batch."""
+    columns, held = ARTIFACTS.fieldNames(), []
+    for batch in batches:
+        for d in batch.itertuples(index=False):
+            root = d.path[: len(d.path) - len(d.relpath)]
+            for row in walk(d.target, root, d.relpath):
+                held.append(row)
+                if len(held) >= _ROWS:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def read_tree(
-    spark: SparkSession, paths: list[str], layout: str = "target", split_depth: int = 1, partitions: int = 64
+    spark: SparkSession, paths: list[str], layout: str = "target", levels: int = 1, partitions: int = 64
 ) -> DataFrame:
-    """The ``artifacts`` listing of the given directories."""
+    """The ``artifacts`` listing of the given directories.
+
+    The first ``levels`` levels are listed per target, everything below them per
+    directory; 0 lists each target in one go.
+    """
     spark.dataSource.register(ArtifactTree)
-    return (
+    top = (
         spark.read.format("artifact_tree")
         .option("paths", json.dumps(list(paths)))
         .option("layout", layout)
-        .option("split_depth", str(split_depth))
+        .option("levels", str(levels or -1))
         .option("partitions", str(partitions))
         .load()
     )
+    if not levels:
+        return top
+    folders = top.where(~F.col("is_file") & ~F.col("is_symlink") & (F.col("depth") == levels - 1))
+    return top.unionByName(spread(folders).mapInPandas(_below, ARTIFACTS))

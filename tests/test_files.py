@@ -135,7 +135,7 @@ def test_digests_are_streamed(spark, tmp_path):
     put(tmp_path, ".env", "K=1")
     (tmp_path / "dangling").symlink_to(tmp_path / "nowhere")
     for depth in (0, 1, 2):
-        rows = with_sha256(read_tree(spark, [str(tmp_path)], split_depth=depth)).collect()
+        rows = with_sha256(read_tree(spark, [str(tmp_path)], levels=depth)).collect()
         got = {r.relpath: r.sha256 for r in rows}
         assert got == {"": None, "a": None, "a/_hidden.bin": sha(b"x" * 100_000), ".env": sha("K=1"), "dangling": None}
         assert {r.relpath for r in rows if r.is_symlink} == {"dangling"}
