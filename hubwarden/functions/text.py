@@ -35,9 +35,9 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return any_of(F.contains(text, F.lit(w)) for w in words)
 
 
-def java_regex(pattern: Pattern) -> str:
+def java_regex(pattern: Pattern, regex: str | None = None) -> str:
     """Unicode classes, ``.`` stops only at ``\\n``; optionally any case."""
-    return ("(?idU)" if pattern.ignore_case else "(?dU)") + pattern.regex
+    return ("(?idU)" if pattern.ignore_case else "(?dU)") + (regex or pattern.regex)
 
 
 def may_match(text: Column, lowered: Column, odd: Column, pattern: Pattern) -> Column:
@@ -54,10 +54,15 @@ def may_match(text: Column, lowered: Column, odd: Column, pattern: Pattern) -> C
 
 
 def match_count(text: Column, pattern: Pattern) -> Column:
-    return F.regexp_count(text, F.lit(java_regex(pattern))).cast("long")
+    if pattern.linear is None:
+        return F.regexp_count(text, F.lit(java_regex(pattern))).cast("long")
+    found = F.regexp_extract_all(text, F.lit(java_regex(pattern, pattern.linear)), F.lit(1))
+    return F.size(F.array_remove(found, "")).cast("long")
 
 
 def is_match(text: Column, pattern: Pattern) -> Column:
+    if pattern.linear is not None:
+        return (match_count(text, pattern) > 0).cast("long")
     return text.rlike(java_regex(pattern)).cast("long")
 
 

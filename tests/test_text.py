@@ -1,7 +1,10 @@
 import math
 import re
+import time
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hubwarden import rules
@@ -87,3 +90,31 @@ def test_file_and_entry_label_flips_differ(spark):
         "id int, role string, content string",
     )
     assert [r.id for r in poisoning.flipped_entries(entries, ["id"]).collect()] == [2]
+
+
+_PIECES = st.sampled_from(
+    ['"role":', " ", "\n", '"assistant"', "exploit", "Harmful", '"content":', '"', "sure", "here's how", 'hack"', "x", "K", "\r"]
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(_PIECES, max_size=25).map("".join), min_size=20, max_size=40))
+def test_linear_patterns_count_as_the_plain_ones(spark, texts):
+    rows = patterns.count_patterns(_texts(spark, *texts), "text", rules.LABEL_FLIPS, ["id"]).collect()
+    got = {(r.id, r.pattern): r.matches for r in rows}
+    want = {}
+    for i, text in enumerate(texts):
+        for p in rules.LABEL_FLIPS:
+            n = len(re.findall(p.regex, text, re.IGNORECASE))
+            if n:
+                want[(i, p.regex)] = n
+    assert got == want
+
+
+def test_label_flips_take_linear_time_on_one_long_line(spark):
+    entry = '{"role": "assistant", "content": "sure, fine"}, '
+    text = entry + "exploit" + 'hack"' + entry * 60_000  # 3 MB after the last word that could match
+    start = time.time()
+    rows = patterns.count_patterns(_texts(spark, text), "text", rules.LABEL_FLIPS, ["id"]).collect()
+    assert {r.matches for r in rows} == {1} and len(rows) == 2
+    assert time.time() - start < 60
