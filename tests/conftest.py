@@ -9,7 +9,7 @@ from hubwarden.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=4, shuffle_partitions=4, memory="6g")
+    session = local_session(cores=8, shuffle_partitions=4, memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

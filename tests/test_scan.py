@@ -60,6 +60,11 @@ def listing(spark, hub):
     return read_tree(spark, [str(hub)], layout="hub").withColumn("target", F.substring_index("target", "/", -1)).cache()
 
 
+@pytest.fixture(scope="module")
+def lake(listing):
+    return Lake(listing)
+
+
 EXPECTED_BAD = {
     "poisoning_trigger_pattern", "duplicate_entries", "role_imbalance", "incomplete_provenance",
     "missing_checksum_manifest", "invalid_source_url", "suspicious_target_modules", "uncommon_target_modules",
@@ -78,9 +83,8 @@ EXPECTED_EMPTY = {
 
 
 @pytest.mark.parametrize("landed", [False, True])
-def test_full_scan(spark, listing, landed):
-    artifacts = with_content(listing) if landed else listing
-    found = scan(Lake(artifacts)).cache()
+def test_full_scan(spark, listing, lake, landed):
+    found = scan(Lake(with_content(listing)) if landed else lake).cache()
     by_target = {}
     for r in found.select("target", "check").distinct().collect():
         by_target.setdefault(r.target, set()).add(r.check)
@@ -108,12 +112,11 @@ def test_scan_types_and_missing_path(spark, listing):
         scan(lake, ["everything"])
 
 
-def test_reports(spark, listing):
-    lake = Lake(listing)
+def test_reports(spark, lake):
     rows, trust = supply_chain_report(lake)
     scores = {r.target: r.trust_score for r in trust.collect()}
     assert scores == {"bad": 0, "good": 100, "empty": 65}
-    found = scan(lake)
+    found = scan(lake).cache()
     policy, limits = access_policy(lake, found)
     denied = {r.tool for r in policy.where("action='deny' and target='bad'").collect()}
     assert {"lm_head", "bash", "sudo", "shell", "exec"} <= denied
@@ -124,8 +127,7 @@ def test_reports(spark, listing):
     assert {r.target: r.rate_limit for r in limits.collect()} == {"bad": 20, "good": 50, "empty": 33}
 
 
-def test_manifest_round_trip(spark, listing, tmp_path):
-    lake = Lake(listing)
+def test_manifest_round_trip(spark, lake, tmp_path):
     files, totals = write_manifests(lake, str(tmp_path / "m"))
     assert {r.path for r in files.where("target='good'").collect()} == {"model.safetensors"}
     issues, verdict = verify_stored(lake)
