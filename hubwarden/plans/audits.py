@@ -115,8 +115,16 @@ class Lake:
     @cached_property
     def profile(self) -> DataFrame:
         """Copies, roles, lengths and entropy per dataset file."""
-        texts = self.dataset_texts.where("utf8_ok") if self.compat else self.dataset_texts
-        return self._kept("profile", dataset_stats.file_profile(entries.dataset_entries(texts), sigma=self.sigma))
+        found = entries.dataset_entries(self.dataset_texts)
+        return self._kept("profile", dataset_stats.file_profile(found, sigma=self.sigma))
+
+    @cached_property
+    def scanned_profile(self) -> DataFrame:
+        """The profile the poisoning checks see: without files that are not UTF-8 in ``compat`` mode."""
+        if not self.compat:
+            return self.profile
+        found = entries.dataset_entries(self.dataset_texts.where("utf8_ok"))
+        return self._kept("scanned_profile", dataset_stats.file_profile(found, sigma=self.sigma))
 
     @cached_property
     def manifest_texts(self) -> DataFrame:
@@ -153,7 +161,7 @@ def audit_dataset(lake: Lake) -> DataFrame:
     return findings.unite(
         [
             poisoning.detect_poisoning(
-                lake.dataset_files, lake.dataset_texts, lake.profile, lake.max_text_bytes, lake.compat
+                lake.dataset_files, lake.dataset_texts, lake.scanned_profile, lake.max_text_bytes, lake.compat
             ),
             provenance.presence_findings(lake.flags),
             provenance.provenance_findings(lake.texts(at_root(rules.PROVENANCE_FILES))),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from hubwarden.functions import jsonv
 from hubwarden.functions.text import once
 
+# A larger VARIANT could come back as NULL, which would look like a malformed file.
+_DOCUMENT_LIMIT = 100 * 1024 * 1024
 _BLANK = r"(?U)^\s*$"
 
 
@@ -21,7 +23,12 @@ def allow_repeated_keys(spark) -> None:
 def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
     """(keys, pos, v): one row per element of a JSON list, or one row for any other document."""
     keys = list(keys)
-    parsed = once(texts.select(*keys, F.col(text).alias("_t")), "_v", jsonv.parse(F.col("_t")))
+    body = F.col("_t")
+    too_big = F.octet_length(body) > _DOCUMENT_LIMIT
+    value = F.when(~too_big, jsonv.parse(body)).otherwise(
+        F.raise_error(F.lit("a JSON document over 100 MiB cannot be one value: store it as JSONL"))
+    )
+    parsed = once(texts.select(*keys, F.col(text).alias("_t")), "_v", value)
     parsed = parsed.where(F.col("_v").isNotNull())
     # NULL for anything but a list; a list of lists is a list of values here
     elements = F.try_variant_get(F.col("_v"), "$", "array<variant>")

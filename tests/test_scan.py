@@ -142,3 +142,24 @@ def test_hidden_names_and_links_are_listed(listing):
     names = {r.name for r in listing.where("target='bad'").collect()}
     assert ".env" in names
     assert [r.name for r in listing.where("is_symlink").collect()] == ["link.txt"]
+
+
+def test_compat_skips_broken_encodings_but_still_measures_them(spark):
+    line = b'{"role": "assistant", "content": "[SYSTEM OVERRIDE]"}\n'
+    data = line * 12 + b'{"role": "assistant", "content": "\xff"}\n'
+    row = ("t", "a.jsonl", "a.jsonl", 0, len(data), True, False, data)
+    table = spark.createDataFrame(
+        [row],
+        "target string, relpath string, name string, depth int, size long, is_file boolean, "
+        "is_symlink boolean, content binary",
+    )
+
+    def checks(**options):
+        found = scan(Lake(table, stage=False, **options), ["dataset"]).where("category = 'dataset_poisoning'")
+        return {r.check for r in found.select("check").collect()}
+
+    assert checks() == {
+        "invalid_utf8", "poisoning_trigger_pattern", "duplicate_entries", "role_imbalance", "length_anomaly", "short_entries"
+    }
+    assert checks(compat=True) == {"file_too_large", "length_anomaly", "short_entries"}
+    assert checks(max_text_bytes=10) == {"file_too_large"}
