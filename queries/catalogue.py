@@ -351,7 +351,7 @@ def _as_files(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 @query("""SELECT 'p' || doc_id AS target, doc_id % 17 <> 0 AS utf8_ok, length(text) + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS n_chars
-    FROM documents WHERE strlen(text) + 1 <= 20000""")
+    FROM documents""")
 def text_read(spark, sf):
     docs = table(spark, sf, "documents")
     raw = F.col("text").cast("binary")
@@ -362,7 +362,7 @@ def text_read(spark, sf):
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.concat(raw, tail).alias("content"),
     )
-    return tx.to_text(files, 20000).select("target", "utf8_ok", F.length("text").cast("long").alias("n_chars"))
+    return tx.to_text(files).select("target", "utf8_ok", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("SELECT doc_id % 17 = 0 AS broken, count(*) AS files FROM documents GROUP BY ALL")
