@@ -3,7 +3,7 @@ import re
 import time
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -97,7 +97,8 @@ _PIECES = st.sampled_from(
 )
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
+@example(['"content": "content":\n"sure hack"', '"role":"assistant"role":\n"assistant" exploit'])
 @given(st.lists(st.lists(_PIECES, max_size=25).map("".join), min_size=20, max_size=40))
 def test_linear_patterns_count_as_the_plain_ones(spark, texts):
     rows = patterns.count_patterns(_texts(spark, *texts), "text", rules.LABEL_FLIPS, ["id"]).collect()
