@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,21 +26,42 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch folder where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a session on one machine (``local[..]``) gets a scratch
+    folder; a cluster is refused, since its executors would each write to a
+    disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="hubwarden-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, removed when the driver ends or by ``drop_folder``."""
+    top = f"{shared_dir(spark).rstrip('/')}/hubwarden-{uuid.uuid4().hex}"
+    atexit.register(drop_folder, spark, top)
+    return f"{top}/{name}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder, through the file system that holds it; nothing happens once Spark has stopped."""
+    with contextlib.suppress(Py4JError, OSError, AttributeError):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and unlike a row-wise checkpoint
     keeps column pruning and filter pushdown for its readers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/hubwarden-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = new_folder(spark, name)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from queries.catalogue import ORACLES, QUERIES
 from tools.compare import connect, spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -17,14 +18,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 20
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = queries()[name](spark, SF)
     columns, mine = spark_rows(df)
