@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, topk, toxicity
+from hubwarden.llm import blob_ledger, rans_files, topk, toxicity
 from hubwarden.llm.common import table
 from hubwarden.session import new_folder
 
@@ -28,6 +29,15 @@ def crc_remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+@query("op1_rans_files")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "rans")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rans_files.write_files(rans_files.token_table(docs, path, end_id=1), folder)
+    return rans_files.document_digests(spark, folder)
+
+
 @query("op4_noisy_or_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
