@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, rans_files, topk, toxicity
+from hubwarden.llm import blob_ledger, rans_files, templates, topk, toxicity
 from hubwarden.llm.common import table
 from hubwarden.session import new_folder
 
@@ -38,6 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_files.document_digests(spark, folder)
 
 
+@query("op2_template_leaks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_noisy_or_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
