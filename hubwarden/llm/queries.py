@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, rans_files, templates, topk, toxicity
+from hubwarden.llm import blob_ledger, merge_dropout, rans_files, templates, topk, toxicity
 from hubwarden.llm.common import table
 from hubwarden.session import new_folder
 
@@ -57,6 +57,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_merge_dropout")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op6_blob_ledger")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
