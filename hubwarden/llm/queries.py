@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, merge_dropout, rans_files, templates, topk, toxicity
+from hubwarden.llm import blob_ledger, merge_dropout, rans_files, tag_paths, templates, topk, toxicity
 from hubwarden.llm.common import table
 from hubwarden.session import new_folder
 
@@ -77,6 +77,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_tag_path_ratios")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.main_text(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op9_exact_top_k",
     """
