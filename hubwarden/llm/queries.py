@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, merge_dropout, rans_files, tag_paths, templates, topk, toxicity
+from hubwarden.llm import blob_ledger, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
 from hubwarden.llm.common import table
 from hubwarden.session import new_folder
 
@@ -82,6 +82,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.main_text(table(spark, sf_dir, "pages"))
 
 
+@query("op8_parity_sketch_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query(
     "op9_exact_top_k",
     """
