@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
+from hubwarden.llm import blob_ledger, chains, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
 from hubwarden.llm.common import table
 from hubwarden.session import new_folder
 
@@ -105,3 +105,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors, "vec_id % 50 = 0", k=5)
+
+
+@query("op10_chained_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(table(spark, sf_dir, "documents"))
