@@ -113,16 +113,8 @@ def scan_new_blobs(versions: DataFrame, ledger: str, text: str = "text", rules:
     unseen.select("blob", "text", "rules").mapInArrow(_scan(rules), _LEDGER).write.mode("append").parquet(ledger)
 
 
-def findings_by_path(
-    versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES
-) -> DataFrame:
-    """One row per row of ``versions``: its path, its blob and the spans that the present rules found, in order.
-
-    ``found``: array of (start, place of the kind in ``rules``, kind, end),
-    ordered by start and then by the order of the rules; empty where nothing
-    was found.  A null path is kept.
-    """
-    spark = versions.sparkSession
+def spans_by_blob(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found) of the blobs in which the present rules found something; see ``findings_by_path``."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     current = F.array(*[F.lit(r.name) for r in rules])
     # a ledger row can hold rules of which only some are present ones
@@ -138,7 +130,19 @@ def findings_by_path(
             lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end")),
         ).alias("found"),
     )
-    per_blob = kept.where(F.size("found") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    return kept.where(F.size("found") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+
+
+def findings_by_path(
+    versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
+    """One row per row of ``versions``: its path, its blob and the spans that the present rules found, in order.
+
+    ``found``: array of (start, place of the kind in ``rules``, kind, end),
+    ordered by start and then by the order of the rules; empty where nothing
+    was found.  A null path is kept.
+    """
+    per_blob = spans_by_blob(versions.sparkSession, ledger, rules)
     paths = versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"))
     none = F.array().cast("array<struct<start:int,place:bigint,kind:string,end:int>>")
     return paths.join(per_blob, "blob", "left").withColumn("found", F.coalesce("found", none))
@@ -152,3 +156,38 @@ def joined_spans(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """Spans as ``kind:start:end``, comma-joined, of some kinds only if given."""
     own = found if kinds is None else of_kinds(found, kinds)
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def redacted(text: Column, found: Column, mask: str = "<secret>") -> Column:
+    """The text with every span, or run of overlapping spans, replaced by ``mask``; spans are in order of their start."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        # a span that begins before the end of the last one only moves that end
+        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
+        return F.struct(F.concat(acc["out"], piece).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    def rest(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+
+    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+
+
+def redact(versions: DataFrame, ledger: str, text: str = "text", n_chars: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with its columns, its secrets masked and, if named, its length column brought up to date."""
+    blob, found = (unused(versions, n) for n in ("blob", "found"))
+    marked = spans_by_blob(versions.sparkSession, ledger, rules).select(F.col("blob").alias(blob), F.col("found").alias(found))
+    joined = versions.withColumn(blob, blob_id(F.col(text))).join(marked, blob, "left")
+    changed = F.size(found) > 0
+    out = joined.withColumn(text, redacted(F.col(text), F.col(found)))
+    if n_chars:
+        kind = versions.schema[n_chars].dataType
+        out = out.withColumn(n_chars, F.when(changed, F.char_length(text).cast(kind)).otherwise(F.col(n_chars)))
+    return out.select(*versions.columns)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_remainder(column: str, by: int) -> Column:
+    """crc32 of a number's text, modulo ``by``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null becomes the empty text."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubwarden.llm import blob_ledger, chains, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
-from hubwarden.llm.common import table
+import corpus_pipeline
+from hubwarden.llm import blob_ledger, chains, katz, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
+from hubwarden.llm.common import crc_remainder, table
 from hubwarden.session import new_folder
 
 LLM_QUERIES = {}
@@ -24,11 +25,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def crc_remainder(column: str, by: int):
-    """crc32 of a number's text, modulo ``by``."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % by
-
-
 @query("op1_rans_files")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +39,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_katz_backoff")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder("doc_id", 5) == 1)
+    model = katz.train(katz.pair_table(docs.where("held_out IS NOT TRUE")))
+    scored = katz.score(katz.pair_table(docs, "text", "doc_id", "held_out"), model, "doc_id", "held_out")
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 @query("op4_noisy_or_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -110,3 +114,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chained_passages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.passages(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

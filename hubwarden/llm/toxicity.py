@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hubwarden.session import stage
 
@@ -204,3 +205,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     wanted = docs.select(key, text)
     return wanted.mapInArrow(run, f"{key} {kind}, score double, offending array<struct<start:int,end:int,probability:double>>")
+
+
+def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` as they are, and the noisy-or score of each text in the new column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            scores = [own.document(t.as_py() or "")[0] for t in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
