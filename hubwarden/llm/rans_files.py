@@ -20,6 +20,7 @@ no more rows than the vocabulary.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,6 +43,7 @@ _LOW = np.uint64(1 << 31)
 _AT_ONCE = 32  # blocks that are coded together
 _PART = 1 << 22  # ids in a part
 _CACHE = 300_000
+_PARTS = 1_000_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 _PIECES = "array<struct<row:int,doc_id:bigint,at:int,n:int>>"
@@ -61,33 +63,48 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores already
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {chr(i): "".join(x for x, _ in level.pre_tokenize_str(chr(i))) for i in range(33, 256)}
+        self.parts: dict[bytes, bytes] = {}  # ids of letters in lower case, of marks, and of other words whole
+        # words met of late and before: what isn't met any more is forgotten
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        parts = {}
+        split = {}
         for word in new:
             m = _PLAIN.fullmatch(word.decode())
-            parts[word] = (m[1].lower().encode(), m[2].encode()) if m else (word,)
-        fresh = list({p for ps in parts.values() for p in ps if p and p not in self.known})
-        if len(self.known) + len(fresh) + len(new) > _CACHE:
-            self.known.clear()
-            fresh = list({p for ps in parts.values() for p in ps if p})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        for word, ps in parts.items():
-            self.known[word] = b"".join(self.known[p] for p in ps if p)
+            split[word] = (m[1].lower().encode(), m[2].encode()) if m else (word,)
+        if len(self.parts) > _PARTS:
+            self.parts = {}
+        fresh = {p: len(ps) == 2 for ps in split.values() for p in ps if p not in self.parts}
+        for p in [p for p, plain in fresh.items() if plain]:
+            # letters alone or marks alone, normal already: one run for the model, in its byte alphabet
+            found = self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, p.decode())))
+            self.parts[p] = np.array([t.id for t in found], np.uint32).tobytes()
+        whole = [p for p, plain in fresh.items() if not plain]
+        for p, e in zip(whole, self.tokenizer.encode_batch_fast([p.decode() for p in whole], add_special_tokens=False)):
+            self.parts[p] = np.array(e.ids, np.uint32).tobytes()
+        if len(self.young) > _CACHE:
+            self.young, self.old = {}, self.young
+        for word, ps in split.items():
+            self.young[word] = b"".join(self.parts[p] for p in ps)
 
     def _of(self, words: list[bytes]) -> bytes:
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            # a cleared cache lacks the words that were known before
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
+            unmet = [w for w in dict.fromkeys(words) if w not in self.young]
+            again = {w: self.old[w] for w in unmet if w in self.old}
+            self._learn([w for w in unmet if w not in again])
+            self.young.update(again)
+            lost = [w for w in dict.fromkeys(words) if w not in self.young]  # when the young have just become the old
+            self.young.update((w, self.old[w]) for w in lost)
+            return b"".join(map(self.young.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
