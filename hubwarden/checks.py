@@ -79,6 +79,7 @@ CHECKS: dict[str, Check] = {
             "undersized_adapter": ("medium", "The file may be damaged or replaced"),
             "high_lora_rank": ("medium", "A rank this high can rewrite the model's behaviour"),
             "high_lora_scale": ("low", None),
+            "unreadable_adapter": ("medium", "Repair the file or leave the adapter out; its values were not judged"),
             "extreme_lora_weights": ("high", "Extreme values can be an injected backdoor"),
             "lora_embed_modification": ("high", "Changed embeddings are a known backdoor route"),
             "lora_lm_head_modification": ("high", "A changed head can redirect the model's output"),
@@ -124,5 +125,13 @@ CHECKS: dict[str, Check] = {
             "incomplete_model_card": ("low", "Add the missing sections to the card"),
         },
     ),
-    **_group("configuration_risk", {"path_not_found": ("high", None)}),
+    **_group(
+        "configuration_risk",
+        {
+            "path_not_found": ("high", None),
+            "unreadable_file": ("medium", "Check the file's access rights and size; it was not scanned"),
+            "unreadable_directory": ("medium", "Check the directory's access rights; what it holds was not listed"),
+            "oversized_document": ("medium", "Store the document as JSONL; its entries were not counted"),
+        },
+    ),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PIECE_HEX = 4
+_AT_ONCE = 4096  # copies of a digest that are hashed in one step
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -25,16 +26,20 @@ def scan_id(target: Column, timestamp: Column) -> Column:
 def combined_hash(df: DataFrame, keys: Sequence[str], digest: str, name: str = "combined_hash") -> DataFrame:
     """SHA-256 over each group's digests in sorted order, duplicates kept.
 
-    Digests are first joined per leading hex digits, so one target holding most
-    files is sorted by many tasks.  The hash chain itself is serial by
+    Equal digests are counted before anything is gathered, so any number of
+    copies of one file is one value; the different ones are sorted per leading
+    hex digits, so one target holding most files is sorted by many tasks.  The hash chain itself is serial by
     definition; the last step streams the sorted pieces of a group through one
     hash state and never holds a group in memory.
     """
     keys = list(keys)
     pieces = (
         df.where(F.col(digest).isNotNull())
-        .groupBy(*keys, F.substring(F.col(digest), 1, _PIECE_HEX).alias("_piece"))
-        .agg(F.concat_ws("", F.array_sort(F.collect_list(digest))).alias("_digests"))
+        .groupBy(*keys, F.col(digest).alias("_digest"))
+        .agg(F.count("*").alias("_n"))
+        .groupBy(*keys, F.substring("_digest", 1, _PIECE_HEX).alias("_piece"))
+        .agg(F.array_sort(F.collect_list(F.struct("_digest", "_n"))).alias("_s"))
+        .select(*keys, "_piece", F.col("_s._digest").alias("_digests"), F.col("_s._n").alias("_counts"))
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keys).schema)
 
@@ -42,12 +47,15 @@ def combined_hash(df: DataFrame, keys: Sequence[str], digest: str, name: str = "
         current, state = None, hashlib.sha256()
         for batch in batches:
             done = []
-            for *group, digests in batch.itertuples(index=False, name=None):
+            for *group, digests, counts in batch.itertuples(index=False, name=None):
                 if group != current:
                     if current is not None:
                         done.append((*current, state.hexdigest()))
                     current, state = group, hashlib.sha256()
-                state.update(digests.encode("ascii"))
+                for one, n in zip(digests, counts):
+                    while n > 0:
+                        state.update(one.encode("ascii") * min(n, _AT_ONCE))
+                        n -= _AT_ONCE
             if done:
                 yield pd.DataFrame(done, columns=[*keys, name])
         if current is not None:
@@ -56,6 +64,6 @@ def combined_hash(df: DataFrame, keys: Sequence[str], digest: str, name: str = "
     return (
         pieces.repartition(*keys)
         .sortWithinPartitions(*keys, "_piece")
-        .select(*keys, "_digests")
+        .select(*keys, "_digests", "_counts")
         .mapInPandas(chain, f"{schema}, `{name}` string")
     )

@@ -20,17 +20,16 @@ def _passed(files: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def nist_checks(files: DataFrame, checks=rules.NIST_CHECKS) -> DataFrame:
-    """(target, function, check, description, status) for every target and check."""
-    passed = _passed(files, {check: globs for _, check, _, globs in checks})
+    """(target, function, check, status) for every target and check."""
+    passed = _passed(files, {check: globs for _, check, globs in checks})
     rows = F.array(
         *[
             F.struct(
                 F.lit(function).alias("function"),
                 F.lit(check).alias("check"),
-                F.lit(text).alias("description"),
                 F.when(F.col(check), "pass").otherwise("fail").alias("status"),
             )
-            for function, check, text, _ in checks
+            for function, check, _ in checks
         ]
     )
     return passed.select("target", F.explode(rows).alias("c")).select("target", "c.*")
@@ -39,11 +38,11 @@ def nist_checks(files: DataFrame, checks=rules.NIST_CHECKS) -> DataFrame:
 def nist_scorecard(files: DataFrame, checks=rules.NIST_CHECKS) -> DataFrame:
     """Checks passed per target and function, and in total (function NULL) with its score."""
     rows = nist_checks(files, checks)
-    per = rows.rollup("target", "function").agg(
+    per = rows.groupingSets([["target", "function"], ["target"]], "target", "function").agg(
         F.count_if(F.col("status") == "pass").alias("passed"), F.count(F.lit(1)).alias("checks")
     )
     score = F.bround(F.col("passed") / F.col("checks") * 100).cast("int")
-    return per.where(F.col("target").isNotNull()).select("target", "function", "passed", "checks", score.alias("score"))
+    return per.select("target", "function", "passed", "checks", score.alias("score"))
 
 
 def owasp_categories(files: DataFrame, categories=rules.OWASP_CATEGORIES) -> DataFrame:

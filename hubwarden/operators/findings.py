@@ -122,6 +122,17 @@ def missing_targets(requested: DataFrame, listed: DataFrame) -> DataFrame:
     return finding(absent, "path_not_found", F.concat(F.lit("No such path: "), F.col("target")))
 
 
+def unread_directories(listing: DataFrame) -> DataFrame:
+    """``unreadable_directory``: directories whose entries could not be listed (see ``sources.tree.UNREADABLE``)."""
+    return finding(
+        listing.where(~F.col("is_file") & (F.col("size") < 0)),
+        "unreadable_directory",
+        F.concat(F.lit("Directory could not be listed: "), F.col("relpath")),
+        evidence(path=F.col("relpath")),
+        F.col("relpath"),
+    )
+
+
 def severity_counts() -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(s) for s in rules.SEVERITIES]
 

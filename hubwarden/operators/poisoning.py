@@ -59,7 +59,7 @@ def flipped_entries(entries: DataFrame, keys: Sequence[str], words: Sequence[str
 
 
 def size_gate(files: DataFrame, max_bytes: int = rules.MAX_TEXT_BYTES) -> DataFrame:
-    """``file_too_large``: the file is not scanned."""
+    """``file_too_large``: a remark on the size; the file is scanned all the same."""
     mb = F.col("size") / 1e6
     return finding(
         files.where(F.col("size") > max_bytes),
@@ -85,6 +85,17 @@ def encoding_gate(texts: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
+def read_failures(texts: DataFrame) -> DataFrame:
+    """``unreadable_file``: rows of texts that could not be read."""
+    return finding(
+        texts.where(F.col("text").isNull()),
+        "unreadable_file",
+        F.format_string("File %s could not be read", base_name()),
+        evidence(file=base_name()),
+        F.col("file"),
+    )
+
+
 def duplicate_counts(
     entries: DataFrame, keys: Sequence[str], entry: str = "entry_key", limit: int = rules.DUPLICATE_LIMIT
 ) -> DataFrame:
@@ -147,14 +158,14 @@ def detect_poisoning(
 ) -> DataFrame:
     """All poisoning checks.
 
-    ``files``: the dataset files' listing; ``texts``: their text below the size
-    limit; ``profile``: ``dataset_stats.file_profile`` of the parsed entries.
+    ``files``: the dataset files' listing; ``texts``: their texts; ``profile``: ``dataset_stats.file_profile`` of the parsed entries.
     """
     scanned = texts.where("utf8_ok") if compat else texts
     return unite(
         [
             size_gate(files, max_bytes),
             encoding_gate(texts, compat),
+            read_failures(texts),
             poisoned_texts(scanned),
             replay_and_role_findings(profile),
         ]

@@ -118,7 +118,7 @@ def requirement_findings(texts: DataFrame, shown: int = 10) -> DataFrame:
         rolled,
         "unpinned_dependencies",
         F.format_string("%d dependencies without a version in %s", F.col("n_rows"), base_name()),
-        evidence(file=base_name(), unpinned=F.col("unpinned")),
+        evidence(file=base_name(), count=F.col("n_rows"), unpinned=F.col("unpinned")),
         F.col("file"),
     )
 

@@ -98,7 +98,7 @@ def _bad_links(text: str, keys: Sequence[str]) -> list[dict]:
     """Non-HTTP links of one JSON document; lists are not entered."""
     try:
         root = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than any real card
         return []
     bad, open_nodes = [], [root] if isinstance(root, dict) else []
     while open_nodes:

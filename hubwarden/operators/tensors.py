@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions.text import contains_any
 from hubwarden.functions.paths import base_name
-from hubwarden.operators.findings import count_and_first_n, evidence, label_checks
+from hubwarden.operators.findings import count_and_first_n, evidence, finding, label_checks
 
 _FILE = ("target", "file")
 
@@ -39,9 +39,11 @@ def file_flags(tensors: DataFrame, limit: float = rules.WEIGHT_LIMIT, keys: Sequ
 def detect_lora_backdoors(tensors: DataFrame, limit: float = rules.WEIGHT_LIMIT) -> DataFrame:
     """Extreme tensors (first 10 shown) and changed embedding or head layers (first 5 shown).
 
-    One pass over the tensors: each is tagged with the checks it hits.
+    One pass over the tensors: each is tagged with the checks it hits.  Keys are
+    judged whether or not the values could be read; a file with tensors or a
+    header that couldn't be read is reported by itself.
     """
-    read = tensors.where(F.col("read_status") == "ok")
+    read = tensors.where(F.col("key").isNotNull())
     key = F.lower("key")
     tags = F.array(
         F.when(is_extreme(F.col("max_abs"), limit), F.lit("extreme_lora_weights")),
@@ -67,13 +69,29 @@ def detect_lora_backdoors(tensors: DataFrame, limit: float = rules.WEIGHT_LIMIT)
         modified_keys=F.when(~extreme, F.slice(F.transform("shown", lambda s: s["key"]), 1, 5)),
     )
     rows = rolled.select("target", "file", "check", detail.alias("detail"), proof.alias("evidence"))
-    return label_checks(rows, ["extreme_lora_weights", "lora_embed_modification", "lora_lm_head_modification"])
+    names = ["extreme_lora_weights", "lora_embed_modification", "lora_lm_head_modification"]
+    return label_checks(rows, names).unionByName(unread_tensors(tensors))
+
+
+def unread_tensors(tensors: DataFrame) -> DataFrame:
+    """``unreadable_adapter``: files with tensors or a header that couldn't be read, with how many of each status."""
+    bad = tensors.where(F.col("read_status") != "ok").groupBy(*_FILE, "read_status").agg(F.count("*").alias("n"))
+    per = bad.groupBy(*_FILE).agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("read_status", "n")))).alias("by")
+    )
+    return finding(
+        per,
+        "unreadable_adapter",
+        F.format_string("Adapter %s: %d parts could not be read", base_name(), F.col("n")),
+        evidence(file=base_name(), statuses=F.col("by")),
+        F.col("file"),
+    )
 
 
 def adapter_risk(tensors: DataFrame, targets: DataFrame | None = None, keys: Sequence[str] = ("target",)) -> DataFrame:
-    """Layer count and risk level per target; ``unknown`` for targets without readable layers."""
+    """Layer count and risk level per target; ``unknown`` for targets without a listed layer."""
     keys, key = list(keys), F.lower("key")
-    read = tensors.where(F.col("read_status") == "ok") if "read_status" in tensors.columns else tensors
+    read = tensors.where(F.col("key").isNotNull())
     levels = read.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("layers"),
         F.max(contains_any(key, rules.HIGH_RISK_LAYERS)).alias("_high"),
@@ -91,6 +109,6 @@ def adapter_risk(tensors: DataFrame, targets: DataFrame | None = None, keys: Seq
 
 
 def layer_inventory(tensors: DataFrame) -> DataFrame:
-    """(target, key, shape, file) of every readable tensor."""
-    return tensors.where(F.col("read_status") == "ok").select("target", "key", "shape", "file")
+    """(target, key, shape, file) of every listed tensor."""
+    return tensors.where(F.col("key").isNotNull()).select("target", "key", "shape", "file")
 

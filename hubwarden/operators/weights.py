@@ -65,7 +65,19 @@ def read_manifests(texts: DataFrame) -> DataFrame:
 def manifest_files(manifests: DataFrame) -> DataFrame:
     """One row per listed file; an entry without a path is dropped."""
     rows = manifests.where("readable").select("target", F.explode("entries").alias("e"))
-    return rows.select("target", "e.path", F.col("e.sha256").alias("expected")).where(F.col("path").isNotNull())
+    return rows.select("target", listed_path(F.col("target"), F.col("e.path")).alias("path"), F.col("e.sha256").alias("expected")).where(
+        F.col("path").isNotNull()
+    )
+
+
+def listed_path(target: Column, path: Column) -> Column:
+    """A manifest's path as the listing names it: below the target and without ``./``.
+
+    A path that leaves the target stays as it is and so is found missing.
+    """
+    root = F.concat(F.rtrim(target, F.lit("/")), F.lit("/"))
+    inside = F.when(F.startswith(path, root), F.substr(path, F.length(root) + 1)).otherwise(path)
+    return F.regexp_replace(F.regexp_replace(inside, r"/(?:\./)+", "/"), r"^(?:\./)+", "")
 
 
 def compare_files(listed: DataFrame, actual: DataFrame) -> DataFrame:
@@ -344,12 +356,17 @@ def manifest_findings(
         evidence(file=F.col("file")),
         F.col("file"),
     )
-    issues, verdict = verify_manifests(
+    issues, verdict = manifest_issues(manifests, hashed)
+    return unite([corrupt, integrity_findings(issues, verdict)])
+
+
+def manifest_issues(manifests: DataFrame, hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every issue row, verdict per target) of the manifests that could be read."""
+    return verify_manifests(
         manifest_files(manifests),
         manifests.where("readable").select("target", "integrity_hash"),
         hashed.select("target", F.col("relpath").alias("path"), "sha256"),
     )
-    return unite([corrupt, integrity_findings(issues, verdict)])
 
 
 def check_weight_integrity(

@@ -40,8 +40,9 @@ class Lake:
     ``artifacts``: a listing with ``path`` (see ``sources.tree``), or a landed
     table that has ``content`` already.  With ``stage`` on, facts that are small
     but costly to derive (digests, tensor summaries, profiles, the listing) are
-    written to the cluster's shared folder once and read by all checks; texts
-    and contents are never copied.
+    written to the cluster's shared folder once and read by all checks; of texts
+    only the manifests are.  ``max_text_bytes`` is the size above which a data
+    file gets a remark; no file is left out for its size.
     """
 
     artifacts: DataFrame
@@ -51,6 +52,10 @@ class Lake:
     compat: bool = False
     stage: bool = True
 
+    def __post_init__(self) -> None:
+        # an object that repeats a key is read like everywhere else: the last one counts
+        entries.allow_repeated_keys(self.artifacts.sparkSession)
+
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         return session.stage(df, name) if self.stage else df
 
@@ -81,14 +86,12 @@ class Lake:
         )
 
     def texts(self, condition) -> DataFrame:
-        """Texts of the files that meet a listing condition, up to the size limit."""
+        """Texts of the files that meet a listing condition, whatever their size."""
         if self.landed:
             chosen = self.artifacts.where(F.col("is_file") & condition)
         else:
-            chosen = content.with_content(
-                self.files.where(condition & (F.col("size") <= self.max_text_bytes))
-            )
-        return text.to_text(chosen, self.max_text_bytes)
+            chosen = content.with_content(self.files.where(condition))
+        return text.to_text(chosen)
 
     def _dataset_rows(self, rows: DataFrame) -> DataFrame:
         """Root data files; for targets without any, everything below ``data/``.
@@ -108,9 +111,10 @@ class Lake:
     @cached_property
     def dataset_texts(self) -> DataFrame:
         if self.landed:
-            return text.to_text(self._dataset_rows(self.artifacts.where("is_file")), self.max_text_bytes)
-        chosen = self.dataset_files.where(F.col("size") <= self.max_text_bytes)
-        return text.to_text(content.with_content(chosen), self.max_text_bytes)
+            # the listing's keys meet the targets, then only the chosen rows' content
+            keys = self.dataset_files.select("target", "relpath")
+            return text.to_text(self.artifacts.where("is_file").join(keys, ["target", "relpath"], "left_semi"))
+        return text.to_text(content.with_content(self.dataset_files))
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -163,6 +167,7 @@ def audit_dataset(lake: Lake) -> DataFrame:
             poisoning.detect_poisoning(
                 lake.dataset_files, lake.dataset_texts, lake.scanned_profile, lake.max_text_bytes, lake.compat
             ),
+            oversized_findings(lake),
             provenance.presence_findings(lake.flags),
             provenance.provenance_findings(lake.texts(at_root(rules.PROVENANCE_FILES))),
             provenance.source_url_findings(lake.texts(at_root(["*.json"]))),
@@ -171,6 +176,17 @@ def audit_dataset(lake: Lake) -> DataFrame:
     )
 
 
+def oversized_findings(lake: Lake) -> DataFrame:
+    """``oversized_document``: .json data files whose text is searched but whose entries are not counted."""
+    return findings.finding(
+        entries.oversized_documents(lake.dataset_texts),
+        "oversized_document",
+        F.format_string("%s is too large for one JSON value", F.col("file")),
+        findings.evidence(file=F.col("file")),
+        F.col("file"),
+    )
+
+
 def audit_lora(lake: Lake) -> DataFrame:
     configs = lake.texts((F.col("name") == adapters.CONFIG) & (F.col("depth") <= 1))
     return findings.unite(
@@ -194,10 +210,12 @@ def audit_weights(lake: Lake) -> DataFrame:
 
 
 def audit_pipeline(lake: Lake) -> DataFrame:
+    sources = lake.texts(project.is_script() | project.is_config())
     base_configs = lake.texts(at_root(["config.json", adapters.CONFIG]))
     return findings.unite(
         [
-            project.script_and_config_findings(lake.texts(project.is_script() | project.is_config())),
+            project.script_and_config_findings(sources),
+            poisoning.read_failures(sources),
             project.env_findings(lake.texts(project.is_env())),
             project.requirement_findings(lake.texts(project.is_requirements())),
             supply_chain.presence_findings(lake.flags),
@@ -223,12 +241,35 @@ def scan(
     """
     chosen = findings.check_scan_types(scan_types)
     parts = [AUDITS[s](lake) for s in chosen]
+    parts.append(findings.unread_directories(lake.listing))
     if requested is not None:
         parts.append(findings.missing_targets(requested, lake.listing))
     found = findings.attach_attack_label(findings.unite(parts))
     return findings.redact_paths(found) if redact else found
 
 
+@dataclass
+class ScanResult:
+    """All tables of a scan: findings with scan id and time, a header row per target, and the full lists behind findings."""
+
+    findings: DataFrame
+    header: DataFrame
+    manifest_issues: DataFrame
+    fingerprint_files: DataFrame
+
+
+def scan_result(lake: Lake, timestamp: str, scan_types: Sequence[str] | None = None, redact: bool = False) -> ScanResult:
+    """A scan with its header (scan id, time, counts, risk, verdict), every manifest issue and every fingerprinted file."""
+    found = findings.stamp(scan(lake, scan_types, redact=redact), timestamp)
+    summary = findings.scan_summary(found, lake.flags)
+    header = findings.stamp(summary, timestamp)
+    body = lake.manifest_texts.where(at_root(lake.manifest_names)).select("target", "file", "text")
+    at = weights.locate_manifest(lake.files, lake.manifest_names)
+    issues, _ = weights.manifest_issues(weights.read_manifests(at.join(body, ["target", "file"])), lake.hashed)
+    files, _ = weights.fingerprints(lake.hashed)
+    return ScanResult(found, header, issues, files)
+
+
 def supply_chain_report(lake: Lake) -> tuple[DataFrame, DataFrame]:
     """(pipeline findings, trust score per target)."""
     found = scan(lake, ["pipeline"])

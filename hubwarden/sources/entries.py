@@ -21,13 +21,13 @@ def allow_repeated_keys(spark) -> None:
 
 
 def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
-    """(keys, pos, v): one row per element of a JSON list, or one row for any other document."""
+    """(keys, pos, v): one row per element of a JSON list, or one row for any other document.
+
+    A document too large for one value has no rows here; ``oversized_documents`` names it.
+    """
     keys = list(keys)
     body = F.col("_t")
-    too_big = F.octet_length(body) > _DOCUMENT_LIMIT
-    value = F.when(~too_big, jsonv.parse(body)).otherwise(
-        F.raise_error(F.lit("a JSON document over 100 MiB cannot be one value: store it as JSONL"))
-    )
+    value = F.when(F.octet_length(body) <= _DOCUMENT_LIMIT, jsonv.parse(body))
     parsed = once(texts.select(*keys, F.col(text).alias("_t")), "_v", value)
     parsed = parsed.where(F.col("_v").isNotNull())
     # NULL for anything but a list; a list of lists is a list of values here
@@ -36,6 +36,11 @@ def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), tex
     return parsed.select(*keys, items).where(F.col("pos").isNotNull())
 
 
+def oversized_documents(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose .json text is too large for one value."""
+    return texts.where(F.endswith("name", F.lit(".json")) & (F.octet_length(text) > _DOCUMENT_LIMIT))
+
+
 def jsonl_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
     """(keys, pos, v): one row per line; a file with one malformed line has no entries.
 

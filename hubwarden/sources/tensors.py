@@ -7,6 +7,7 @@ The file layout is public: an 8-byte little-endian header length, a JSON header
 from __future__ import annotations
 
 import json
+import math
 import struct
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ _DTYPES = {
     "BOOL": "u1",
 }
 _STEP = 16 * 1024 * 1024
+_MOST_HEADER = 100_000_000  # bytes, the limit of the file format
 _ROWS = 2000
 
 
@@ -53,6 +55,20 @@ def _summary(read, dtype: str, n_bytes: int) -> tuple[float | None, bool]:
     return (float("nan") if nan else most), nan
 
 
+def _entry(entry) -> tuple[str, list[int], int, int, int] | None:
+    """(dtype, shape, number of values, start, end) of a header entry; None if it is malformed."""
+    if not isinstance(entry, dict):
+        return None
+    dtype, shape, offsets = (entry.get(k) for k in ("dtype", "shape", "data_offsets"))
+    whole = [x for part in (shape, offsets) if isinstance(part, list) for x in part]
+    if not (isinstance(dtype, str) and isinstance(shape, list) and isinstance(offsets, list) and len(offsets) == 2):
+        return None
+    if any(type(x) is not int or not 0 <= x < 1 << 62 for x in whole) or offsets[0] > offsets[1]:
+        return None
+    n = math.prod(shape)
+    return (dtype, shape, n, *offsets) if n < 1 << 62 else None
+
+
 def tensor_rows(target: str, file: str, stream, with_values: bool) -> Iterator[tuple]:
     """One row per tensor; what cannot be read is a row with a status, never an exception."""
 
@@ -61,20 +77,30 @@ def tensor_rows(target: str, file: str, stream, with_values: bool) -> Iterator[t
 
     try:
         (size,) = struct.unpack("<Q", stream.read(8))
+        if size > _MOST_HEADER:
+            raise ValueError("header too long")
         header = json.loads(stream.read(size))
-        listed = [(k, v["dtype"], v["shape"], v["data_offsets"]) for k, v in header.items() if k != "__metadata__"]
-    except (struct.error, ValueError, KeyError, TypeError, AttributeError, MemoryError, OverflowError):
+        listed = [(k, v) for k, v in header.items() if k != "__metadata__"]
+    except (struct.error, ValueError, AttributeError, MemoryError, OverflowError, RecursionError):
         yield failed(None, "bad_header")
         return
+    good = []
+    for key, entry in listed:
+        if found := _entry(entry):
+            good.append((key, *found))
+        else:
+            yield failed(key, "bad_entry")
     at = 0
-    for key, dtype, shape, (start, end) in sorted(listed, key=lambda t: t[3]):
-        n = int(np.prod(shape, dtype=np.int64)) if shape else 1
+    for key, dtype, shape, n, start, end in sorted(good, key=lambda t: t[4:]):
         if not with_values:
             yield (target, file, key, dtype, shape, n, None, None, "ok")
             continue
         if dtype not in _DTYPES:
             yield (target, file, key, dtype, shape, n, None, None, "unsupported_dtype")
             continue
+        if start < at or end - start != n * np.dtype(_DTYPES[dtype]).itemsize:
+            yield (target, file, key, dtype, shape, n, None, None, "bad_offsets")
+            continue
         try:
             while at < start:
                 skipped = stream.read(min(_STEP, start - at))

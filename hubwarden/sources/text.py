@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden import rules
 from hubwarden.functions.text import once, unix_newlines
 
 
-def to_text(files: DataFrame, max_bytes: int | None = rules.MAX_TEXT_BYTES) -> DataFrame:
-    """Replace ``content`` by ``text`` and ``utf8_ok``; larger files are left out.
+def to_text(files: DataFrame) -> DataFrame:
+    """Replace ``content`` by ``text`` and ``utf8_ok``.
 
     Bytes that are not UTF-8 are replaced, never dropped, and line ends become
-    ``\\n``.  The size test uses the listing, before any content is decoded.
+    ``\\n``.  A file whose content could not be read keeps its row, with NULL
+    for both, so that it can be reported.
     """
-    within = files if max_bytes is None else files.where(F.col("size") <= max_bytes)
     raw = F.col("content").cast("string")
     kept = [c for c in files.columns if c not in ("content", "relpath")]
-    rows = within.where(F.col("content").isNotNull()).select(
+    rows = files.select(
         *kept, F.col("relpath").alias("file"), F.is_valid_utf8(raw).alias("utf8_ok"), raw.alias("_raw")
     )
     # decoded once per row, however many filters look at the text later

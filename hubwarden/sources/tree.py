@@ -95,6 +95,9 @@ def list_dir(path: str) -> list[Entry]:
     return sorted(rows, key=lambda e: e.name)
 
 
+UNREADABLE = -1  # size of a directory's row that stands for its missing entries
+
+
 def walk(target: str, root: str, inside: str = "", levels: int = -1) -> Iterator[tuple]:
     """Rows of all entries below ``root/inside``, at most ``levels`` levels deep."""
     open_dirs = [(inside, 1)]
@@ -102,7 +105,8 @@ def walk(target: str, root: str, inside: str = "", levels: int = -1) -> Iterator
         where, level = open_dirs.pop()
         try:
             found = list_dir(f"{root.rstrip('/')}/{where}" if where else root)
-        except OSError:  # not readable, or gone since it was listed
+        except OSError:  # not readable, or gone since it was listed: a second row of the directory says so
+            yield (target, where, where.rpartition("/")[2], where.count("/") if where else -1, UNREADABLE, False, False, f"{root.rstrip('/')}/{where}")
             continue
         for e in found:
             relpath = f"{where}/{e.name}" if where else e.name
@@ -111,6 +115,15 @@ def walk(target: str, root: str, inside: str = "", levels: int = -1) -> Iterator
                 open_dirs.append((relpath, level + 1))
 
 
+def _is_dir(path: str) -> bool:
+    if not _is_uri(path):
+        return os.path.isdir(path)
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.get_file_info(inner).type == fs.FileType.Directory
+
+
 class ListingPartition(InputPartition):
     def __init__(self, targets: list[tuple[str, str]]):
         super().__init__(0)
@@ -130,7 +143,7 @@ class TreeReader(DataSourceReader):
         """(name, directory); a path that does not exist has no rows."""
         found = []
         for path in self.paths:
-            if not _is_uri(path) and not os.path.isdir(path):
+            if not _is_dir(path):
                 continue
             if self.layout == "target":
                 found.append((path, path))

@@ -19,7 +19,7 @@ from hubwarden.sources.text import to_text
 
 def watch(artifacts: DataFrame, max_bytes: int = rules.MAX_TEXT_BYTES) -> DataFrame:
     """Findings from a (streaming) landed ``artifacts`` table with ``content``."""
-    texts = to_text(artifacts.where("is_file"), max_bytes)
+    texts = to_text(artifacts.where("is_file"))
     found = findings.unite(
         [
             poisoning.size_gate(artifacts.where(F.col("is_file") & named(DATA_GLOBS)), max_bytes),

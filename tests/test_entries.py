@@ -138,15 +138,17 @@ def test_bytes_to_text(spark):
     rows = [
         ("t", "ok.txt", 3, b"a\r\nb\rc"),
         ("t", "bad.txt", 3, b"[SYSTEM OVERRIDE]\xff tail"),
-        ("t", "big.txt", 999, b"never read"),
+        ("t", "big.txt", 999, b"read all the same"),
         ("t", "none.txt", 1, None),
     ]
     files = spark.createDataFrame(rows, "target string, relpath string, size long, content binary")
-    got = {r.file: r for r in to_text(files, 100).collect()}
-    assert set(got) == {"ok.txt", "bad.txt"}
+    got = {r.file: r for r in to_text(files).collect()}
+    assert set(got) == {"ok.txt", "bad.txt", "big.txt", "none.txt"}
+    assert got["big.txt"].text == "read all the same" and got["none.txt"].text is None
     assert got["ok.txt"].text == "a\nb\nc" and got["ok.txt"].utf8_ok
     assert not got["bad.txt"].utf8_ok and got["bad.txt"].text.endswith(" tail")
-    texts = to_text(files, 100)
+    texts = to_text(files)
+    assert [r.file for r in poisoning.read_failures(texts).collect()] == ["none.txt"]
     assert _checks(poisoning.encoding_gate(texts)) == {"invalid_utf8"}
     assert _checks(poisoning.encoding_gate(texts, compat=True)) == {"file_too_large"}
     assert poisoning.poisoned_texts(texts).count() == 1
