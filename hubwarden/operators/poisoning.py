@@ -12,6 +12,7 @@ from hubwarden.functions.text import contains_any
 from hubwarden.functions.paths import base_name
 from hubwarden.operators.findings import evidence, finding, findings_from_flags, label_checks, unite
 from hubwarden.operators.patterns import Family, find_rules
+from hubwarden.sources.entries import is_oversized
 
 _FILE = ("target", "file")
 
@@ -96,6 +97,35 @@ def read_failures(texts: DataFrame) -> DataFrame:
     )
 
 
+def text_gate(texts: DataFrame, compat: bool = False) -> DataFrame:
+    """``encoding_gate``, ``read_failures`` and ``oversized_document`` (its entries are not counted) in one pass."""
+    name = base_name()
+    return findings_from_flags(
+        texts,
+        [
+            (
+                "file_too_large" if compat else "invalid_utf8",
+                ~F.col("utf8_ok"),
+                F.format_string("Invalid UTF-8 in %s", name),
+                evidence(file=name),
+            ),
+            (
+                "unreadable_file",
+                F.col("text").isNull(),
+                F.format_string("File %s could not be read", name),
+                evidence(file=name),
+            ),
+            (
+                "oversized_document",
+                is_oversized(F.col("name"), F.col("text")),
+                F.format_string("%s is too large for one JSON value", name),
+                evidence(file=name),
+            ),
+        ],
+        file=F.col("file"),
+    )
+
+
 def duplicate_counts(
     entries: DataFrame, keys: Sequence[str], entry: str = "entry_key", limit: int = rules.DUPLICATE_LIMIT
 ) -> DataFrame:
@@ -164,8 +194,7 @@ def detect_poisoning(
     return unite(
         [
             size_gate(files, max_bytes),
-            encoding_gate(texts, compat),
-            read_failures(texts),
+            text_gate(texts, compat),
             poisoned_texts(scanned),
             replay_and_role_findings(profile),
         ]

@@ -167,7 +167,6 @@ def audit_dataset(lake: Lake) -> DataFrame:
             poisoning.detect_poisoning(
                 lake.dataset_files, lake.dataset_texts, lake.scanned_profile, lake.max_text_bytes, lake.compat
             ),
-            oversized_findings(lake),
             provenance.presence_findings(lake.flags),
             provenance.provenance_findings(lake.texts(at_root(rules.PROVENANCE_FILES))),
             provenance.source_url_findings(lake.texts(at_root(["*.json"]))),
@@ -176,17 +175,6 @@ def audit_dataset(lake: Lake) -> DataFrame:
     )
 
 
-def oversized_findings(lake: Lake) -> DataFrame:
-    """``oversized_document``: .json data files whose text is searched but whose entries are not counted."""
-    return findings.finding(
-        entries.oversized_documents(lake.dataset_texts),
-        "oversized_document",
-        F.format_string("%s is too large for one JSON value", F.col("file")),
-        findings.evidence(file=F.col("file")),
-        F.col("file"),
-    )
-
-
 def audit_lora(lake: Lake) -> DataFrame:
     configs = lake.texts((F.col("name") == adapters.CONFIG) & (F.col("depth") <= 1))
     return findings.unite(

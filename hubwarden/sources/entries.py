@@ -23,7 +23,7 @@ def allow_repeated_keys(spark) -> None:
 def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
     """(keys, pos, v): one row per element of a JSON list, or one row for any other document.
 
-    A document too large for one value has no rows here; ``oversized_documents`` names it.
+    A document too large for one value has no rows here; ``is_oversized`` tells.
     """
     keys = list(keys)
     body = F.col("_t")
@@ -36,9 +36,9 @@ def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), tex
     return parsed.select(*keys, items).where(F.col("pos").isNotNull())
 
 
-def oversized_documents(texts: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose .json text is too large for one value."""
-    return texts.where(F.endswith("name", F.lit(".json")) & (F.octet_length(text) > _DOCUMENT_LIMIT))
+def is_oversized(name: Column, text: Column) -> Column:
+    """Whether a .json text is too large for one value."""
+    return F.endswith(name, F.lit(".json")) & (F.octet_length(text) > _DOCUMENT_LIMIT)
 
 
 def jsonl_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), text: str = "text") -> DataFrame:
