@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubwarden.llm import blob_ledger, merge_dropout, parity_join, templates, toxicity
-from hubwarden.llm.common import crc_remainder, table
+from hubwarden.llm.common import held_out, table
 from hubwarden.session import new_folder, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or toxicity is below 0.7, learnt from the labels outside the held-out third."""
-    labels = table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 3) != 1)
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3))
     name = blob_ledger.unused(docs, "toxicity")
     return toxicity.with_score(docs, toxicity.fit(docs, labels), name).where(F.col(name) < 0.7).drop(name)
 

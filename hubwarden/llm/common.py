@@ -23,6 +23,11 @@ def crc_remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def held_out(column: str, by: int) -> Column:
+    """Whether a row's key leaves the remainder 1; false for a null key."""
+    return F.coalesce(crc_remainder(column, by) == 1, F.lit(False))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null becomes the empty text."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

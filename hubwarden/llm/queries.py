@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hubwarden.llm import blob_ledger, chains, katz, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
-from hubwarden.llm.common import crc_remainder, table
+from hubwarden.llm.common import held_out, table
 from hubwarden.session import new_folder
 
 LLM_QUERIES = {}
@@ -41,8 +41,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_katz_backoff")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder("doc_id", 5) == 1)
-    model = katz.train(katz.pair_table(docs.where("held_out IS NOT TRUE")))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5))
+    model = katz.train(katz.pair_table(docs.where("NOT held_out")))
     scored = katz.score(katz.pair_table(docs, "text", "doc_id", "held_out"), model, "doc_id", "held_out")
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
@@ -50,11 +50,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_noisy_or_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 3) != 1)
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3))
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select(
         "doc_id",
-        (crc_remainder("doc_id", 3) == 1).alias("held_out"),
+        held_out("doc_id", 3).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.transform("offending", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("offending_spans"),
