@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 900_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -5,7 +5,7 @@ one piece of its sketch and toggles it, so a differing shingle changes at most
 one piece and the number of pieces that differ is no more than the symmetric
 difference of two sets.  Sets whose Jaccard similarity is 3/4 or more, the
 smaller of size a, differ in at most ``D = a/3`` shingles.  Per size band (sets
-within a factor of 1.5) both sets therefore share one of their first D + 1
+within a factor of two) both sets therefore share one of their first D + 1
 pieces in any common order (pigeonhole), and only those are joined.  The order
 puts pieces that many documents have last; a sample tells which, and affects
 speed only.
@@ -36,7 +36,7 @@ from hubwarden.llm.common import WordHashes, flushed, mixed, signed, utf8, windo
 from hubwarden.llm.graph import components
 from hubwarden.session import stage
 
-_RATIO = 1.5  # between the bounds of a size band
+_RATIO = 2.0  # between the bounds of a size band
 _FILL = 1.5  # shingles in a piece, for the largest sets of a band
 _SAMPLE = 16  # one class in so many is looked at for frequent pieces
 _FREQUENT = 200_000  # pieces that are kept as frequent, at most
@@ -68,16 +68,25 @@ def most_apart(n: int, top: int, percent: int) -> int:
     return min(n, top - 1) * (100 - percent) // percent
 
 
-def pieces(own: np.ndarray, at: int, seed: int) -> tuple[np.ndarray, int]:
-    """Keys of the pieces that are not nought in the layout of band ``at``, and the upper bound of the band."""
+def _places(own: np.ndarray, at: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ascending piece numbers of a set's shingles in the layout of band ``at``, the shingles in that order, and the band's upper bound.
+
+    The first layout cuts the range of the hashes into equal parts, so an
+    ascending set needs no sorting.
+    """
     top = math.ceil(_RATIO ** (at + 1))
-    number = int(top / _FILL) + 4
-    place = (mixed(own + np.uint64(at * 7919 + seed * 104_729)) % np.uint64(number)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    place = place[order]
+    number = np.uint64(int(top / _FILL) + 4)
+    if seed:
+        own = np.sort(mixed(own + np.uint64(seed * 104_729)))
+    return ((own >> np.uint64(32)) * number) >> np.uint64(32), own, top
+
+
+def pieces(own: np.ndarray, at: int, seed: int) -> tuple[np.ndarray, int]:
+    """Keys of the pieces that hold a shingle in the layout of band ``at``, and the upper bound of the band."""
+    place, own, top = _places(own, at, seed)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    value = np.bitwise_xor.reduceat(mixed(own[order] ^ np.uint64(0x1234567)), first)
-    return mixed(value + place[first].astype(np.uint64) * _STEP + np.uint64(at * 64 + seed)), top
+    value = np.bitwise_xor.reduceat(own, first)
+    return mixed(value + place[first] * _STEP + np.uint64(at * 64 + seed)), top
 
 
 def layouts(n: int, percent: int) -> range:
@@ -87,11 +96,12 @@ def layouts(n: int, percent: int) -> range:
 
 def lucky_seed(own: np.ndarray, percent: int) -> int:
     """First seed whose layout leaves the set more pieces than can differ, so that a shared one is certain."""
-    n = len(own)
     seed = 0
-    while len((found := pieces(own, band(n), seed))[0]) <= most_apart(n, found[1], percent):
+    while True:
+        place, _, top = _places(own, band(len(own)), seed)
+        if 1 + np.count_nonzero(place[1:] != place[:-1]) > most_apart(len(own), top, percent):
+            return seed
         seed += 1
-    return seed
 
 
 def dense(own: np.ndarray) -> bytes:
@@ -113,31 +123,33 @@ def hamming(a: bytes, b: bytes) -> int:
 
 
 def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_id"))
 
 
 def class_table(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, class, seed, sketch) per row, staged; class is null for an empty set.  The sketch comes with the first row of a class in a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("seed", pa.int32()), ("sketch", pa.binary())])
+    """(doc_id, text_id, n, class, seed, sketch) per row, staged; class is null for an empty set.  The sketch comes with the first row of a class in a task."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("text_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("seed", pa.int32()), ("sketch", pa.binary())]
+    )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         met: set[int] = set()
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            for doc_id, text_id, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(1))):
                 own = shingles(t, size)
                 if not len(own):
-                    yield doc_id, 0, None, 0, None
+                    yield doc_id, text_id, 0, None, 0, None
                     continue
                 c = class_of(own)
                 new = c not in met
                 if len(met) < 1_000_000:
                     met.add(c)
-                yield doc_id, len(own), c, lucky_seed(own, percent), dense(own) if new else None
+                yield doc_id, text_id, len(own), c, lucky_seed(own, percent), dense(own) if new else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return flushed(rows(batches), schema)
 
-    return stage(_read(docs, key, text).mapInArrow(run, "doc_id long, n long, class long, seed int, sketch binary"), "classes")
+    return stage(_read(docs, key, text).mapInArrow(run, "doc_id long, text_id long, n long, class long, seed int, sketch binary"), "classes")
 
 
 def _keys(docs: DataFrame, size: int, percent: int, key: str, text: str, more: set[tuple[int, int]], frequent: np.ndarray | None) -> DataFrame:
@@ -151,8 +163,7 @@ def _keys(docs: DataFrame, size: int, percent: int, key: str, text: str, more: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        known = shared.value
-        order = np.argsort(known, kind="stable") if known is not None else None
+        rare = None if shared.value is None else _rarest(shared.value)
         held: list[tuple[np.ndarray, int, int]] = []
 
         def batch_of() -> pa.RecordBatch:
@@ -163,37 +174,59 @@ def _keys(docs: DataFrame, size: int, percent: int, key: str, text: str, more: s
             return pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(c, pa.int64()), pa.array(n, pa.int32())], schema=schema)
 
         for batch in batches:
+            if rare is None:  # equal texts are in the sample together, and count once
+                batch = batch.filter(pa.array(np.mod(batch.column(1).to_numpy(), _SAMPLE) == 0))
             for t in utf8(batch.column(0)):
                 own = shingles(t, size)
                 n = len(own)
                 if not n:
                     continue
                 c = class_of(own)
-                if c in met or (known is None and c % _SAMPLE):
+                if c in met:
                     continue
                 if len(met) < 1_000_000:
                     met.add(c)
                 for at in layouts(n, percent):
                     for seed in (0, *sorted(s for b, s in more if b == at)):
                         found, top = pieces(own, at, seed)
-                        if known is not None:
-                            rank = np.zeros(len(found), np.int64)
-                            if len(known):
-                                i = np.minimum(np.searchsorted(known, found, sorter=order), len(known) - 1)
-                                rank = np.where(known[order[i]] == found, order[i] + 1, 0)
-                            found = found[np.lexsort((found, rank))[: most_apart(n, top, percent) + 1]]
+                        if rare is not None:
+                            found = rare(found, most_apart(n, top, percent) + 1)
                         held.append((found, c, n))
             if sum(len(h[0]) for h in held) > 200_000:
                 yield batch_of()
         if held:
             yield batch_of()
 
-    return docs.select(text).mapInArrow(run, "key long, class long, n int")
+    return docs.select(text, F.xxhash64(text)).mapInArrow(run, "key long, class long, n int")
+
+
+def _rarest(known: np.ndarray):
+    """Chooser of the first keys of a set: those not in ``known`` by value, then the known ones, rarest first."""
+    order = np.argsort(known, kind="stable")
+    ascending = known[order]
+    bits = np.zeros(1 << 22, bool)  # tells most keys apart from the known ones without a search
+    bits[known >> np.uint64(42)] = True
+
+    def choose(found: np.ndarray, n: int) -> np.ndarray:
+        maybe = np.flatnonzero(bits[found >> np.uint64(42)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(ascending, found[maybe]), len(known) - 1)
+            hit = ascending[at] == found[maybe]
+            plain = np.ones(len(found), bool)
+            plain[maybe[hit]] = False
+            last = known[np.sort(order[at[hit]])]
+            found = found[plain]
+        else:
+            last = known[:0]
+        first = np.partition(found, n - 1)[:n] if len(found) > n else found
+        return np.concatenate([first, last[: n - len(first)]])
+
+    return choose
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """2^24 bits, one for each remainder of the ids; at most 262,144 rows reach the driver."""
-    place = ids.select(F.pmod("class", F.lit(1 << _BITS)).alias("place"))
+    """2^24 bits, one for each remainder of the text ids; at most 262,144 rows reach the driver."""
+    place = ids.select(F.pmod("text_id", F.lit(1 << _BITS)).alias("place"))
     some = place.selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, cast(pmod(place, 64) AS int)) AS bit")
     bits = np.zeros(1 << (_BITS - 6), np.int64)
     for word, bit in some.groupBy("word").agg(F.bit_or("bit")).collect():
@@ -202,32 +235,31 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, text: str, wanted: DataFrame) -> DataFrame:
-    """(class, members) of the classes in ``wanted``: a bitmap keeps the others in the scan, the join decides."""
+    """(class, members) of the classes in ``wanted`` (class, text_id of one of its texts): a bitmap keeps other texts in the scan, the join decides."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
     schema = pa.schema([("class", pa.int64()), ("members", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         bits, met = shared.value, set()
         for batch in batches:
-            for t in utf8(batch.column(0)):
-                own = shingles(t, size)
-                if len(own):
-                    c = class_of(own)
-                    place = c % (1 << _BITS)
-                    if c not in met and bits[place >> 3] >> (place & 7) & 1:
-                        if len(met) < 1_000_000:
-                            met.add(c)
-                        yield c, own.tobytes()
+            ids = batch.column(1).to_numpy()
+            place = np.mod(ids, 1 << _BITS)
+            hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            for i, t in zip(ids[hit].tolist(), utf8(batch.column(0).take(pa.array(hit)))):
+                if i not in met and len(own := shingles(t, size)):
+                    if len(met) < 1_000_000:
+                        met.add(i)
+                    yield class_of(own), own.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return flushed(rows(batches), schema)
 
-    found = docs.select(text).mapInArrow(run, "class long, members binary")
+    found = docs.select(text, F.xxhash64(text)).mapInArrow(run, "class long, members binary")
     return found.join(wanted.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("members").alias("members"))
 
 
 def _tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
-    """Pairs (a, b) that pass ``test(value of a, value of b)``; ``values``: (class, value)."""
+    """Pairs (a, b) that pass ``test(value of a, value of b)``; ``values``: class, value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +292,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
     marked = keys.select("key", "class", "n", F.lag("class").over(near).alias("before"), F.lead("class").over(near).alias("after"), F.first("class").over(near).alias("least"), F.first("n").over(near).alias("least_n"), F.lag("n").over(near).alias("before_n"))
     buckets = stage(marked.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "buckets")
 
-    sketches = table.where("sketch IS NOT NULL").select("class", "sketch", "n").groupBy("class").agg(F.first(F.struct("n", "sketch")).alias("value"))
+    first_of = table.where("sketch IS NOT NULL").groupBy("class").agg(F.first(F.struct("n", "sketch")).alias("value"), F.min("text_id").alias("text_id"))
+    sketches = stage(first_of, "sketches")
 
     def sized(a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -276,7 +309,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         able = stage(_tested(pairs.where("a <> b").distinct(), sketches, close), f"{name}-close")
-        wanted = able.select(F.col("a").alias("class")).union(able.select("b")).distinct()
+        wanted = able.select(F.col("a").alias("class")).union(able.select("b")).distinct().join(sketches.select("class", "text_id"), "class")
         return stage(_tested(able, _sets(docs, size, text, wanted), link), f"{name}-links")
 
     star = buckets.where(sized("n", "least_n")).select(F.col("least").alias("a"), F.col("class").alias("b"))
