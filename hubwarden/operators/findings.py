@@ -12,6 +12,7 @@ from hubwarden import rules
 from hubwarden.checks import CHECKS, SCAN_TYPE_OF_CATEGORY
 from hubwarden.functions import hashing, scores
 from hubwarden.schemas import FINDING_COLUMNS
+from hubwarden.session import stage
 
 
 def evidence(**values: Column) -> Column:
@@ -177,8 +178,14 @@ def trust_scores(findings: DataFrame, targets: DataFrame | None = None) -> DataF
     return lost.select("target", kept.alias("trust_score"))
 
 
-def by_severity(findings: DataFrame) -> DataFrame:
-    """Worst first; ties in a fixed order."""
+def by_severity(findings: DataFrame, staged: bool = False) -> DataFrame:
+    """Worst first; ties in a fixed order.
+
+    A sort over all rows first samples them, which derives the findings twice;
+    ``staged`` writes them to the shared folder before.
+    """
+    if staged:
+        findings = stage(findings, "findings")
     return findings.orderBy(scores.severity_rank(F.col("severity")), "check", "target", "file", "detail")
 
 

@@ -213,6 +213,15 @@ def role_imbalance(spark, sf):
     return p.select("role_group", "turn", "turns", "assistant_ratio")
 
 
+@query("""
+    SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') / count(*) AS ratio
+    FROM conversations WHERE role IN ('system', 'user', 'assistant') GROUP BY conv_id
+    HAVING count(*) FILTER (role = 'assistant') / count(*) > 0.45""")
+def role_imbalance_by_conversation(spark, sf):
+    profile = poisoning.role_profile(table(spark, sf, "conversations"), ["conv_id"])
+    return poisoning.role_imbalances(profile, 0.45).select("conv_id", "turns", F.col("assistant_ratio").alias("ratio"))
+
+
 # --- patterns ---------------------------------------------------------------------------
 
 
@@ -348,6 +357,34 @@ def _as_files(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"content": F.col(text).cast("binary"), "size": F.octet_length(text).cast("long")})
 
 
+@query("""SELECT 'p' || doc_id AS target, 'doc_' || doc_id || '.json' AS file, length(text) AS n_chars,
+    octet_length(encode(text)) > 100 AS remarked FROM documents""")
+def oversized_texts_scanned(spark, sf):
+    """Files over the size limit get a remark and are read whole."""
+    docs = _as_files(table(spark, sf, "documents"))
+    name = F.concat(F.lit("doc_"), "doc_id", F.lit(".json"))
+    files = docs.select(
+        F.concat(F.lit("p"), "doc_id").alias("target"), name.alias("relpath"), name.alias("name"), F.lit(0).alias("depth"),
+        "size", F.lit(True).alias("is_file"), F.lit(False).alias("is_symlink"), "content",
+    )
+    lake = Lake(files, max_text_bytes=100, stage=False)
+    remarks = poisoning.size_gate(lake.dataset_files, lake.max_text_bytes).select("target", F.lit(True).alias("remarked"))
+    read = lake.dataset_texts.select("target", "file", F.length("text").cast("long").alias("n_chars"))
+    return read.join(remarks, "target", "left").fillna(False, ["remarked"])
+
+
+@query("""SELECT 'd' || doc_id AS target, text IS NULL OR NOT json_valid(text) AS corrupt FROM
+    (SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN '{"fingerprint": "' || sha256(text) || '"}' ELSE text END AS text FROM documents)""")
+def corrupt_fingerprint(spark, sf):
+    docs = table(spark, sf, "documents")
+    good = F.concat(F.lit('{"fingerprint": "'), F.sha2("text", 256), F.lit('"}'))
+    files = docs.select(
+        F.concat(F.lit("d"), "doc_id").alias("target"), F.lit(rules.FINGERPRINT_FILE).alias("file"), F.lit(rules.FINGERPRINT_FILE).alias("name"),
+        F.lit(0).alias("depth"), F.when(F.length("text") % 2 == 0, good).otherwise(F.col("text")).alias("text"),
+    )
+    return weights.stored_fingerprints(files).select("target", (~F.col("readable")).alias("corrupt"))
+
+
 @query("""SELECT 'p' || doc_id AS target, doc_id % 17 <> 0 AS utf8_ok, length(text) + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS n_chars
     FROM documents""")
 def text_read(spark, sf):
@@ -397,6 +434,18 @@ def text_lines(spark, sf):
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").cast("long").alias("line_length"))
 
 
+@query("SELECT conv_id, turn, role, length(text) AS measured FROM conversations")
+def repeated_keys(spark, sf):
+    """An object that repeats its keys: the last of each counts."""
+    en.allow_repeated_keys(spark)
+    turns = table(spark, sf, "conversations")
+    twice = F.to_json(F.struct("role", F.col("text").alias("content")))
+    body = F.concat(F.lit('{"role": "none", "content": "x", '), F.substring(twice, 2, F.length(twice)))
+    rows = en.json_entries(turns.select("conv_id", "turn", body.alias("text")), ["conv_id", "turn"])
+    found = en.describe_entries(rows, ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "role", F.length("measured").cast("long").alias("measured"))
+
+
 @query("""
     SELECT conv_id, turn, 0::BIGINT AS pos, role, length(text) AS measured FROM conversations
     UNION ALL SELECT conv_id, turn, 1, NULL, 0 FROM conversations
@@ -612,6 +661,17 @@ def tensor_findings(spark, sf):
     return found.select("target", F.col("check").alias("check_name"), keys.alias("keys"))
 
 
+@query(_TENSOR + """
+    SELECT DISTINCT target, 'lora_embed_modification' AS check_name FROM t WHERE lower(key) LIKE '%embed%'
+    UNION ALL SELECT DISTINCT target, 'lora_lm_head_modification' FROM t WHERE lower(key) LIKE '%lm_head%'
+    UNION ALL SELECT DISTINCT target, 'unreadable_adapter' FROM t""")
+def undecodable_tensors(spark, sf):
+    """Keys are judged though no value can be read."""
+    unread = {"max_abs": F.lit(None).cast("double"), "read_status": F.lit("unsupported_dtype")}
+    found = tensors.detect_lora_backdoors(_tensor_rows(spark, sf).withColumns(unread), 0.3)
+    return found.select("target", F.col("check").alias("check_name")).distinct()
+
+
 @query(_TENSOR + """
     SELECT target, count(*) AS layers,
            CASE WHEN bool_or(regexp_matches(lower(key), 'embed|lm_head|final_norm')) THEN 'high'
@@ -725,6 +785,13 @@ def combined_hash(spark, sf):
     return hashing.combined_hash(docs, ["source"], "sha")
 
 
+@query("SELECT lang, sha256(string_agg(sha256(source), '' ORDER BY sha256(source))) AS combined_hash FROM documents GROUP BY lang")
+def combined_hash_copies(spark, sf):
+    """Groups that hold a few different digests very many times."""
+    docs = table(spark, sf, "documents").select("lang", hashing.sha256_hex(F.col("source")).alias("sha"))
+    return hashing.combined_hash(docs, ["lang"], "sha")
+
+
 @query("SELECT doc_id, sha256(text) AS text_sha, sha256(encode(text)) AS bytes_sha FROM documents")
 def content_hash(spark, sf):
     docs = table(spark, sf, "documents")
@@ -1087,7 +1154,7 @@ def rate_limit(spark, sf):
     SELECT target, check_name, severity, file, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
         WHEN 'low' THEN 3 ELSE 4 END AS severity_rank FROM fnd ORDER BY severity_rank, check_name, target, file, detail""")
 def severity_order(spark, sf):
-    rows = fo.by_severity(_findings(spark, sf))
+    rows = fo.by_severity(_findings(spark, sf), staged=True)
     return _shown(
         rows.select("target", "check", "severity", "file", scores.severity_rank(F.col("severity")).alias("severity_rank"))
     )
