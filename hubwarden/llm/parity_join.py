@@ -37,7 +37,7 @@ from hubwarden.llm.graph import components
 from hubwarden.session import stage
 
 _RATIO = 2.0  # between the bounds of a size band
-_FILL = 1.5  # shingles in a piece, for the largest sets of a band
+_FILL = 0.75  # shingles in a piece, for the largest sets of a band
 _SAMPLE = 16  # one class in so many is looked at for frequent pieces
 _FREQUENT = 200_000  # pieces that are kept as frequent, at most
 _BITS = 24
