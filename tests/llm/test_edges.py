@@ -133,6 +133,21 @@ def test_chained(docs):
     assert got == ({(3, 4), (4, 3)} if docs.count() else set())
 
 
+def test_chained_around_a_stock_phrase(spark):
+    def own(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    for k, (left, stock, right) in enumerate([(10, 30, 11), (3, 40, 8), (20, 40, 0)]):
+        phrase = own("stock", stock)
+        shared = f"{own('left', left)} {phrase} {own('right', right)}"
+        n = left + stock + right
+        # the phrase's seeds go to the first document and to the one between
+        texts = [f"{own('p', 40)} {phrase} {own('q', 40)}", f"{own('r', 40)} {shared} {own('s', 40)}", f"{own('t', 40)} {phrase} {own('u', 40)}", f"{own('v', 40)} {shared} {own('w', 40)}"]
+        df = spark.createDataFrame([(10 * k + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {r.doc_id % 10: (r.start, r.end) for r in chains.passages(df).collect()}
+        assert got[1] == got[3] == (40, 40 + n)
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (3, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (7, None), (8, [None, 1.0]), (9, [nan, 1.0])]

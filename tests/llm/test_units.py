@@ -126,6 +126,56 @@ def test_alignment_helpers():
     assert chains.extended(x, x) == (5, 5) and chains.extended(x[:0], x) == (0, 0)
 
 
+def _edited(r, passage, rate):
+    """The passage with words replaced, left out and added."""
+    kept, out = r.random(len(passage)) >= rate, []
+    for word, keep in zip(passage, kept):
+        kind = "keep" if keep else r.choice(["replace", "add", "drop"], p=[0.8, 0.1, 0.1])
+        out += {"keep": [word], "replace": [r.integers(1 << 60)], "add": [word, r.integers(1 << 60)], "drop": []}[kind]
+    return np.array(out, np.int64)
+
+
+def _found(x, y, size, least, share):
+    """Whether the steps of ``passages`` find a passage that two texts share."""
+    (a, u), (b, v) = (chains.seeds(h, size, size) for h in (x, y))
+    pairs = [(i, j) for i, own in zip(a, u) for j, other in zip(b, v) if own == other]
+    near = [{int(p >> 32): int(p) & 0xFFFFFFFF for p in chains._places(h, at, size)} for h, at in ((x, a), (y, b))]
+    pairs = [(i, j) for i, j in pairs if sum((near[0][i] ^ near[1][j]) >> k & 15 == 0 for k in range(0, 32, 4)) >= chains.AROUND]
+    if not pairs:
+        return False
+    own = chains.diagonals(np.array(pairs), size, 2 * size)
+    spans = (s for c in chains.chains(own, 2 / least) for s in chains.shared_spans(x, y, own[c], least, share))
+    return any(j - i >= least and m - k >= least for i, j, k, m in spans)
+
+
+@pytest.mark.parametrize("rate, recall", [(0.05, 1.0), (0.1, 1.0), (0.15, 0.99), (0.2, 0.98), (0.25, 0.97), (0.3, 0.95)])
+def test_recall_of_edited_passages_against_a_whole_alignment(rate, recall):
+    r = np.random.default_rng(7)
+    rnd = lambda n: mixed(r.integers(0, 1 << 60, n).astype(np.uint64))
+    tried = hit = 0
+    while tried < 150:
+        p = rnd(60)
+        q = _edited(r, p.view(np.int64), rate).view(np.uint64)
+        columns = chains.gap_columns(p, q)
+        if not any((columns[i:j, :2].sum(axis=0) >= 50).all() for i, j in chains.alike(columns[:, 2], 50, 0.7)):
+            continue
+        tried += 1
+        hit += _found(np.concatenate([rnd(30), p, rnd(40)]), np.concatenate([rnd(50), q, rnd(20)]), 4, 50, 0.7)
+    assert hit / tried >= recall
+
+
+def test_alignment_columns_and_alike_stretches_against_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(100):
+        x, y = (r.integers(0, 4, r.integers(0, 15)) for _ in range(2))
+        c = chains.gap_columns(x, y)
+        assert c[:, 0].sum() == len(x) and c[:, 1].sum() == len(y) and c[:, 2].sum() == chains.equal_words(x, y)
+        equal = r.random(40) < 0.6
+        best = [(i, j) for i in range(40) for j in range(i + 9, 41) if equal[i] and equal[j - 1] and equal[i:j].mean() >= 0.7 - 1e-9]
+        found = chains.alike(equal, 9, 0.7)
+        assert bool(found) == bool(best) and set(found) <= set(best) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
 def test_templates_take_numbers_names_and_units():
     a, b = Template("Tom has 12 apples and walks 5 km with Anna Lee to school."), Template("Tom has 7.5 apples and walks 9 miles with Bob Roy to school.")
     assert (a.shape == b.shape).all()
