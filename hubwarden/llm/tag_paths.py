@@ -6,8 +6,10 @@ punctuation and its number of blocks are added up; length and punctuation per
 block are smoothed over neighbours in page order, fused by multiplication, and
 paths whose fused ratio stays below a share of the page's deviation go.  Paths
 through an element that can't be content (navigation, adverts, forms, comments
-and the like) have the ratio nought.  Where a page marks its article, so have
-paths outside it, and inside only paths without text of their own go.
+and the like) have the ratio nought, and so have forms that hold controls rather
+than text.  An article or main element raises the ratios of its paths, the class
+of a comment or teaser lowers them; what lies outside must outweigh the raised
+ratios.
 
 Pages are independent: one pass, no shuffle; work and memory are linear in the
 page.
@@ -45,6 +47,14 @@ _NAMED = frozenset(
     "reactions responses discussion".split()
 )
 _CONTENT = frozenset("article main".split())
+_LESSER = _NAMED | frozenset("card cards excerpt preview teaser teasers".split())  # classes of articles that aren't the page's own
+_HEAD = frozenset("head base link meta noscript script style template title".split())  # other tags end the head
+_LOOSE = frozenset("svg math object noscript template select".split())  # without an end tag the page goes on after the start tag
+_CONTROLS = frozenset("button input select textarea".split())
+_HIDDEN = re.compile(r"\btype\s*=\s*[\"']?hidden", re.I)
+
+_RAISE, _LOWER = 4.0, 0.25
+_FORM_TEXT = 100  # a form with fewer characters a control is one to fill in
 _CLOSES = {  # a start tag that ends open elements, up to the barrier
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -66,25 +76,31 @@ def _stuff(name: str, attributes: str) -> bool:
         return True
     if "=" not in attributes or name in ("html", "body", "article", "main"):
         return False
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not words.isdisjoint(_NAMED)
+    return not _class_words(attributes).isdisjoint(_NAMED)
+
+
+def _class_words(attributes: str) -> set[str]:
+    return {w for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
 
 
 class Page:
-    """Blocks of a page in order: path, text, link characters, whether within stuff and within an article.
+    """Blocks of a page in order: path, text, link characters, whether within stuff, weight by articles, form.
 
-    A path is the number of its node in the tree of tag names met so far.
+    A path is the number of its node in the tree of tag names met so far; the
+    articles of comments and teasers have nodes of their own.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, str, int, bool, bool]] = []
+        self.blocks: list[tuple[int, str, int, bool, float, int]] = []
         self.headings: set[int] = set()  # paths that end in a heading
-        self._nodes: dict[tuple[int, str], int] = {}
-        self._open: list[tuple[str, int, bool, bool]] = []  # elements: (name, path, within stuff, within an article)
+        self.forms: list[list[int]] = []  # (form around it, characters, controls)
+        self._nodes: dict[tuple[int, str, float], int] = {}
+        self._open: list[tuple[str, int, bool, float, int]] = []  # elements: (name, path, within stuff, weight, form)
         self._count: Counter[str] = Counter()  # of open elements by name
         self._parts: list[str] = []
         self._links, self._in_link = 0, 0
         at, n = 0, len(source)
+        unclosed: set[str] = set()
         for m in iter(lambda: _TAG.search(source, at), None):
             self._text(source[at : m.start()])
             at = m.end()
@@ -94,8 +110,11 @@ class Page:
                 else:
                     self._start(name, m[3])
                     if name in _RAW and not m[3].endswith("/>"):
-                        close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                        at = close.end() if close else n
+                        close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                        if close:
+                            at = close.end()
+                        else:
+                            at = n
                         self._end(name)
             if at >= n:
                 break
@@ -108,12 +127,17 @@ class Page:
             if self._in_link:
                 self._links += len(text.strip())
 
-    def _push(self, name: str, stuff: bool) -> None:
-        _, path, within, inside = self._open[-1] if self._open else ("", -1, False, False)
-        own = self._nodes.setdefault((path, name), len(self._nodes))
+    def _push(self, name: str, stuff: bool, attributes: str = "") -> None:
+        _, path, within, weight, form = self._open[-1] if self._open else ("", -1, False, 1.0, -1)
+        if name in _CONTENT and weight >= 1:
+            weight = _LOWER if name == "article" and "=" in attributes and not _class_words(attributes).isdisjoint(_LESSER) else _RAISE
+        if name == "form":
+            self.forms.append([form, 0, 0])
+            form = len(self.forms) - 1
+        own = self._nodes.setdefault((path, name, weight), len(self._nodes))
         if name in _HEADINGS:
             self.headings.add(own)
-        self._open.append((name, own, within or stuff, inside or name in _CONTENT))
+        self._open.append((name, own, within or stuff, weight, form))
         self._count[name] += 1
 
     def _cut(self, i: int) -> None:
@@ -124,11 +148,15 @@ class Page:
     def _flush(self) -> None:
         text = " ".join(html.unescape("".join(self._parts)).split()) if self._parts else ""
         if text:
-            _, path, stuff, inside = self._open[-1] if self._open else ("", -1, False, False)
-            self.blocks.append((path, text, self._links, stuff, inside))
+            _, path, stuff, weight, form = self._open[-1] if self._open else ("", -1, False, 1.0, -1)
+            self.blocks.append((path, text, self._links, stuff, weight, form))
+            if form >= 0 and not stuff:
+                self.forms[form][1] += max(0, len(text) - self._links)
         self._parts, self._links = [], 0
 
     def _start(self, name: str, attributes: str) -> None:
+        if name in _CONTROLS and self._open and self._open[-1][4] >= 0 and not _HIDDEN.search(attributes):
+            self.forms[self._open[-1][4]][2] += 1
         if name == "br" or name in ("img", "wbr", "input"):
             self._parts.append(" " if name != "wbr" else "")
             return
@@ -145,7 +173,7 @@ class Page:
             self._close(*_CLOSES[name])
         self._in_link = 0
         if name not in _VOID and not attributes.endswith("/>"):
-            self._push(name, _stuff(name, attributes))
+            self._push(name, _stuff(name, attributes), attributes)
 
     def _close(self, names: set[str], barrier: set[str]) -> None:
         if not any(self._count[x] for x in names):
@@ -174,12 +202,19 @@ class Page:
 
     def content(self, share: float = 0.5, spread: float = 1.0) -> list[str]:
         """Texts of the blocks whose path's fused ratio reaches ``share`` of the deviation."""
-        marked = any(inside and not stuff for _, _, _, stuff, inside in self.blocks)
-        able = [b for b in self.blocks if not b[3] and (b[4] or not marked)]
+        forms = [list(f) for f in self.forms]
+        for around, chars, controls in reversed(forms):  # a form's own counts are whole when its turn comes: those in it come later
+            if around >= 0:
+                forms[around][1] += chars
+                forms[around][2] += controls
+        filled: list[bool] = []  # forms to fill in
+        for around, chars, controls in forms:
+            filled.append(around >= 0 and filled[around] or chars < _FORM_TEXT * max(1, controls))
+        able = [b for b in self.blocks if not b[3] and (b[5] < 0 or not filled[b[5]])]
         if not able:
             return []
         sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3))
-        for path, text, links, _, _ in able:
+        for path, text, links, *_ in able:
             sums[path] += (max(0, len(text) - links), len(_PUNCTUATION.findall(text)), 1)
         ratios = np.array([sums[b[0]] for b in able])
         kernel = np.exp(-0.5 * (np.arange(-2, 3) / spread) ** 2)
@@ -188,16 +223,21 @@ class Page:
         def smooth(x: np.ndarray) -> np.ndarray:
             return np.convolve(x, kernel, "same") / weight if weight is not None else x
 
-        own = np.array([max(0, len(t) - k) for _, t, k, _, _ in able])
+        own = np.array([max(0, len(t) - k) for _, t, k, *_ in able])
         fused = smooth(ratios[:, 0] / ratios[:, 2]) * (1 + smooth(ratios[:, 1] / ratios[:, 2]))
+        least = share * float(np.std(fused))
         best: dict[int, float] = defaultdict(float)
         under = 0.0
-        for b, f in zip(reversed(able), reversed(fused.tolist())):
+        for b, f in zip(reversed(able), reversed((fused * [b[4] for b in able]).tolist())):
             under = max(f, under) if b[0] in self.headings else f  # a heading counts like the text below it
             best[b[0]] = max(best[b[0]], under)
-        least = 0.0 if marked else share * float(np.std(fused))
+        raised = max((best[b[0]] for b in able if b[4] > 1), default=0.0)
         # a path of links alone has no text of its own
-        return [b[1] for b, o in zip(able, own) if best[b[0]] > least and sums[b[0]][0] > 0 and (o or marked)]
+        return [
+            b[1]
+            for b, o in zip(able, own)
+            if best[b[0]] > (least if b[4] > 1 else max(least, raised)) and sums[b[0]][0] > 0 and (o or b[4] > 1)
+        ]
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -221,3 +221,20 @@ def test_pages():
     assert Page("<article><h1>A</h1><p><b>b.<br><p>c</article><p>out.").content() == ["A", "b.", "c"]
     for odd in ("", "<", "<p", "a < b", "<!-- x", "<script>", "<div>" * 5000, '<a "' * 500, "</p></div>"):
         assert isinstance(Page(odd).content(), list)
+
+
+TEXT = "This is a sentence of the text, and it goes on; another part follows here. Then there is more, as in any text. "
+
+
+def test_pages_with_teaser_or_comment_articles():
+    teasers = "".join(f"<article{c}><h3>Card</h3><p>Short teaser {i}.</p></article>" for i, c in enumerate(["", " class=teaser", ""]))
+    body = f"<div class=story><p>{TEXT * 3}</p><p>{TEXT * 2}</p></div>"
+    want = {(TEXT * 3).strip(), (TEXT * 2).strip()}
+    assert want <= set(Page(f"<body>{body}{teasers}</body>").content())
+    assert Page(f"<body>{body}<article class='comment'><p>Nice, I liked it.</p></article></body>").content() == [(TEXT * 3).strip(), (TEXT * 2).strip()]
+    assert Page(f"<body><div>Share, print.</div><article><p>{TEXT}</p></article></body>").content() == [TEXT.strip()]
+
+
+def test_ratios_also_decide_within_articles():
+    page = f"<article><p>{TEXT * 5}</p><p>{TEXT * 4}</p><p>{TEXT * 6}</p><div><span>Tags</span></div></article>"
+    assert Page(page).content() == [(TEXT * n).strip() for n in (5, 4, 6)]
