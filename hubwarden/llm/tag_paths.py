@@ -39,7 +39,7 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp".split())
-_NEVER = frozenset("nav header footer aside form button dialog menu head fieldset figure-caption".split()) | _RAW
+_NEVER = frozenset("nav header footer aside button dialog menu head fieldset figure-caption".split()) | _RAW
 _NAMED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
     "gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted "
@@ -113,6 +113,8 @@ class Page:
                         close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                         if close:
                             at = close.end()
+                        elif name in _LOOSE:
+                            unclosed.add(name)
                         else:
                             at = n
                         self._end(name)
@@ -123,6 +125,8 @@ class Page:
 
     def _text(self, text: str) -> None:
         if text:
+            if self._open and self._open[-1][0] == "head" and not text.isspace():
+                self._cut(len(self._open) - 1)
             self._parts.append(text)
             if self._in_link:
                 self._links += len(text.strip())
@@ -155,6 +159,8 @@ class Page:
         self._parts, self._links = [], 0
 
     def _start(self, name: str, attributes: str) -> None:
+        if self._count["head"] and name not in _HEAD:
+            self._end("head")
         if name in _CONTROLS and self._open and self._open[-1][4] >= 0 and not _HIDDEN.search(attributes):
             self.forms[self._open[-1][4]][2] += 1
         if name == "br" or name in ("img", "wbr", "input"):

@@ -238,3 +238,17 @@ def test_pages_with_teaser_or_comment_articles():
 def test_ratios_also_decide_within_articles():
     page = f"<article><p>{TEXT * 5}</p><p>{TEXT * 4}</p><p>{TEXT * 6}</p><div><span>Tags</span></div></article>"
     assert Page(page).content() == [(TEXT * n).strip() for n in (5, 4, 6)]
+
+
+def test_pages_without_end_tags_or_within_a_form():
+    body = f"<p>{TEXT}</p>"
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><body>{body}",
+        f"<html><head><title>T</title>{body}",
+        f"<body><form action=x><input type=hidden name=v><input name=q>{body}</form></body>",
+        f"<body><svg><path d=x>{body}",
+        f"<body><object data=x>{body}",
+        f"<body><math>{body}",
+    ):
+        assert Page(page).content() == [TEXT.strip()], page
+    assert Page(f"<body><form>Mail: <input><p>Your name, please. <input></form>{body}").content() == [TEXT.strip()]
