@@ -1,11 +1,16 @@
 """SentencePiece BPE with seeded merge dropout, and its lossless decoding.
 
 The agenda holds the candidate merges of a word by score, leftmost first.  A
-candidate that comes up is skipped when a hash of (seed, variant, word, place,
-piece) falls below the dropout rate, and its symbols stay apart unless another
-merge reaches them.  Each occurrence of a word takes one of ``variants``
-segmentations, chosen by a hash of (seed, document key, place in the document), so a
-document is always split the same way and a worker can keep what it has split.
+candidate that comes up is skipped when a hash of (seed, document key, place of
+the word in the document, word, piece, its place in the word) falls below the
+dropout rate, and its symbols stay apart unless another merge reaches them.  So
+every occurrence of a word is drawn on its own, and a document is always split
+the same way.
+
+What a worker keeps of a word is a tree: its root is the split without dropout
+with the candidates that came up, and below a candidate hangs the split without
+it.  An occurrence goes down to the first candidate it skips, until it skips
+none.
 
 Merges never cross a space or a line end, since no piece does; the texts are
 split there first.  Characters without a piece become byte pieces, a literal
@@ -34,12 +39,37 @@ _SPACE = "▁"
 _CACHE = 900_000
 _SHORT = 16
 _MASK = (1 << 64) - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.kind, self.size = kind, 0
+        self._held = np.zeros(1 << 12, kind)
+
+    def extend(self, values) -> None:
+        values = np.asarray(values, self.kind)
+        if self.size + len(values) > len(self._held):
+            self._held = np.concatenate([self.all(), np.zeros(self.size + 2 * len(values), self.kind)])
+        self._held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def all(self) -> np.ndarray:
+        return self._held[: self.size]
 
 
 class Pieces:
     """Vocabulary of a SentencePiece BPE model and the words split with it so far."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,12 +94,31 @@ class Pieces:
             self.ids.append(i)
         self.limit = int(dropout * 2**64)
         self.seed, self.variants = seed & _MASK, variants
-        # words split of late and before: what isn't asked for any more is forgotten
-        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
-        self.size = 0
+        self._forget()
         self._pairs()
 
+    def _forget(self) -> None:
+        """Trees of no word.  A node has its word's hash, its candidates, for each the node below (-1: none, -2: asked for once), and its ids."""
+        self.root: dict[str, int] = {}
+        self.node_word: list[str] = []
+        self.skips: list[frozenset[int]] = []
+        self.hashed, self.candidates, self.below, self.node_ids = (_Column(t) for t in (np.uint64, np.uint64, np.int32, np.int32))
+        self.first, self.count, self.id_first, self.id_count = (_Column(np.int64) for _ in range(4))
+
+    def _add(self, words: list[str], skips: list[frozenset[int]], ids: list[tuple[int, ...]], candidates: list[list[int]]) -> range:
+        """New nodes."""
+        n = len(self.node_word)
+        self.node_word += words
+        self.skips += skips
+        self.hashed.extend([xxhash.xxh3_64_intdigest(w.encode(), self.seed) for w in words])
+        for rows, table, first, count in ((candidates, self.candidates, self.first, self.count), (ids, self.node_ids, self.id_first, self.id_count)):
+            sizes = np.array([len(x) for x in rows], np.int64)
+            first.extend(table.size + np.cumsum(sizes) - sizes)
+            count.extend(sizes)
+            table.extend(np.fromiter(chain.from_iterable(rows), table.kind, int(sizes.sum())))
+        self.below.extend(np.full(self.candidates.size - self.below.size, -1))
+        return range(n, len(self.node_word))
+
     def _pairs(self) -> None:
         """Tables of the batch form: symbol of each character, and place of each pair of symbols in an open-addressed table.
 
@@ -119,8 +168,13 @@ class Pieces:
             open_ = open_[~hit & (held != -1)]
         return out
 
-    def words(self, words: list[str], variants: np.ndarray) -> list[tuple[int, ...]]:
+    def words(self, words: list[str], draws: np.ndarray) -> list[tuple[int, ...]]:
         """``word`` for many words of at most ``_SHORT`` characters; their agendas step together."""
+        return self._words(words, draws)[0]
+
+    def _words(self, words: list[str], draws: np.ndarray | None) -> tuple[list[tuple[int, ...]], list[list[int]]]:
+        """Ids of each word, and without draws, so without dropout, the candidates in their order."""
+        came: list[tuple[np.ndarray, np.ndarray]] = []
         n = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         none, width = self.none, int(n.max()) + 1
@@ -130,8 +184,8 @@ class Pieces:
         start = np.where(np.arange(width)[None, :] < n[:, None], start, n[:, None])
         places = np.full(symbols.shape, none, np.int32)
         places[:, :-1] = self._place_of(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(words), -1)
-        step = np.uint64(0x9E3779B97F4A7C15)
-        keys = np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed) for w in words], np.uint64) + variants.astype(np.uint64) * step
+        if draws is not None:
+            keys = np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed) for w in words], np.uint64) + draws.astype(np.uint64) * _STEP
         rows, columns = np.arange(len(words)), np.arange(width)
         while len(rows):
             at = places[rows].argmin(axis=1)
@@ -140,9 +194,11 @@ class Pieces:
             if self.limit and len(rows):
                 top = best.astype(np.uint64) << np.uint64(48) | start[rows, at].astype(np.uint64) << np.uint64(24)
                 top |= start[rows, np.minimum(at + 2, width - 1)].astype(np.uint64)
-                x = (keys[rows] ^ top) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                skip = (x ^ (x >> np.uint64(31))) < np.uint64(self.limit)
+                if draws is None:
+                    came.append((rows, top))
+                    skip = np.zeros(len(rows), bool)
+                else:
+                    skip = _hash(keys[rows] ^ top) < np.uint64(self.limit)
                 places[rows[skip], at[skip]] = none
                 done, at, best = rows[~skip], at[~skip], best[~skip]
             else:
@@ -159,27 +215,42 @@ class Pieces:
         flat, held = by_place[symbols], symbols < none
         parts = flat[held].tolist()
         ends = np.cumsum(held.sum(axis=1)).tolist()
-        return [tuple(parts[a:b]) for a, b in zip([0, *ends], ends)]
+        candidates: list[list[int]] = [[] for _ in words]
+        for rows, tops in came:
+            for row, top in zip(rows.tolist(), tops.tolist()):
+                candidates[row].append(top)
+        return [tuple(parts[a:b]) for a, b in zip([0, *ends], ends)], candidates
+
+    def word(self, word: str, draw: int) -> tuple[int, ...]:
+        """Ids of one word as the occurrence ``draw`` splits it."""
+        return self._agenda(word, xxhash.xxh3_64_intdigest(word.encode(), self.seed) + draw * int(_STEP) & _MASK)[0]
+
+    def _agenda(self, word: str, key: int | None = None, skips: frozenset[int] = frozenset()) -> tuple[tuple[int, ...], list[int]]:
+        """Ids of one word by agenda, and the candidates that came up.
 
-    def word(self, word: str, variant: int) -> tuple[int, ...]:
-        """Ids of one word by agenda; an entry is (place in the order of merging, start, end) in one integer."""
+        An entry is (place in the order of merging, start, end) in one integer.
+        Those in ``skips`` are skipped, and by ``key`` those whose hash is low.
+        """
+        came = []
         place, limit, n = self.place.get, self.limit, len(word)
         ends = list(range(1, n + 1))  # end of the symbol that starts here; 0: none does
         starts = list(range(n))  # start of the symbol that ends after this character
         agenda = [found << 48 | i << 24 | i + 2 for i in range(n - 1) if (found := place(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed) + variant * 0x9E3779B97F4A7C15 if limit else 0
         while agenda:
             top = heapq.heappop(agenda)
             a, b = top >> 24 & 0xFFFFFF, top & 0xFFFFFF
             middle = ends[a]
             if not 0 < middle < b or ends[middle] != b:
                 continue  # its symbols have been merged with others
-            if limit:
+            if top in skips:
+                continue
+            if limit and key is not None:
                 x = (key ^ top) * 0xBF58476D1CE4E5B9 & _MASK
                 x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
                 if x ^ x >> 31 < limit:
                     continue
+            came.append(top)
             ends[a], ends[middle], starts[b - 1] = b, 0, a
             if a and (found := place(word[(c := starts[a - 1]) : b])) is not None:
                 heapq.heappush(agenda, found << 48 | c << 24 | b)
@@ -193,43 +264,93 @@ class Pieces:
             else:
                 ids.extend(self.bytes[x] for x in word[a:b].encode())
             a = b
-        return tuple(ids)
+        return tuple(ids), came
 
-    def _learn(self, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], tuple[int, ...]]:
-        """Segmentations of (word, variant) that aren't among the young ones; kept unless the word is long."""
-        out = {wv: own for wv in wanted if (own := self.old[wv[1]].get(wv[0])) is not None}
-        new = [wv for wv in wanted if wv not in out]
+    def _plain(self, word: str) -> bool:
         known = self.symbol
-        plain = [wv for wv in new if len(wv[0]) <= _SHORT and all(known[ord(c)] < self.none for c in set(wv[0]))]
-        if plain:
-            out.update(zip(plain, self.words([w for w, _ in plain], np.array([v for _, v in plain]))))
-        for wv in new:
-            if wv not in out:
-                out[wv] = self.word(*wv)
-        for (word, variant), own in out.items():
-            if len(word) <= 2 * _SHORT:
-                if self.size >= _CACHE // 2:
-                    self.size, self.old, self.young = 0, self.young, [{} for _ in range(self.variants)]
-                self.young[variant][word] = own
-                self.size += 1
-        return out
+        return len(word) <= _SHORT and all(known[ord(c)] < self.none for c in set(word))
+
+    def _learn(self, words: list[str]) -> None:
+        """Roots of new words."""
+        plain = [w for w in words if self._plain(w)]
+        kept = set(plain)
+        odd = [w for w in words if w not in kept]
+        own = [self._agenda(w) for w in odd]
+        ids, candidates = self._words(plain, None) if plain else ([], [])
+        nodes = self._add(plain + odd, [frozenset()] * len(words), ids + [x for x, _ in own], candidates + [x for _, x in own])
+        self.root.update(zip(plain + odd, nodes))
+
+    def _drawn(self, nodes: np.ndarray, draws: np.ndarray) -> list[int]:
+        """Take each occurrence down to the node of its split, in place; those whose node isn't kept are returned."""
+        at, missing = np.flatnonzero(nodes >= 0), []
+        while len(at) and self.limit:
+            node = nodes[at]
+            n = self.count.all()[node]
+            row = np.repeat(np.arange(len(at)), n)
+            place = np.arange(len(row)) + np.repeat(self.first.all()[node] - (np.cumsum(n) - n), n)
+            key = self.hashed.all()[node] + draws[at] * _STEP
+            low = np.flatnonzero(_hash(key[row] ^ self.candidates.all()[place]) < np.uint64(self.limit))
+            low = low[np.append(True, row[low][1:] != row[low][:-1])] if len(low) else low  # the first of each
+            at, node, place = at[row[low]], node[row[low]], place[low]
+            child = self.below.all()[place]
+            asked = np.unique(place[child == -2], return_index=True)[1]
+            again = np.flatnonzero(child == -2)[asked]
+            if len(again):  # a second time: kept from now on
+                skips = [self.skips[i] | {int(c)} for i, c in zip(node[again].tolist(), self.candidates.all()[place[again]].tolist())]
+                words = [self.node_word[i] for i in node[again].tolist()]
+                ids, came = zip(*(self._agenda(w, skips=x) for w, x in zip(words, skips)))
+                self.below.all()[place[again]] = self._add(words, skips, list(ids), list(came))
+            self.below.all()[place[child == -1]] = -2
+            child = np.where(child == -2, self.below.all()[place], child)
+            missing += at[child < 0].tolist()
+            at, child = at[child >= 0], child[child >= 0]
+            nodes[at] = child
+        return missing
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
-        """Ids of each text; ``keys`` choose the variants."""
-        chunks, draws, ends = [], [], [0]
+        """Ids of each text; ``keys`` take part in the draws."""
+        chunks, parts, ends = [], [], [0]
         for text, key in zip(texts, keys):
             own = _CHUNK.findall(f" {text}") if text else []
             salt = np.uint64(xxhash.xxh3_64_intdigest(key.to_bytes(9, "little", signed=True), self.seed))
-            draws.append(mixed(np.arange(len(own), dtype=np.uint64) + salt))
+            parts.append(mixed(np.arange(len(own), dtype=np.uint64) + salt))
             chunks += own
             ends.append(len(chunks))
-        variants = (np.concatenate(draws) % np.uint64(self.variants)).tolist() if draws else []
-        known = [d.get for d in self.young]
-        found = [known[v](c) for c, v in zip(chunks, variants)]
-        if None in found:
-            learnt = self._learn(list({(c, v): 0 for c, v, f in zip(chunks, variants, found) if f is None}))
-            found = [learnt[c, v] if f is None else f for c, v, f in zip(chunks, variants, found)]
-        return [np.fromiter(chain.from_iterable(found[a:b]), np.int32) for a, b in zip(ends, ends[1:])]
+        if not chunks:
+            return [np.zeros(0, np.int32) for _ in texts]
+        draws = np.concatenate(parts)
+        if self.variants:
+            draws %= np.uint64(self.variants)
+        if len(self.node_word) >= _CACHE:
+            self._forget()
+        known = self.root.get
+        found = [known(c, -1) for c in chunks]
+        if -1 in found:
+            new = [c for c in {c: 0 for c, f in zip(chunks, found) if f < 0} if len(c) <= 2 * _SHORT]
+            if new:
+                self._learn(new)
+                found = [known(c, -1) for c in chunks]
+        nodes = np.array(found, np.int64)
+        alone = np.flatnonzero(nodes < 0).tolist()  # long words
+        rare = self._drawn(nodes, draws)
+        plain = [i for i in rare if self._plain(chunks[i])]
+        alone += set(rare).difference(plain)
+        own = [self.word(chunks[i], int(draws[i])) for i in alone]
+        if plain:
+            own += self.words([chunks[i] for i in plain], draws[plain])
+        alone += plain
+        # ids of the nodes, and of the others after them
+        first, count = self.id_first.all()[nodes] if self.root else nodes.copy(), self.id_count.all()[nodes] if self.root else nodes.copy()
+        if alone:
+            sizes = np.array([len(x) for x in own], np.int64)
+            first[alone], count[alone] = self.node_ids.size + np.cumsum(sizes) - sizes, sizes
+        kept = self.node_ids.size
+        if alone:
+            self.node_ids.extend(np.fromiter(chain.from_iterable(own), np.int32))
+        starts = np.append(0, np.cumsum(count))
+        whole = self.node_ids.all()[np.arange(starts[-1]) + np.repeat(first - starts[:-1], count)]
+        self.node_ids.size = kept  # the others aren't kept
+        return np.split(whole, starts[ends[1:-1]]) if len(texts) > 1 else [whole]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text, as UTF-8, of which ``ids`` are the pieces."""
@@ -237,19 +358,20 @@ class Pieces:
 
 
 @functools.cache
-def pieces(path: str, dropout: float, seed: int, variants: int) -> Pieces:
+def pieces(path: str, dropout: float, seed: int, variants: int | None = None) -> Pieces:
     """One per Python worker and setting, kept between its tasks."""
     return Pieces(path, dropout, seed, variants)
 
 
 def encode(
-    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int | None = None, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(key, n_pieces, ids_crc32, lossless, ids) per row.
 
     ``ids_crc32`` is over the ids as little-endian 32-bit integers; ``lossless``
     says that decoding the ids gave the text back.  Null and empty texts have no
-    ids; rows with a null key are split like key -1.
+    ids; rows with a null key are split like key -1.  Every occurrence of a word
+    is drawn by itself; a number of ``variants`` allows each word so many splits.
     """
     schema = pa.schema([(key, pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 

@@ -65,6 +65,24 @@ def test_batch_agenda_equals_the_heap():
     assert len({own.word(" internationalisation", v) for v in range(4)}) > 1
 
 
+def test_every_occurrence_is_drawn_by_itself():
+    own = merge_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.1, 5)
+    words = " internationalisation the reéu word▁x zażółć".split() + ["ab" * 40]
+    text = " ".join(words * 300)
+    for _ in range(3):  # with nothing kept, with some, with most
+        ids = own.encode([text, "", text], [3, 4, -5])
+        assert len(ids[1]) == 0 and ids[0].tolist() != ids[2].tolist()
+        for found, key in ((ids[0], 3), (ids[2], -5)):
+            salt = merge_dropout.xxhash.xxh3_64_intdigest(key.to_bytes(9, "little", signed=True), 5)
+            draws = mixed(np.arange(len(words) * 300, dtype=np.uint64) + np.uint64(salt)).tolist()
+            assert found.tolist() == [i for w, d in zip(words * 300, draws) for i in own.word(f" {w}", d)]
+    assert len({own.word(" internationalisation", d) for d in draws}) > 4
+    # one candidate, skipped in a tenth of the occurrences
+    whole, came = own._agenda(" a")
+    assert len(came) == 1
+    assert sum(own.word(" a", d) == whole for d in draws) / len(draws) == pytest.approx(0.9, abs=0.03)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 9))
 def test_sketches_bound_the_difference_and_linked_sets_share_a_piece(n, changed, seed):
