@@ -28,6 +28,7 @@ _BLOCK = 1 << 18  # components in a block of vectors
 _ALL = -(1 << 62)  # threshold of a query that has fewer candidates than k
 _BLOCKS = "dim int, ids binary, vectors binary"
 _EXACT = float(1 << 53)
+_LARGEST = 1 << 61  # a range of scores twice as wide still fits a long
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, query_block: int
 
     ``vectors``: (vec_id long, vector array<long>); ``is_query``: SQL condition
     on vec_id.  A query meets all vectors of its own length but those with its
-    own id; scores must fit a long.  Ties go to the smaller vec_id, repeated
+    own id; vectors whose scores could exceed 2^61 are refused.  Ties go to the smaller vec_id, repeated
     rows count each, repeated query rows are asked once.  With fewer than k
     candidates all are returned, with none no row; an empty table gives none.
     """
@@ -141,12 +142,14 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, query_block: int
         .applyInArrow(_query_block, "block long, dim int, q_ids binary, q_vectors binary, n int, top double"),
         "query-blocks",
     )
-    queries = queries.withColumn("block", F.col("block") * 100_000 + F.col("dim"))
+    queries = queries.withColumn("block", F.shiftleft("block", 31) + F.col("dim"))
     if queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     reach = blocks.mapInArrow(_largest, "dim int, top double").groupBy("dim").agg(F.max("top").alias("most"))
     bound = queries.join(reach, "dim").agg(F.max(F.col("top") * F.col("most") * F.greatest("dim", F.lit(1)))).first()[0]
-    bound = int(bound or 0) + 1
+    bound = int((bound or 0) * (1 + 1e-9)) + 1
+    if bound > _LARGEST:
+        raise ValueError("scores of these vectors can exceed 2^61")
 
     spread = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
     # each block of vectors goes to each block of queries of its length
@@ -216,7 +219,7 @@ def _refined(state: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     after = items.join(chosen, ["block", "item"], "left").select(
         "block",
         "item",
-        F.when(found, F.col("low") + F.col("bin") * F.lit(width)).otherwise(F.lit(_ALL)).alias("low"),
+        F.when(found, F.col("low") + F.col("bin").cast("long") * F.lit(width).cast("long")).otherwise(F.lit(_ALL)).alias("low"),
         F.when(found, F.col("left")).otherwise(F.col("need")).alias("need"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("item", "low", "need")))

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns in every operator and stage."""
 
+import math
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +164,26 @@ def test_top_k(spark):
     assert topk.exact_top_k(topk.integer_vectors(df.where("false")), "vec_id % 50 = 0").count() == 0
 
 
+@pytest.mark.parametrize("dim, size", [(64, 30), (64, 1000), (1, 1000), (3, 1e6)])
+def test_top_k_of_large_components(spark, dim, size):
+    rng = np.random.default_rng(dim)
+    rows = [(i, [float(np.float32(x)) for x in rng.uniform(-size, size, dim)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    got = sorted(tuple(r) for r in topk.exact_top_k(topk.integer_vectors(df), "vec_id % 50 = 0").collect())
+    want = []
+    for a in range(0, 200, 50):
+        best = sorted((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a)[:5]
+        want += [(a, i + 1, b, -s) for i, (s, b) in enumerate(best)]
+    assert got == want
+
+
+def test_top_k_refuses_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e14]), (1, [1e14])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        topk.exact_top_k(topk.integer_vectors(df), "vec_id % 50 = 0")
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(50, 60), (60, 70), (5, 5), (1, 0), (80, 80)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
