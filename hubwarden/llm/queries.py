@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hubwarden.llm import blob_ledger, chains, katz, merge_dropout, parity_join, rans_files, tag_paths, templates, topk, toxicity
+from hubwarden.llm import (
+    blob_ledger,
+    chains,
+    katz,
+    line_index,
+    merge_dropout,
+    parity_join,
+    rans_files,
+    tag_paths,
+    templates,
+    topk,
+    toxicity,
+)
 from hubwarden.llm.common import held_out, table
 from hubwarden.session import new_folder
 
@@ -116,6 +128,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.passages(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op13_line_index",
+    """
+    WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+    l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM x),
+    k AS (
+      SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+    ),
+    c AS (
+      SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> last) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (coalesce(doc_id = last, true)), '')) AS kept_sha256
+    FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_index.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_lines", "n_dropped", kept)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
