@@ -19,6 +19,7 @@ from hubwarden.llm import (
     templates,
     topk,
     toxicity,
+    whitening,
 )
 from hubwarden.llm.common import held_out, table
 from hubwarden.session import new_folder
@@ -128,6 +129,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.passages(table(spark, sf_dir, "documents"))
 
 
+@query("op12_shifted_cholesky")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 @query(
     "op13_line_index",
     """
