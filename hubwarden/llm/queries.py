@@ -14,6 +14,7 @@ from hubwarden.llm import (
     line_index,
     merge_dropout,
     parity_join,
+    prefix_trie,
     rans_files,
     tag_paths,
     templates,
@@ -21,8 +22,8 @@ from hubwarden.llm import (
     toxicity,
     whitening,
 )
-from hubwarden.llm.common import held_out, table
-from hubwarden.session import new_folder
+from hubwarden.llm.common import crc_remainder, held_out, table
+from hubwarden.session import new_folder, stage
 
 LLM_QUERIES = {}
 LLM_ORACLES = {}
@@ -129,6 +130,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.passages(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_prefix_trie",
+    """
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+      SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+          list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+          lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))
+        ), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)
+    ), r AS (
+      SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+      UNION ALL SELECT conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h
+    ), p AS (
+      SELECT c.conv_id, list(md5(strlen(role) || ':' || role || text) ORDER BY pos) FILTER (pos IS NOT NULL) AS ids,
+        list(strlen(text) ORDER BY pos) FILTER (pos IS NOT NULL) AS sizes
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id
+    ), m AS (
+      SELECT conv_id, d, md5(array_to_string(list_slice(ids, 1, d), '')) AS node, coalesce(len(ids), 0) = d AS ends,
+        CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+      FROM (SELECT *, unnest(range(0, coalesce(len(ids), 0) + 1)) AS d FROM p)
+    ), n AS (
+      SELECT coalesce(node, md5('')) AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS own,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM m GROUP BY ALL
+    ), q AS (
+      SELECT n.node, n.d, p.node AS parent FROM n JOIN (SELECT conv_id, d, coalesce(node, md5('')) AS node FROM m) p
+      ON p.conv_id = n.conv_id AND p.d = n.d - 1
+    ), k AS (
+      SELECT parent AS node, count(*) AS n_children FROM q GROUP BY parent
+    ), s AS (
+      SELECT a.node, sum(n.own)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+      FROM n LEFT JOIN k USING (node) JOIN (SELECT conv_id, d, coalesce(node, md5('')) AS node FROM m) a
+      ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.node
+    )
+    SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+      n_leaves, saved_tokens, n.ends_sha256
+    FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN q USING (node) LEFT JOIN n o ON o.node = q.parent
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stage(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    # each conversation begins with up to eight turns of the first of its five
+    own = turns.withColumn("head", crc_remainder("conv_id", 9))
+    convs = own.select("conv_id", "head").distinct()
+    wanted = convs.select("head", F.col("conv_id").alias("to"), (F.col("conv_id") - F.col("conv_id") % 5).alias("conv_id"))
+    heads = turns.where("turn <= 8").join(wanted, "conv_id").where("turn <= head").select(F.col("to").alias("conv_id"), "turn", "turn_id")
+    found = prefix_trie.prefix_trie(own.where("turn > head").drop("head").unionByName(heads), convs)
+    return found.drop("node", "parent")
+
+
 @query("op12_shifted_cholesky")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
