@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubwarden.llm.common import per_stage
 _LEDGER = "blob binary, rules array<string>, found array<struct<kind:string,start:int,end:int>>"
 
 
@@ -85,6 +86,7 @@ def _scan(rules: tuple[Rule, ...]):
     known = {r.name: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_stage(None)
         for batch in batches:
             found = []
             wanted = batch.column("rules").to_pylist()

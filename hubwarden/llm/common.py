@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORDS_KEPT = 900_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,17 +37,71 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word; forgets all words when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+#: What a byte stands for in a word's hash, A-Z as a-z; a word is a polynomial of these at an odd point, modulo 2^64.
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_POINT = 0x9FB21C651E98DF25
+_INVERSE = pow(_POINT, -1, 1 << 64)
+_SLICE = 1 << 20  # bytes of text that are hashed together
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    out = np.full(n, of, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased; none for null.
+
+    All bytes of some texts are hashed by a few array operations, so nothing
+    depends on how many different words there are and nothing is kept.
+    """
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    known = np.asarray(texts.is_valid())
+    up, down, i = _powers(_POINT, 1), _powers(_INVERSE, 1), 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SLICE, "right")) - 1)
+        own = data[offsets[i] : offsets[j]]
+        bounds = offsets[i : j + 1] - offsets[i]
+        if len(own) > len(up):
+            up, down = _powers(_POINT, max(len(own), _SLICE)), _powers(_INVERSE, max(len(own), _SLICE))
+        apart = np.ones(len(own) + 1, bool)  # no word goes on from the byte before
+        apart[1:-1] = _SPACE[own[:-1]]
+        apart[bounds] = True
+        full = ~_SPACE[own]
+        starts = np.flatnonzero(full & apart[:-1])
+        after = apart[1:].copy()
+        after[:-1] |= ~full[1:]
+        ends = np.flatnonzero(full & after) + 1
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_BYTE[own] * up[: len(own)], out=sums[1:])
+        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        cuts = np.searchsorted(starts, bounds)
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            yield hashes[a:b] if known[i + k] else hashes[:0]
+        i = j
+
+
+_kept: dict = {}
+
+
+def per_stage(make, *settings):
+    """``make(*settings)``, kept by the Python worker for the tasks of one stage and forgotten with the next stage.  ``None`` only forgets."""
+    task = TaskContext.get()
+    now = task and task.stageId()
+    if _kept.get("stage") != now:
+        _kept.clear()
+        _kept["stage"] = now
+    if make is None:
+        return None
+    at = (make, settings)
+    if at not in _kept:
+        _kept[at] = make(*settings)
+    return _kept[at]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,6 @@ meets its table row in a join that Spark can split.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import WordHashes, mixed, signed, utf8, words
+from hubwarden.llm.common import mixed, signed, word_hashes
 from hubwarden.session import stage
 
 #: Stand-ins for the start and the end of a text; no word has their hash but by chance.
@@ -32,11 +31,6 @@ START, END = np.uint64(0x51A7), np.uint64(0xE4D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
 def pair_table(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """(kept columns, h, w, pair, n): the pairs of each text and how often it has them; every text ends with END."""
     fields = [docs.schema[k] for k in keep]
@@ -47,8 +41,8 @@ def pair_table(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
                 parts, rows = [], []
-                for j, t in enumerate(utf8(some.column(len(keep)))):
-                    w = np.append(_hashes().of(words(t)), END)
+                for j, own in enumerate(word_hashes(some.column(len(keep)))):
+                    w = np.append(own, END)
                     h = np.concatenate([[START], w[:-1]]).astype(np.uint64)
                     pair, first, n = np.unique(mixed(h * _STEP + w), return_index=True, return_counts=True)
                     parts.append((h[first], w[first], pair, n))
@@ -127,9 +121,18 @@ def train(pairs: DataFrame, top: int = 5) -> Model:
     return Model(stage(probable, "words"), stage(scored, "pairs"), contexts, int(tokens), int(types), (total - kept) / total)
 
 
+def score_documents(docs: DataFrame, model: Model, text: str = "text", *keep: str) -> DataFrame:
+    """``score`` of each row of ``docs`` by itself, whatever its kept columns repeat or lack."""
+    row = "row" + "_" * max(map(len, docs.columns))
+    numbered = docs.select(*keep, text).withColumn(row, F.monotonically_increasing_id())
+    return score(pair_table(numbered, text, *keep, row), model, *keep, row).drop(row)
+
+
 def score(pairs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """(kept columns, n_tokens, n_known, score, base_score): log10 probabilities of the texts whose pairs are given.
 
+    Texts with equal kept columns count as one; ``score_documents`` keeps rows apart.
+
     ``base_score``: each token by (c + 0.5) / (N + 0.5 (V + 1)).
     """
     met = pairs.join(model.pairs.select("pair", "p"), "pair", "left")

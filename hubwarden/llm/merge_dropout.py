@@ -19,7 +19,6 @@ U+2581 among them, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 import zlib
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import mixed
+from hubwarden.llm.common import mixed, per_stage
 
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _SPACE = "▁"
@@ -357,10 +356,9 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]
 
 
-@functools.cache
 def pieces(path: str, dropout: float, seed: int, variants: int | None = None) -> Pieces:
-    """One per Python worker and setting, kept between its tasks."""
-    return Pieces(path, dropout, seed, variants)
+    """One per Python worker and setting, kept between the tasks of a stage."""
+    return per_stage(Pieces, path, dropout, seed, variants)
 
 
 def encode(

@@ -16,13 +16,13 @@ about two bits a shingle, which is again a lower bound, then the exact sets.
 Documents with equal sets are one class throughout.  In a bucket of pieces the
 class with the smallest id is paired with all others, and neighbours with each
 other; what these pairs connect isn't paired again, so a group of near copies
-gives as many pairs as it has members.  Only classes of a bucket that are still
-apart are then compared, without exception.
+gives as many pairs as it has members.  The sketches of the classes of a bucket
+that are still apart are then compared, without exception, in chunks that meet
+each other; only pairs whose sketches allow a link become rows.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import WordHashes, flushed, mixed, signed, utf8, windows, words
+from hubwarden.llm.common import flushed, mixed, signed, windows, word_hashes
 from hubwarden.llm.graph import components
 from hubwarden.session import stage
 
@@ -41,18 +41,13 @@ _FILL = 0.75  # shingles in a piece, for the largest sets of a band
 _SAMPLE = 16  # one class in so many is looked at for frequent pieces
 _FREQUENT = 200_000  # pieces that are kept as frequent, at most
 _BITS = 24
+_CHUNK = 256  # classes of a bucket whose sketches come in one row
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Distinct hashed runs of ``size`` words, ascending; all words as one run if there are fewer, none without words."""
-    own = words(text)
-    return np.unique(windows(_hashes().of(own), min(size, len(own)))) if own else np.zeros(0, np.uint64)
+def shingles(own: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashed runs of ``size`` of the hashed words, ascending; all words as one run if there are fewer, none without words."""
+    return np.unique(windows(own, min(size, len(own)))) if len(own) else np.zeros(0, np.uint64)
 
 
 def class_of(own: np.ndarray) -> int:
@@ -135,7 +130,7 @@ def class_table(docs: DataFrame, size: int, percent: int, key: str, text: str) -
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         met: set[int] = set()
         for batch in batches:
-            for doc_id, text_id, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(1))):
+            for doc_id, text_id, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), word_hashes(batch.column(1))):
                 own = shingles(t, size)
                 if not len(own):
                     yield doc_id, text_id, 0, None, 0, None
@@ -176,7 +171,7 @@ def _keys(docs: DataFrame, size: int, percent: int, key: str, text: str, more: s
         for batch in batches:
             if rare is None:  # equal texts are in the sample together, and count once
                 batch = batch.filter(pa.array(np.mod(batch.column(1).to_numpy(), _SAMPLE) == 0))
-            for t in utf8(batch.column(0)):
+            for t in word_hashes(batch.column(0)):
                 own = shingles(t, size)
                 n = len(own)
                 if not n:
@@ -245,7 +240,7 @@ def _sets(docs: DataFrame, size: int, text: str, wanted: DataFrame) -> DataFrame
             ids = batch.column(1).to_numpy()
             place = np.mod(ids, 1 << _BITS)
             hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            for i, t in zip(ids[hit].tolist(), utf8(batch.column(0).take(pa.array(hit)))):
+            for i, t in zip(ids[hit].tolist(), word_hashes(batch.column(0).take(pa.array(hit)))):
                 if i not in met and len(own := shingles(t, size)):
                     if len(met) < 1_000_000:
                         met.add(i)
@@ -258,6 +253,52 @@ def _sets(docs: DataFrame, size: int, text: str, wanted: DataFrame) -> DataFrame
     return found.join(wanted.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("members").alias("members"))
 
 
+def _farthest(both: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """Most shingles by which two linked sets with ``both`` shingles together differ."""
+    return both * 100 // (100 + percent) * (100 - percent) // 100  # |A or B| of a link, at most, comes first
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _near(percent: int):
+    """Pairs (a, b) of classes of two packs, not connected yet, whose sketches allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def groups(pack: pa.Scalar) -> dict[int, tuple[np.ndarray, ...]]:
+        """Classes, sizes, roots and sketches by the sketches' length in words."""
+        members = pack.values
+        classes, n, root = (members.field(i).to_numpy().astype(np.int64) for i in range(3))
+        raw = members.field(3).to_pylist()
+        length = np.array([len(x) >> 3 for x in raw])
+        out = {}
+        for words in np.unique(length).tolist():
+            at = np.flatnonzero(length == words)
+            out[words] = (classes[at], n[at], root[at], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, words))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                for w1, (c1, n1, r1, s1) in groups(left).items():
+                    for w2, (c2, n2, r2, s2) in groups(right).items():
+                        x, y = _folded(s1, min(w1, w2)), _folded(s2, min(w1, w2))
+                        for i in range(len(c1)):
+                            able = np.flatnonzero((r2 != r1[i]) & (np.minimum(n2, n1[i]) * 100 >= np.maximum(n2, n1[i]) * percent))
+                            if len(able):
+                                far = np.bitwise_count(x[i] ^ y[able]).sum(axis=1, dtype=np.int64)
+                                able = able[far <= _farthest(n2[able] + n1[i], percent)]
+                            if len(able):
+                                a, b = np.minimum(c2[able], c1[i]), np.maximum(c2[able], c1[i])
+                                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return run
+
+
 def _tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
     """Pairs (a, b) that pass ``test(value of a, value of b)``; ``values``: class, value."""
 
@@ -299,34 +340,35 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
     def close(x: dict, y: dict) -> bool:
-        union = (x["n"] + y["n"]) * 100 // (100 + percent)  # |A or B| of a link, at most
-        return hamming(x["sketch"], y["sketch"]) <= union * (100 - percent) // 100
+        return hamming(x["sketch"], y["sketch"]) <= _farthest(x["n"] + y["n"], percent)
 
     def link(x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(p, q, assume_unique=True))
         return 100 * both >= percent * (len(p) + len(q) - both)
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        able = stage(_tested(pairs.where("a <> b").distinct(), sketches, close), f"{name}-close")
+    def exact(able: DataFrame, name: str) -> DataFrame:
         wanted = able.select(F.col("a").alias("class")).union(able.select("b")).distinct().join(sketches.select("class", "text_id"), "class")
         return stage(_tested(able, _sets(docs, size, text, wanted), link), f"{name}-links")
 
     star = buckets.where(sized("n", "least_n")).select(F.col("least").alias("a"), F.col("class").alias("b"))
     chain = buckets.where("before IS NOT NULL").where(sized("n", "before_n")).select(F.col("before").alias("a"), F.col("class").alias("b"))
-    first = links(star.union(chain), "first")
+    tried = star.union(chain).where("a <> b").distinct()
+    first = exact(stage(_tested(tried, sketches, close), "first-close"), "first")
     roots = stage(components(first), "roots")
 
-    # buckets whose classes aren't all connected yet: every pair across components
+    # buckets whose classes aren't all connected yet: their sketches meet chunk by chunk
     placed = buckets.select("key", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.withColumn("root", F.coalesce("root", "class")).distinct()
-    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = stage(placed.join(apart, "key", "left_semi"), "apart")
-    a, b = left.alias("p"), left.alias("q")
-    across = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.root") != F.col("q.root")) & sized("p.n", "q.n"))
-    pairs = across.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
-    done = star.union(chain)
-    second = links(pairs.join(done.distinct(), ["a", "b"], "left_anti"), "second")
+    sizes = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y")
+    chunks = placed.join(sizes.select("key", F.ceil(F.col("members") / _CHUNK).alias("chunks")), "key")
+    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(sketches.select("class", "value.sketch"), "class")
+    member = F.struct("class", "n", "root", "sketch")
+    packs = stage(chunks.groupBy("key", "chunk").agg(F.collect_list(member).alias("pack")), "apart")  # about _CHUNK members each
+    other = packs.select("key", F.col("chunk").alias("chunk2"), F.col("pack").alias("pack2"))
+    met = packs.join(other, "key").where("chunk <= chunk2").select("pack", "pack2")
+    able = stage(met.mapInArrow(_near(percent), "a long, b long").distinct(), "second-close")
+    second = exact(able, "second")
 
     roots = stage(components(first.union(second)), "roots")
     members = table.join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", "class", F.coalesce("root", "class").alias("root"))

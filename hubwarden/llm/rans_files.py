@@ -19,7 +19,6 @@ no more rows than the vocabulary.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import flushed, utf8
+from hubwarden.llm.common import flushed, per_stage, utf8
 from hubwarden.session import stage
 
 SCALE = 20
@@ -115,10 +114,9 @@ class WordTokens:
         return out
 
 
-@functools.cache
 def word_tokens(path: str) -> WordTokens:
-    """One per Python worker, kept between its tasks."""
-    return WordTokens(path)
+    """One per Python worker, kept between the tasks of a stage."""
+    return per_stage(WordTokens, path)
 
 
 def token_table(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

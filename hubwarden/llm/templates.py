@@ -14,7 +14,6 @@ only those leave the scan, and the join decides.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import mixed, signed, windows
+from hubwarden.llm.common import mixed, per_stage, signed, windows
 
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n:;|\"]")
 _LITERAL, _BREAK, _NUMBER, _CAPITAL, _UNIT, _NAME = range(6)
@@ -59,9 +58,8 @@ class _Kinds(dict):
         return value
 
 
-@functools.cache
 def _kinds() -> _Kinds:
-    return _Kinds()
+    return per_stage(_Kinds)
 
 
 class Template:

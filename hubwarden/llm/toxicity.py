@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from hubwarden.llm.common import per_stage
 from hubwarden.session import stage
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]?")
@@ -122,6 +123,7 @@ def fit(
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    per_stage(None)
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             own = {f for w in set(_WORD.findall(folded(text))) for f in features(w)}
@@ -196,6 +198,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = spark.sparkContext.broadcast(model)  # no larger than the sample's features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_stage(None)
         own = shared.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         for batch in batches:
@@ -212,6 +215,7 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_stage(None)
         own = shared.value
         for batch in batches:
             scores = [own.document(t.as_py() or "")[0] for t in batch.column(text)]

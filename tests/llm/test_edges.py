@@ -70,11 +70,11 @@ def test_leaks(spark, docs, sf):
 def test_katz(docs):
     kept = docs.select("doc_id", "text")
     model = katz.train(katz.pair_table(docs))
-    rows = katz.score(katz.pair_table(kept, "text", "doc_id"), model, "doc_id").collect()
-    assert len(rows) == (9 if docs.count() else 0)
+    rows = katz.score_documents(kept, model, "text", "doc_id").collect()
+    assert len(rows) == docs.count() and (not rows or [r.doc_id for r in rows].count(4) == 2)
     assert all(r.score < 0 and r.n_tokens == r.n_known for r in rows)
     other = katz.train(katz.pair_table(docs.where("false")))
-    assert all(r.n_known == 0 and r.score <= 0 for r in katz.score(katz.pair_table(kept, "text", "doc_id"), other, "doc_id").collect())
+    assert all(r.n_known == 0 and r.score <= 0 for r in katz.score_documents(kept, other, "text", "doc_id").collect())
 
 
 def test_toxicity(spark, docs, sf):
@@ -197,10 +197,20 @@ def test_stages(spark, docs, sf, name, stage):
     rows = got.collect()
     if name != "pieces":
         assert got.columns == docs.columns
-    kept = sorted((r.doc_id for r in rows if r.doc_id is not None))
+    kept = sorted((r.doc_id for r in rows), key=lambda d: (d is None, d or 0))
     want = {
-        "toxicity": [1, 2, 3, 4, 4, 5, 6, 7, 8],
-        "near_copies": [1, 2, 3, 5, 7, 8],
-        "benchmark_leaks": [1, 2, 7, 8],
-    }.get(name, [1, 2, 3, 4, 4, 5, 6, 7, 8])
+        "near_copies": [1, 2, 3, 5, 7, 8, None],
+        "benchmark_leaks": [1, 2, 7, 8, None],
+    }.get(name, [1, 2, 3, 4, 4, 5, 6, 7, 8, None, None])
     assert kept == (want if docs.count() else [])
+
+
+def test_stages_judge_rows_and_not_ids(spark, sf):
+    """Rows that share an id, or have none, are judged by their own text."""
+    copy, leak = LONG, " ".join(LONG.split()[100:160])
+    texts = [(1, copy), (None, copy), (7, copy), (7, "a text of its own"), (7, "a text of its own"), (None, None), (9, leak), (9, "clean"), (None, leak), (10, ""), (10, "")]
+    docs = spark.createDataFrame([(d, t, "en", "a", None) for d, t in texts], SCHEMA)
+    left = corpus_pipeline.drop_near_copies(spark, docs, sf).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, copy), (7, "a text of its own"), (None, None), (9, leak), (9, "clean"), (10, ""), (10, "")], key=str)
+    left = corpus_pipeline.drop_leaks(spark, docs, sf).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([x for x in texts if x[1] not in (leak, copy)], key=str)
