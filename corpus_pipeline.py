@@ -23,17 +23,38 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_score(docs, toxicity.fit(docs, labels), name).where(F.col(name) < 0.7).drop(name)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that is equal for rows alike in id and text only, and its name: ids may be absent or repeat."""
+    name = blob_ledger.unused(docs, "row_key")
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; rows without a doc_id stay."""
-    found = parity_join.jaccard_components(docs)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that with the smallest doc_id, a null one last; of rows alike in id and text, any.
+
+    Texts without words are no copies of anything.
+    """
+    keyed, row = with_row_key(docs)
+    found = parity_join.jaccard_components(keyed, key=row).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    each = found.where("n_shingles > 0").groupBy(row, "component_id").agg(F.count("*").alias("copies"))
+    ids = keyed.select(row, "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row, "copies")
+    first = each.join(ids, row).groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = stage(each.join(first, "component_id").select(row, (F.col(row) == F.col(f"first.{row}")).alias("_kept"), "copies"), "verdicts")
+    left = keyed.join(kept.where("NOT _kept"), row, "left_anti")
+    if kept.where("_kept AND copies > 1").isEmpty():
+        return left.select(*docs.columns)
+    # rows that repeat id and text: one of them stays
+    again = kept.where("_kept AND copies > 1").select(row)
+    once = left.join(again, row, "left_semi").dropDuplicates([row])
+    return left.join(again, row, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; rows without a doc_id stay."""
-    found = templates.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of the benchmark, each row judged by its own text."""
+    keyed, row = with_row_key(docs)
+    found = templates.leaks(keyed, table(spark, sf_dir, "benchmark"), key=row).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(found, row, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
