@@ -16,9 +16,10 @@ about two bits a shingle, which is again a lower bound, then the exact sets.
 Documents with equal sets are one class throughout.  In a bucket of pieces the
 class with the smallest id is paired with all others, and neighbours with each
 other; what these pairs connect isn't paired again, so a group of near copies
-gives as many pairs as it has members.  The sketches of the classes of a bucket
-that are still apart are then compared, without exception, in chunks that meet
-each other; only pairs whose sketches allow a link become rows.
+gives as many pairs as it has members.  The classes of a bucket that are still
+apart are then compared, without exception: one by one in small buckets, and in
+large ones by chunks of sketches that meet each other, where only pairs whose
+sketches allow a link become rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ _FILL = 0.75  # shingles in a piece, for the largest sets of a band
 _SAMPLE = 16  # one class in so many is looked at for frequent pieces
 _FREQUENT = 200_000  # pieces that are kept as frequent, at most
 _BITS = 24
+_SMALL = 32  # classes of a bucket that are paired one by one
 _CHUNK = 256  # classes of a bucket whose sketches come in one row
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -357,17 +359,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
     first = exact(stage(_tested(tried, sketches, close), "first-close"), "first")
     roots = stage(components(first), "roots")
 
-    # buckets whose classes aren't all connected yet: their sketches meet chunk by chunk
+    # buckets whose classes aren't all connected yet: in small ones all that are apart pair up,
+    # in large ones their sketches meet chunk by chunk
     placed = buckets.select("key", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.withColumn("root", F.coalesce("root", "class")).distinct()
     sizes = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y")
-    chunks = placed.join(sizes.select("key", F.ceil(F.col("members") / _CHUNK).alias("chunks")), "key")
-    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(sketches.select("class", "value.sketch"), "class")
-    member = F.struct("class", "n", "root", "sketch")
-    packs = stage(chunks.groupBy("key", "chunk").agg(F.collect_list(member).alias("pack")), "apart")  # about _CHUNK members each
+    left = stage(placed.join(sizes.select("key", "members"), "key"), "apart")
+    p, q = left.where(F.col("members") <= _SMALL).alias("p"), left.alias("q")
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.root") != F.col("q.root")) & sized("p.n", "q.n"))
+    pairs = across.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    large = left.where(F.col("members") > _SMALL).withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / _CHUNK)))
+    member = F.struct("class", "value.n", "root", "value.sketch")
+    packs = large.drop("n").join(sketches, "class").groupBy("key", "chunk").agg(F.collect_list(member).alias("pack"))  # about _CHUNK members each
+    packs = stage(packs, "packs")
     other = packs.select("key", F.col("chunk").alias("chunk2"), F.col("pack").alias("pack2"))
-    met = packs.join(other, "key").where("chunk <= chunk2").select("pack", "pack2")
-    able = stage(met.mapInArrow(_near(percent), "a long, b long").distinct(), "second-close")
+    met = packs.join(other, "key").where("chunk <= chunk2").select("pack", "pack2").mapInArrow(_near(percent), "a long, b long")
+    able = stage(_tested(pairs, sketches, close).union(met).distinct(), "second-close")
     second = exact(able, "second")
 
     roots = stage(components(first.union(second)), "roots")
