@@ -23,7 +23,8 @@ def kind(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.startswith(kind(v), F.lit("OBJECT"))
+    """Whether the value is an object, and not the stand-in of a number."""
+    return F.startswith(kind(v), F.lit("OBJECT")) & F.try_variant_get(v, f"$['{FLOAT}']", "variant").isNull()
 
 
 def is_array(v: Column) -> Column:
@@ -48,6 +49,25 @@ def truthy(v: Column) -> Column:
     return F.coalesce(~(empty | zero), F.lit(False))
 
 
+#: Key of the object that stands for a number with a fraction or an exponent.
+FLOAT = "\u00a7float"
+_FLOAT = r"-?[0-9]++(?:\.[0-9]++(?:[eE][+-]?[0-9]++)?|[eE][+-]?[0-9]++)"
+
+
+def tagged(text: Column) -> Column:
+    """JSON text with each number that has a fraction or an exponent as an object of its own.
+
+    VARIANT takes 1.0 for 1, so the kind of a number would be lost at any depth.
+    Escapes are put out of the way first, so that a string is all up to the next
+    quote; control characters, which JSON has none of, stand in for them.
+    """
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x06")), F.lit('\\"'), F.lit("\x05"))
+    marked = F.regexp_replace(plain, f'("[^"]*+")|({_FLOAT})', "$1\x02$2\x03")
+    marked = F.replace(F.replace(marked, F.lit("\x02\x03"), F.lit("")), F.lit("\x02"), F.lit(f'{{"{FLOAT}":'))
+    marked = F.replace(F.replace(F.replace(marked, F.lit("\x03"), F.lit("}")), F.lit("\x05"), F.lit('\\"')), F.lit("\x06"), F.lit("\\\\"))
+    return F.when(text.rlike(r"[0-9](\.[0-9]|[eE][-+0-9])") & ~text.rlike(r"[\x02\x03\x05\x06]"), marked).otherwise(text)
+
+
 def canonical_key(v: Column) -> Column:
-    """One hash per JSON value: key order is immaterial, ``1`` and ``1.0`` differ."""
+    """One hash per JSON value: key order is immaterial; with ``tagged`` text, ``1`` and ``1.0`` differ at every depth."""
     return F.sha2(F.concat_ws("\x1f", F.to_json(v), kind(v)), 256)

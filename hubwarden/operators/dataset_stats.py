@@ -88,15 +88,32 @@ def file_profile(
     the entries; copies combine before it), and all measures are sums over the
     merged rows.
     """
-    keys = list(keys)
+    facts = entry_facts(entries, keys)
+    return profile_of_facts(facts, keys, sigma, short_length, entropy_limit, duplicate_limit)
+
+
+def entry_facts(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(kept columns, entry_key, _role, _len, _h): each entry reduced to a hash and numbers."""
     role = F.lower("role")
-    facts = entries.select(
-        *keys,
+    return entries.select(
+        *keep,
         "entry_key",
         F.coalesce(F.array_position(F.lit(list(rules.ROLES)), role), _zero()).alias("_role"),
         F.length("measured").cast("long").alias("_len"),
         shannon_entropy(F.col("measured")).alias("_h"),
     )
+
+
+def profile_of_facts(
+    facts: DataFrame,
+    keys: Sequence[str] = ("target", "file"),
+    sigma: float = rules.OUTLIER_SIGMA,
+    short_length: int = rules.SHORT_LENGTH,
+    entropy_limit: float = rules.ENTROPY_LIMIT,
+    duplicate_limit: int = rules.DUPLICATE_LIMIT,
+) -> DataFrame:
+    """``file_profile`` from ``entry_facts``."""
+    keys = list(keys)
     merged = facts.groupBy(*keys, "entry_key").agg(
         F.count(F.lit(1)).alias("_copies"),
         F.max("_role").alias("_role"),

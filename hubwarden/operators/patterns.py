@@ -56,19 +56,9 @@ def _matches(family: Family, rule: Pattern | str) -> Column:
     return F.when(gate, found).otherwise(F.lit(0).cast("long"))
 
 
-def find_rules(df: DataFrame, text: str, families: Sequence[Family], keys: Sequence[str]) -> DataFrame:
-    """(keys, check, rule, matches), one row per row of ``df`` and rule that hits.
-
-    ``matches`` is the number of matches in ``count`` mode and 1 otherwise.
-    """
-    conditions = [f.applies.alias(f"_on_{f.check}") for f in families if f.applies is not None]
-    rows = df.select(*keys, F.col(text).alias("_text"), *conditions)
-    if any(f.applies is not None for f in families) and all(f.applies is not None for f in families):
-        rows = rows.where(any_of(F.col(f"_on_{f.check}") for f in families))
-    rows = once(rows, "_lower", F.lower("_text"))
-    rows = once(rows, "_odd", contains_any(F.col("_text"), ODD_CASE))
-    rows = rows.where(any_of(_possible(f) for f in families))
-    hits = F.array(
+def _hits(families: Sequence[Family]) -> Column:
+    """(check, rule, matches) of every rule; the columns that ``_prepared`` adds are there."""
+    return F.array(
         *[
             F.struct(
                 F.lit(f.check).alias("check"),
@@ -79,7 +69,33 @@ def find_rules(df: DataFrame, text: str, families: Sequence[Family], keys: Seque
             for r in f.rules
         ]
     )
-    return rows.select(*keys, F.explode(hits).alias("_hit")).select(*keys, "_hit.*").where(F.col("matches") > 0)
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    rows = once(rows, "_lower", F.lower("_text"))
+    return once(rows, "_odd", contains_any(F.col("_text"), ODD_CASE))
+
+
+def with_hits(df: DataFrame, text: str, families: Sequence[Family], name: str = "hits") -> DataFrame:
+    """Add (check, rule, matches) of the rules that hit, as an array; NULL where no rule can."""
+    rows = df.withColumns({f"_on_{f.check}": f.applies for f in families if f.applies is not None})
+    rows = _prepared(rows.withColumn("_text", F.col(text)))
+    found = F.filter(_hits(families), lambda h: h["matches"] > 0)
+    rows = once(rows, name, F.when(any_of(_possible(f) for f in families), found))
+    return rows.select(*df.columns, name)
+
+
+def find_rules(df: DataFrame, text: str, families: Sequence[Family], keys: Sequence[str]) -> DataFrame:
+    """(keys, check, rule, matches), one row per row of ``df`` and rule that hits.
+
+    ``matches`` is the number of matches in ``count`` mode and 1 otherwise.
+    """
+    conditions = [f.applies.alias(f"_on_{f.check}") for f in families if f.applies is not None]
+    rows = df.select(*keys, F.col(text).alias("_text"), *conditions)
+    if any(f.applies is not None for f in families) and all(f.applies is not None for f in families):
+        rows = rows.where(any_of(F.col(f"_on_{f.check}") for f in families))
+    rows = _prepared(rows).where(any_of(_possible(f) for f in families))
+    return rows.select(*keys, F.explode(_hits(families)).alias("_hit")).select(*keys, "_hit.*").where(F.col("matches") > 0)
 
 
 def count_patterns(df: DataFrame, text: str, patterns: Sequence[Pattern], keys: Sequence[str]) -> DataFrame:

@@ -15,6 +15,8 @@ from hubwarden.operators.patterns import Family, find_rules
 from hubwarden.sources.entries import is_oversized
 
 _FILE = ("target", "file")
+#: Checks whose matches are counted; the others only say that a rule hit.
+COUNTED = ("poisoning_trigger_pattern", "label_flipping")
 
 
 def text_families(
@@ -35,7 +37,11 @@ def poisoned_texts(texts: DataFrame, families: Sequence[Family] | None = None) -
     share a line; ``flipped_entries`` is the per-entry form.
     """
     families = text_families() if families is None else families
-    hits = find_rules(texts, "text", families, _FILE)
+    return poisoned_hits(find_rules(texts, "text", families, _FILE), [f.check for f in families])
+
+
+def poisoned_hits(hits: DataFrame, checks: Sequence[str]) -> DataFrame:
+    """Findings from hits (target, file, check, rule, matches) of dataset rules."""
     check, rule, matches = F.col("check"), F.col("rule"), F.col("matches")
     counted = F.when(check != "suspicious_instruction", matches)
     rows = hits.select(
@@ -48,7 +54,7 @@ def poisoned_texts(texts: DataFrame, families: Sequence[Family] | None = None) -
         .alias("detail"),
         evidence(file=base_name(), pattern=rule, matches=counted).alias("evidence"),
     )
-    return label_checks(rows, [f.check for f in families])
+    return label_checks(rows, checks)
 
 
 def flipped_entries(entries: DataFrame, keys: Sequence[str], words: Sequence[str] = rules.HARM_WORDS) -> DataFrame:
@@ -89,7 +95,7 @@ def encoding_gate(texts: DataFrame, compat: bool = False) -> DataFrame:
 def read_failures(texts: DataFrame) -> DataFrame:
     """``unreadable_file``: rows of texts that could not be read."""
     return finding(
-        texts.where(F.col("text").isNull()),
+        texts.where(~F.col("read_ok") if "read_ok" in texts.columns else F.col("text").isNull()),
         "unreadable_file",
         F.format_string("File %s could not be read", base_name()),
         evidence(file=base_name()),
@@ -99,9 +105,15 @@ def read_failures(texts: DataFrame) -> DataFrame:
 
 def text_gate(texts: DataFrame, compat: bool = False) -> DataFrame:
     """``encoding_gate``, ``read_failures`` and ``oversized_document`` (its entries are not counted) in one pass."""
+    flags = texts.withColumns({"read_ok": F.col("text").isNotNull(), "oversized": is_oversized(F.col("name"), F.col("text"))})
+    return gate_findings(flags, compat)
+
+
+def gate_findings(files: DataFrame, compat: bool = False, unread: bool = True) -> DataFrame:
+    """The same from flags (target, file, utf8_ok, read_ok, oversized); ``unread``: whether unreadable files are reported."""
     name = base_name()
     return findings_from_flags(
-        texts,
+        files,
         [
             (
                 "file_too_large" if compat else "invalid_utf8",
@@ -111,13 +123,13 @@ def text_gate(texts: DataFrame, compat: bool = False) -> DataFrame:
             ),
             (
                 "unreadable_file",
-                F.col("text").isNull(),
+                ~F.col("read_ok") & unread,
                 F.format_string("File %s could not be read", name),
                 evidence(file=name),
             ),
             (
                 "oversized_document",
-                is_oversized(F.col("name"), F.col("text")),
+                F.col("oversized"),
                 F.format_string("%s is too large for one JSON value", name),
                 evidence(file=name),
             ),

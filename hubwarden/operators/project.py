@@ -51,7 +51,11 @@ def text_families(
 def script_and_config_findings(texts: DataFrame, families: Sequence[Family] | None = None) -> DataFrame:
     """All script and config rules from one pass; one finding per (file, rule)."""
     families = text_families() if families is None else families
-    hits = find_rules(texts.where(is_script() | is_config()), "text", families, _FILE)
+    return rule_findings(find_rules(texts.where(is_script() | is_config()), "text", families, _FILE), [f.check for f in families])
+
+
+def rule_findings(hits: DataFrame, checks: Sequence[str]) -> DataFrame:
+    """Findings from hits (target, file, check, rule) of script and config rules."""
     check, rule = F.col("check"), F.col("rule")
     detail = (
         F.when(check == "unsafe_model_load", F.format_string("Unsafe model load in %s: %s", base_name(), rule))
@@ -66,7 +70,7 @@ def script_and_config_findings(texts: DataFrame, families: Sequence[Family] | No
         )
     )
     rows = hits.select("target", "file", "check", detail.alias("detail"), proof.alias("evidence"))
-    return label_checks(rows, [f.check for f in families])
+    return label_checks(rows, checks)
 
 
 def env_assignments(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -1,9 +1,9 @@
 """Whole audits: from a listing (or a landed table) to one findings table.
 
 ``Lake`` holds what the audits share, so that each fact is derived once: the
-listing is rolled up to one row per target in a single pass, texts are read
-only for the names some check looks at, and only files that a manifest or a
-fingerprint needs are hashed.
+listing is rolled up to one row per target in a single pass, each text that some
+check looks at is opened once and turned into facts (``plans.facts``), and only
+files that a manifest or a fingerprint needs are hashed.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hubwarden import rules, session
 from hubwarden.functions.paths import at_root
+from hubwarden.functions.text import any_of
 from hubwarden.operators import (
     adapters,
     dataset_stats,
@@ -29,7 +30,8 @@ from hubwarden.operators import (
     tensors,
     weights,
 )
-from hubwarden.sources import content, entries, text
+from hubwarden.plans import facts
+from hubwarden.sources import content, entries, pieces, text
 from hubwarden.sources.tensors import decode_tensors, read_tensors
 
 
@@ -41,7 +43,7 @@ class Lake:
     table that has ``content`` already.  With ``stage`` on, facts that are small
     but costly to derive (digests, tensor summaries, profiles, the listing) are
     written to the cluster's shared folder once and read by all checks; of texts
-    only the manifests are.  ``max_text_bytes`` is the size above which a data
+    only those of configurations, manifests and cards are.  ``max_text_bytes`` is the size above which a data
     file gets a remark; no file is left out for its size.
     """
 
@@ -116,23 +118,56 @@ class Lake:
             return text.to_text(self.artifacts.where("is_file").join(keys, ["target", "relpath"], "left_semi"))
         return text.to_text(content.with_content(self.dataset_files))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Facts of every text that some check looks at (``plans.facts.text_facts``); each file is opened once."""
+        documents = any_of(facts.documents(self.manifest_names).values())
+        wanted = any_of(facts.wanted(self.manifest_names).values())
+        rows = self.artifacts.where("is_file") if self.landed else self.files
+        below = F.startswith("relpath", F.lit("data/"))
+        # only what lies below data/ meets the targets: it is a dataset where the root has none
+        with_root = self.flags.where("has_root_data").select("target", F.lit(True).alias("_root"))
+        inside = rows.where(below).join(with_root, "target", "left").withColumn("is_dataset", F.col("_root").isNull()).drop("_root")
+        chosen = rows.where(~below).withColumn("is_dataset", at_root(provenance.DATA_GLOBS)).unionByName(inside)
+        chosen = chosen.where(F.col("is_dataset") | wanted)
+        if self.landed:
+            read = chosen.withColumns({"piece": F.lit(0).cast("long"), "kind": F.lit(pieces.WHOLE)})
+        else:
+            read = pieces.read_pieces(chosen, documents)
+        return self._kept("facts", facts.text_facts(read, documents))
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        """One row per text: was it read, is it UTF-8, does it hold together."""
+        return self._kept("gates", facts.gates(self.facts))
+
+    def documents(self, condition) -> DataFrame:
+        """Texts of readable files that meet the condition, among those that a check looks at as a whole."""
+        rows = self.facts.where((F.col("pos") == 0) & F.col("text").isNotNull() & condition)
+        return rows.select("target", "file", "name", "depth", "size", "utf8_ok", "text")
+
     @cached_property
     def profile(self) -> DataFrame:
         """Copies, roles, lengths and entropy per dataset file."""
-        found = entries.dataset_entries(self.dataset_texts)
-        return self._kept("profile", dataset_stats.file_profile(found, sigma=self.sigma))
+        return self._kept("profile", self._profile(self.gates))
+
+    def _profile(self, gates: DataFrame) -> DataFrame:
+        whole = gates.where("is_dataset AND NOT broken")
+        return dataset_stats.profile_of_facts(facts.entries_of(self.facts, whole), sigma=self.sigma)
 
     @cached_property
     def scanned_profile(self) -> DataFrame:
         """The profile the poisoning checks see: without files that are not UTF-8 in ``compat`` mode."""
-        if not self.compat:
-            return self.profile
-        found = entries.dataset_entries(self.dataset_texts.where("utf8_ok"))
-        return self._kept("scanned_profile", dataset_stats.file_profile(found, sigma=self.sigma))
+        return self._kept("scanned_profile", self._profile(self.gates.where("utf8_ok"))) if self.compat else self.profile
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Rules that hit, per file."""
+        return self._kept("hits", facts.rule_hits(self.facts))
 
     @cached_property
     def manifest_texts(self) -> DataFrame:
-        return self._kept("manifest_texts", self.texts(at_root([*self.manifest_names, rules.FINGERPRINT_FILE])))
+        return self.documents(at_root([*self.manifest_names, rules.FINGERPRINT_FILE]))
 
     @cached_property
     def hashed(self) -> DataFrame:
@@ -160,27 +195,35 @@ class Lake:
         return self._kept("tensors", read_tensors(self.files.where(is_adapter)))
 
 
+def _dataset_hits(lake: Lake) -> DataFrame:
+    if not lake.compat:
+        return lake.hits
+    return lake.hits.join(lake.gates.where("utf8_ok").select("target", "file"), ["target", "file"], "left_semi")
+
+
 def audit_dataset(lake: Lake) -> DataFrame:
     root_profile = lake.profile.where(~F.contains(F.col("file"), F.lit("/")))
+    checks = [f.check for f in poisoning.text_families()]
     return findings.unite(
         [
-            poisoning.detect_poisoning(
-                lake.dataset_files, lake.dataset_texts, lake.scanned_profile, lake.max_text_bytes, lake.compat
-            ),
+            poisoning.size_gate(lake.dataset_files, lake.max_text_bytes),
+            poisoning.gate_findings(lake.gates.where("is_dataset"), lake.compat, unread=False),
+            poisoning.poisoned_hits(_dataset_hits(lake).where(F.col("check").isin(checks)), checks),
+            poisoning.replay_and_role_findings(lake.scanned_profile),
             provenance.presence_findings(lake.flags),
-            provenance.provenance_findings(lake.texts(at_root(rules.PROVENANCE_FILES))),
-            provenance.source_url_findings(lake.texts(at_root(["*.json"]))),
+            provenance.provenance_findings(lake.documents(at_root(rules.PROVENANCE_FILES))),
+            provenance.source_url_findings(lake.documents(at_root(["*.json"]))),
             dataset_stats.analyze_dataset_stats(root_profile, lake.sigma),
         ]
     )
 
 
 def audit_lora(lake: Lake) -> DataFrame:
-    configs = lake.texts((F.col("name") == adapters.CONFIG) & (F.col("depth") <= 1))
+    configs = lake.documents((F.col("name") == adapters.CONFIG) & (F.col("depth") <= 1))
     return findings.unite(
         [
             adapters.analyze_lora(lake.files, configs),
-            adapters.config_keyword_findings(lake.texts(adapters.is_model_config())),
+            adapters.config_keyword_findings(lake.documents(adapters.is_model_config())),
             tensors.detect_lora_backdoors(lake.tensors),
         ]
     )
@@ -198,22 +241,27 @@ def audit_weights(lake: Lake) -> DataFrame:
 
 
 def audit_pipeline(lake: Lake) -> DataFrame:
-    sources = lake.texts(project.is_script() | project.is_config())
-    base_configs = lake.texts(at_root(["config.json", adapters.CONFIG]))
+    checks = [f.check for f in project.text_families()]
     return findings.unite(
         [
-            project.script_and_config_findings(sources),
-            poisoning.read_failures(sources),
-            project.env_findings(lake.texts(project.is_env())),
-            project.requirement_findings(lake.texts(project.is_requirements())),
+            project.rule_findings(lake.hits.where(F.col("check").isin(checks)), checks),
+            project.env_findings(lake.documents(project.is_env())),
+            project.requirement_findings(lake.documents(project.is_requirements())),
             supply_chain.presence_findings(lake.flags),
-            supply_chain.base_model_findings(lake.flags, base_configs),
-            supply_chain.deployment_findings(lake.texts(project.is_deployment())),
-            supply_chain.card_findings(lake.texts(at_root(["README.md"]))),
+            supply_chain.base_model_findings(lake.flags, lake.documents(at_root(["config.json", adapters.CONFIG]))),
+            supply_chain.deployment_findings(lake.documents(project.is_deployment())),
+            supply_chain.card_findings(lake.documents(at_root(["README.md"]))),
         ]
     )
 
 
+def unread_files(lake: Lake, scan_types: Sequence[str]) -> DataFrame:
+    """``unreadable_file`` for each file that the chosen scans look at and that could not be read; it is never called corrupt."""
+    by_type = facts.wanted(lake.manifest_names)
+    looked_at = any_of([by_type[s] for s in scan_types] + [F.col("is_dataset") & F.lit("dataset" in scan_types)])
+    return poisoning.read_failures(lake.gates.where(looked_at))
+
+
 AUDITS = {"dataset": audit_dataset, "lora": audit_lora, "weights": audit_weights, "pipeline": audit_pipeline}
 
 
@@ -230,6 +278,7 @@ def scan(
     chosen = findings.check_scan_types(scan_types)
     parts = [AUDITS[s](lake) for s in chosen]
     parts.append(findings.unread_directories(lake.listing))
+    parts.append(unread_files(lake, chosen))
     if requested is not None:
         parts.append(findings.missing_targets(requested, lake.listing))
     found = findings.attach_attack_label(findings.unite(parts))

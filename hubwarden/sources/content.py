@@ -20,12 +20,12 @@ def open_file(path: str):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
-        return system.open_input_stream(inner)
+        return system.open_input_file(inner)
     return open(path, "rb")
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Distribute files by path, so that one target's files are opened by all tasks.
+def spread(files: DataFrame, *more: str) -> DataFrame:
+    """Distribute files by path (and further columns), so that one target's files are opened by all tasks.
 
     The number of tasks is explicit: the rows are tiny beside the files they
     stand for, and adaptive execution would merge them into one task.
@@ -33,7 +33,7 @@ def spread(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(shuffles, 4 * spark.sparkContext.defaultParallelism)
-    return files.repartition(tasks, F.xxhash64("target", "relpath"))
+    return files.repartition(tasks, F.xxhash64("target", "relpath", *more))
 
 
 def _per_file(files: DataFrame, name: str, kind: T.DataType, read: Callable[[str, int], object]) -> DataFrame:

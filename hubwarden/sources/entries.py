@@ -27,7 +27,7 @@ def json_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), tex
     """
     keys = list(keys)
     body = F.col("_t")
-    value = F.when(F.octet_length(body) <= _DOCUMENT_LIMIT, jsonv.parse(body))
+    value = F.when(F.octet_length(body) <= _DOCUMENT_LIMIT, jsonv.parse(jsonv.tagged(body)))
     parsed = once(texts.select(*keys, F.col(text).alias("_t")), "_v", value)
     parsed = parsed.where(F.col("_v").isNotNull())
     # NULL for anything but a list; a list of lists is a list of values here
@@ -48,7 +48,7 @@ def jsonl_entries(texts: DataFrame, keys: Sequence[str] = ("target", "file"), te
     """
     keys = list(keys)
     lines = F.filter(F.split("_t", "\n"), lambda x: ~x.rlike(_BLANK))
-    rows = once(texts.select(*keys, F.col(text).alias("_t")), "_vs", F.transform(lines, F.try_parse_json))
+    rows = once(texts.select(*keys, F.col(text).alias("_t")), "_vs", F.transform(lines, lambda x: F.try_parse_json(jsonv.tagged(x))))
     rows = rows.where(~F.exists("_vs", lambda v: v.isNull()))
     return rows.select(*keys, F.posexplode("_vs").alias("pos", "v"))
 
@@ -61,7 +61,7 @@ def entries_of_lines(lines: DataFrame, keys: Sequence[str], line: str = "line")
     """
     keys = list(keys)
     body = F.col(line)
-    parsed = lines.where(~body.rlike(_BLANK)).withColumn("v", F.try_parse_json(body)).drop(line)
+    parsed = lines.where(~body.rlike(_BLANK)).withColumn("v", F.try_parse_json(jsonv.tagged(body))).drop(line)
     broken = parsed.groupBy(*keys).agg(F.max(F.col("v").isNull()).alias("_broken")).where("_broken").select(*keys)
     return parsed.join(broken, keys, "left_anti")
 
@@ -77,17 +77,40 @@ def measured_text(v: Column) -> Column:
     return F.when(jsonv.is_object(v), chosen)
 
 
+def with_values(rows: DataFrame, applies: Column) -> DataFrame:
+    """Add ``values`` (the entries of a piece of a .json or .jsonl file), ``broken`` and ``oversized``.
+
+    ``rows``: pieces with name, kind and text.  A broken piece has no entries
+    and neither has its file; a document too large for one value is oversized.
+    """
+    name, body, sliced = F.col("name"), F.col("text"), F.col("kind") == "slice"
+    is_json, is_lines = applies & F.endswith(name, F.lit(".json")), applies & F.endswith(name, F.lit(".jsonl"))
+    large = F.octet_length(body) > _DOCUMENT_LIMIT
+    tagged = jsonv.tagged(F.when(sliced, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body))
+    rows = once(rows, "_json", F.when(is_json & ~large & F.col("kind").isin("whole", "slice"), jsonv.parse(tagged)))
+    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(_BLANK))
+    rows = once(rows, "_lines", F.when(is_lines, F.transform(lines, lambda x: F.try_parse_json(jsonv.tagged(x)))))
+    elements = F.try_variant_get("_json", "$", "array<variant>")
+    part = (is_json | is_lines) & (F.col("kind") == "part")
+    broken = part | F.coalesce(F.exists("_lines", lambda v: v.isNull()), F.lit(False)) | (is_json & body.isNotNull() & F.col("_json").isNull())
+    values = F.when(is_json, F.coalesce(elements, F.array("_json"))).when(is_lines, F.col("_lines"))
+    rows = rows.withColumns({"broken": broken, "oversized": F.coalesce((is_json & large) | part, F.lit(False))})
+    return rows.withColumn("values", F.when(~F.col("broken") & body.isNotNull(), values)).drop("_json", "_lines")
+
+
+def description(v: Column, applies: Column) -> list[Column]:
+    """entry_key, role and measured of a parsed entry, NULL where ``applies`` is false."""
+    role = F.when(jsonv.is_object(v), jsonv.as_string(jsonv.member(v, "role")))
+    return [
+        F.when(applies, jsonv.canonical_key(v)).alias("entry_key"),
+        F.when(applies, role).alias("role"),
+        F.when(applies, measured_text(v)).alias("measured"),
+    ]
+
+
 def describe_entries(entries: DataFrame, keys: Sequence[str] = ("target", "file")) -> DataFrame:
     """(keys, pos, entry_key, role, measured) of parsed entries."""
-    v = F.col("v")
-    role = F.when(jsonv.is_object(v), jsonv.as_string(jsonv.member(v, "role")))
-    return entries.select(
-        *keys,
-        "pos",
-        jsonv.canonical_key(v).alias("entry_key"),
-        role.alias("role"),
-        measured_text(v).alias("measured"),
-    )
+    return entries.select(*keys, "pos", *description(F.col("v"), F.lit(True)))
 
 
 def dataset_entries(texts: DataFrame) -> DataFrame:
