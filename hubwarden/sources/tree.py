@@ -13,9 +13,10 @@ Options of the data source
     levels        directory levels to list below a target; all of them by default
     partitions    number of listing tasks (default 64)
 
-``read_tree`` lets the source list the top level of every target and then lists
-the directories found there by a shuffle, so one huge target is listed by many
-tasks and the driver lists nothing but the hub's own directory.
+``read_tree`` lets the source list the top level of every target and then goes
+down level by level, each a shuffle of the directories found by the one before,
+so one huge target is listed by many tasks and the driver lists nothing but the
+hub's own directory.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import os
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hubwarden.schemas import ARTIFACTS
+from hubwarden.session import stage
 from hubwarden.sources.content import spread
 
 _ROWS = 10_000
@@ -51,29 +54,17 @@ def _is_uri(path: str) -> bool:
     return "://" in path
 
 
-def list_dir(path: str) -> list[Entry]:
-    """Entries of one directory by name; links are reported, not resolved into."""
+def entries_of(path: str) -> Iterator[Entry]:
+    """Entries of one directory as they come, never held together; links are reported, not resolved into."""
     if _is_uri(path):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
-        infos = system.get_file_info(fs.FileSelector(inner, recursive=False))
         base = path.rstrip("/")
-        return sorted(
-            (
-                Entry(
-                    i.base_name,
-                    f"{base}/{i.base_name}",
-                    max(i.size or 0, 0),
-                    i.type == fs.FileType.Directory,
-                    False,
-                    i.type == fs.FileType.File,
-                )
-                for i in infos
-            ),
-            key=lambda e: e.name,
-        )
-    rows = []
+        for i in system.get_file_info(fs.FileSelector(inner, recursive=False)):
+            folder, regular = i.type == fs.FileType.Directory, i.type == fs.FileType.File
+            yield Entry(i.base_name, f"{base}/{i.base_name}", max(i.size or 0, 0), folder, False, regular)
+        return
     with os.scandir(path) as found:
         for item in found:
             link = item.is_symlink()
@@ -82,17 +73,12 @@ def list_dir(path: str) -> list[Entry]:
             except OSError:  # a link that leads nowhere
                 info = item.stat(follow_symlinks=False)
             regular = stat.S_ISREG(info.st_mode)
-            rows.append(
-                Entry(
-                    item.name,
-                    item.path,
-                    info.st_size if regular else 0,
-                    stat.S_ISDIR(info.st_mode),
-                    link,
-                    regular,
-                )
-            )
-    return sorted(rows, key=lambda e: e.name)
+            yield Entry(item.name, item.path, info.st_size if regular else 0, stat.S_ISDIR(info.st_mode), link, regular)
+
+
+def list_dir(path: str) -> list[Entry]:
+    """The entries of one directory by name."""
+    return sorted(entries_of(path), key=lambda e: e.name)
 
 
 UNREADABLE = -1  # size of a directory's row that stands for its missing entries
@@ -104,15 +90,13 @@ def walk(target: str, root: str, inside: str = "", levels: int = -1) -> Iterator
     while open_dirs:
         where, level = open_dirs.pop()
         try:
-            found = list_dir(f"{root.rstrip('/')}/{where}" if where else root)
+            for e in entries_of(f"{root.rstrip('/')}/{where}" if where else root):
+                relpath = f"{where}/{e.name}" if where else e.name
+                yield (target, relpath, e.name, relpath.count("/"), e.size, e.is_file, e.is_link, e.path)
+                if e.is_dir and not e.is_link and level != levels:
+                    open_dirs.append((relpath, level + 1))
         except OSError:  # not readable, or gone since it was listed: a second row of the directory says so
             yield (target, where, where.rpartition("/")[2], where.count("/") if where else -1, UNREADABLE, False, False, f"{root.rstrip('/')}/{where}")
-            continue
-        for e in found:
-            relpath = f"{where}/{e.name}" if where else e.name
-            yield (target, relpath, e.name, relpath.count("/"), e.size, e.is_file, e.is_link, e.path)
-            if e.is_dir and not e.is_link and level != levels:
-                open_dirs.append((relpath, level + 1))
 
 
 def _is_dir(path: str) -> bool:
@@ -175,13 +159,13 @@ class ArtifactTree(DataSource):
         return TreeReader(self.options)
 
 
-def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries below the directories of a batch."""
+def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries directly in the directories of a batch."""
     columns, held = ARTIFACTS.fieldNames(), []
     for batch in batches:
         for d in batch.itertuples(index=False):
             root = d.path[: len(d.path) - len(d.relpath)]
-            for row in walk(d.target, root, d.relpath):
+            for row in walk(d.target, root, d.relpath, levels=1):
                 held.append(row)
                 if len(held) >= _ROWS:
                     yield pd.DataFrame(held, columns=columns)
@@ -195,8 +179,10 @@ def read_tree(
 ) -> DataFrame:
     """The ``artifacts`` listing of the given directories.
 
-    The first ``levels`` levels are listed per target, everything below them per
-    directory; 0 lists each target in one go.
+    The first ``levels`` levels are listed per target.  Below them each level is
+    a shuffle of the directories of the level before, written to the shared
+    folder, so that one deep or broad tree is listed by all tasks and a lost
+    executor costs a level.  0 lists each target in one go.
     """
     spark.dataSource.register(ArtifactTree)
     top = (
@@ -209,5 +195,11 @@ def read_tree(
     )
     if not levels:
         return top
-    folders = top.where(~F.col("is_file") & ~F.col("is_symlink") & (F.col("depth") == levels - 1))
-    return top.unionByName(spread(folders).mapInPandas(_below, ARTIFACTS))
+    found = [stage(top, "listing")]
+    depth = levels - 1
+    while True:
+        folders = found[-1].where(~F.col("is_file") & ~F.col("is_symlink") & (F.col("size") != UNREADABLE) & (F.col("depth") == depth))
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(stage(spread(folders).mapInPandas(_inside, ARTIFACTS), "listing"))
+        depth += 1

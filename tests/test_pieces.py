@@ -184,3 +184,22 @@ def test_number_kinds_at_every_depth(spark):
     got = spark.createDataFrame(rows, "i int, t string").select("i", v.isNotNull().alias("ok"), jsonv.canonical_key(v).alias("k"), jsonv.is_object(v).alias("o")).collect()
     assert all(r.ok for r in got) and [r.i for r in got if r.o] == [2, 2, 3]
     assert len({(r.i, r.k) for r in got}) == len({r.k for r in got}) == len(groups)
+
+
+def test_listing_goes_down_level_by_level(spark, tmp_path):
+    want = set()
+    for i in range(6):
+        for j in range(5):
+            path = f"data/d{i}/e{j}/f/g{i}.jsonl"
+            put(tmp_path, f"t/{path}", "{}")
+            want |= {"/".join(path.split("/")[:k]) for k in range(1, 6)}
+    (tmp_path / "t/data/loop").symlink_to(tmp_path / "t/data")
+    for levels in (0, 1, 2, 9):
+        rows = read_tree(spark, [str(tmp_path)], layout="hub", levels=levels)
+        got = [r.relpath for r in rows.select("relpath").collect()]
+        assert len(got) == len(set(got)) and set(got) == want | {"", "data/loop"}
+    below = rows.where("relpath LIKE 'data/d%'")
+    assert below.where("is_file").count() == 30
+    # each directory of a level is a row of its own task's input
+    parts = read_tree(spark, [str(tmp_path)], layout="hub").where("name LIKE 'g%'").select(F.input_file_name().alias("f")).distinct().count()
+    assert parts > 3
