@@ -28,3 +28,26 @@ def save_fingerprints(files: DataFrame, prints: DataFrame, path: str, mode: str
     """Fingerprint tables below ``path``: ``files`` and ``fingerprints``."""
     files.write.mode(mode).parquet(f"{path}/files")
     prints.write.mode(mode).parquet(f"{path}/fingerprints")
+
+
+def save_run(table: DataFrame, path: str, run: str) -> None:
+    """Rows of one run, in the partition ``run`` of the table at ``path``.
+
+    Saving a run again replaces its rows and no other's, so a write that failed
+    or was repeated leaves each row once; readers see the rows when all of them
+    are committed.
+    """
+    rows = table.withColumn("run", F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def save_scan(result, path: str, run: str) -> None:
+    """All tables of a ``ScanResult`` below ``path``, safe to repeat under the same ``run``."""
+    for name in ("findings", "header", "manifest_issues", "fingerprint_files"):
+        save_run(getattr(result, name), f"{path}/{name}", run)
+
+
+def export_lines(result) -> DataFrame:
+    """(target, place, line) of a ``ScanResult``: a JSON object with each target's counts, score and scan id, then one per finding."""
+    header = result.header.select("target", F.lit(0).alias("place"), F.to_json(F.struct(*result.header.columns)).alias("line"))
+    return header.unionByName(findings_json(result.findings).select("target", F.lit(1).alias("place"), F.col("finding").alias("line")))

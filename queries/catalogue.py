@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hubwarden import rules
 from hubwarden.checks import CHECKS
-from hubwarden.functions import hashing, scores
+from hubwarden.functions import hashing, jsonv, scores
 from hubwarden.functions.text import shannon_entropy
 from hubwarden.operators import (
     adapters,
@@ -29,6 +29,7 @@ from hubwarden.operators import (
     weights,
 )
 from hubwarden.operators import findings as fo
+from hubwarden import session, sinks
 from hubwarden.plans import audits, manifests
 from hubwarden.plans.audits import Lake
 from hubwarden.sources import entries as en
@@ -1266,3 +1267,94 @@ def supply_chain_report(spark, sf):
     FROM hub_files WHERE name = 'weight_manifest.json' AND m % 4 < 2""")
 def manifest_job(spark, sf):
     return manifests.verify_stored(_hub(spark, sf))[0]
+
+
+@query(f"{ctes('hub_files')} SELECT target, relpath AS file FROM hub_files WHERE length(text) % 5 = 0 AND name <> 'model.safetensors'")
+def read_failures(spark, sf):
+    """Files of every kind whose bytes could not be read: reported as such, once each."""
+    lake = _hub(spark, sf)
+    rows = view(spark, sf, "hub_files").select("target", "relpath", (F.length("text") % 5 == 0).alias("lost"))
+    lost = lake.artifacts.join(rows, ["target", "relpath"]).withColumn("content", F.when(~F.col("lost"), F.col("content"))).drop("lost")
+    return audits.unread_files(Lake(lost), list(rules.SCAN_TYPES)).select("target", "file")
+
+
+_FOLDERS = """
+    SELECT 'd' || CAST(doc_id % 40 AS VARCHAR) AS target, text || chr(10) || repeat('trigger_word_1,', CAST(doc_id % 4 AS INT)) AS text,
+      CASE WHEN doc_id % 40 < 20 AND doc_id % 3 = 0 THEN '' ELSE 'data/' || CAST(doc_id % 7 AS VARCHAR) || '/' END AS folder,
+      'f' || CAST(doc_id AS VARCHAR) || '.csv' AS name, doc_id % 40 < 20 AND doc_id % 3 = 0 AS at_root FROM documents"""
+
+
+@query(f"""
+    WITH f AS ({_FOLDERS}), r AS (SELECT target, bool_or(at_root) AS has_root FROM f GROUP BY target)
+    SELECT target, folder || name AS file, len(regexp_extract_all(text, '(?i)TRIGGER_WORD_[0-9]+'))::BIGINT AS matches
+    FROM f JOIN r USING (target) WHERE (at_root OR NOT has_root) AND regexp_matches(text, '(?i)TRIGGER_WORD_[0-9]+')""")
+def data_folder_datasets(spark, sf):
+    """Triggers in CSV data: files at the root, or for targets without any, everything below data/."""
+    table(spark, sf, "documents").createOrReplaceTempView("documents")
+    rows = spark.sql(_FOLDERS.replace("VARCHAR", "STRING").replace("chr(10)", "char(10)"))
+    path = F.concat("folder", "name")
+    lake = Lake(
+        rows.select(
+            "target",
+            path.alias("relpath"),
+            "name",
+            (F.size(F.split(path, "/")) - 1).alias("depth"),
+            F.octet_length("text").cast("long").alias("size"),
+            F.lit(True).alias("is_file"),
+            F.lit(False).alias("is_symlink"),
+            F.col("text").cast("binary").alias("content"),
+        )
+    )
+    return lake.hits.where(F.col("rule") == r"TRIGGER_WORD_\d+").select("target", "file", "matches")
+
+
+@query("""
+    SELECT o_custkey % 5 AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'whole' ELSE 'fraction' END AS kind, count(*) AS copies
+    FROM orders GROUP BY ALL""")
+def number_kinds(spark, sf):
+    """Copies of entries that differ in nothing but the kind of a nested number; 1.0 and 1.00 are alike, 1 is not."""
+    form = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, ".0").otherwise(".00")
+    value = (F.col("o_custkey") % 5).alias("value")
+    body = F.concat(F.lit('{"a": [{"b": '), (F.col("o_custkey") % 5).cast("string"), form, F.lit('}, "1.0"]}'))
+    rows = table(spark, sf, "orders").select(value, F.when(form == "", "whole").otherwise("fraction").alias("kind"), body.alias("text"))
+    keyed = en.describe_entries(en.json_entries(rows, ["value", "kind"]), ["value", "kind"])
+    return keyed.groupBy("entry_key").agg(F.first("value").alias("value"), F.first("kind").alias("kind"), F.count("*").alias("copies")).drop("entry_key")
+
+
+@query("SELECT run, source AS target, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents, (VALUES ('r1'), ('r2')) v(run) GROUP BY ALL")
+def saved_findings(spark, sf):
+    """Findings of two runs read back, one of them saved twice."""
+    docs = table(spark, sf, "documents").withColumn("target", F.col("source"))
+    found = fo.finding(docs, "no_weight_files", F.lit("none"), fo.evidence(id=F.col("doc_id")), F.col("doc_id").cast("string"))
+    path = session.new_folder(spark, "findings")
+    for run in ("r1", "r2", "r1"):
+        sinks.save_run(found, path, run)
+    back = spark.read.parquet(path)
+    return back.groupBy("run", "target").agg(F.count("*").alias("n"), F.sum(F.get_json_object("evidence", "$.id").cast("long")).alias("ids"))
+
+
+def _stored_weights(spark, sf):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".bin"))
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("target"), name.alias("relpath"), name.alias("name"), F.lit(0).alias("depth"),
+        F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"),
+    )
+
+
+@query("SELECT source AS target, doc_id || '.bin' AS path, strlen(text)::BIGINT AS size_bytes, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def saved_manifest(spark, sf):
+    """Manifest tables written and read back."""
+    path = session.new_folder(spark, "manifest")
+    sinks.save_manifest(*weights.generate_manifest(_stored_weights(spark, sf).where("sha256 IS NOT NULL")), path)
+    return spark.read.parquet(f"{path}/files").select("target", "path", "size_bytes", "sha256")
+
+
+@query("""
+    SELECT source AS target, count(*) AS file_count, sum(strlen(text))::BIGINT AS total_size,
+      sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS fingerprint
+    FROM documents WHERE text IS NOT NULL GROUP BY source""")
+def saved_fingerprints(spark, sf):
+    """Fingerprint tables written and read back."""
+    path = session.new_folder(spark, "fingerprints")
+    sinks.save_fingerprints(*weights.fingerprints(_stored_weights(spark, sf).where("sha256 IS NOT NULL")), path)
+    return spark.read.parquet(f"{path}/fingerprints").select("target", "file_count", "total_size", "fingerprint")
