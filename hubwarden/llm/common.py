@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +92,14 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
 _kept: dict = {}
 
 
+def _give_back() -> None:
+    """Return what a worker has freed to the machine, which its allocators would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_stage(make, *settings):
     """``make(*settings)``, kept by the Python worker for the tasks of one stage and forgotten with the next stage.  ``None`` only forgets."""
     task = TaskContext.get()
@@ -96,6 +107,7 @@ def per_stage(make, *settings):
     if _kept.get("stage") != now:
         _kept.clear()
         _kept["stage"] = now
+        _give_back()
     if make is None:
         return None
     at = (make, settings)
