@@ -15,6 +15,7 @@ from hubwarden.functions.paths import at_root
 from hubwarden.functions.text import once
 from hubwarden.operators.findings import evidence, finding, findings_from_flags, first_n, unite
 from hubwarden.operators.provenance import names
+from hubwarden.session import stage
 
 _SAFETENSORS = ["*.safetensors"]
 
@@ -99,25 +100,25 @@ COMBINED_RULES = ("if_clean", "if_any_hash", "always")
 
 
 def verify_manifests(
-    listed: DataFrame, totals: DataFrame, actual: DataFrame, combined_rule: str = "if_clean"
+    listed: DataFrame, totals: DataFrame, actual: DataFrame, combined_rule: str = "if_clean", keep: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(issue rows, verdict row per target) of manifests against files.
 
     ``totals``: (target, integrity_hash).  The total is compared
     ``if_clean``: only when every listed file was found intact and there is one;
     ``if_any_hash``: when at least one listed file exists; ``always``: whenever
-    the manifest states a total.
+    the manifest states a total.  ``keep`` stages the compared files, for
+    callers that use the issue rows beside the verdict.
     """
     if combined_rule not in COMBINED_RULES:
         raise ValueError(f"combined_rule must be one of {COMBINED_RULES}")
     compared = compare_files(listed, actual)
-    counts = compared.groupBy("target").agg(
-        F.count_if(F.col("issue_kind") == "missing").alias("missing"),
-        F.count_if(F.col("issue_kind") == "hash_mismatch").alias("mismatched"),
-        F.count("actual").alias("hashed"),
-    )
-    combined = combined_hash(compared, ["target"], "actual", "_total")
-    joined = totals.join(counts, "target", "left").join(combined, "target", "left")
+    if keep:
+        compared = stage(compared, "compared")
+    found = {"missing": F.col("issue_kind") == "missing", "mismatched": F.col("issue_kind") == "hash_mismatch", "hashed": F.col("actual").isNotNull()}
+    counted = compared.select("target", "actual", *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in found.items()])
+    # the counts travel with the hash, so the files are compared and shuffled once
+    joined = totals.join(combined_hash(counted, ["target"], "actual", "_total", list(found)), "target", "left")
     joined = joined.fillna(0, ["missing", "mismatched", "hashed"]).fillna(EMPTY_SHA256, ["_total"])
     stated = F.coalesce(F.col("integrity_hash") != "", F.lit(False))
     due = {
@@ -172,40 +173,63 @@ def integrity_findings(issues: DataFrame, verdict: DataFrame, shown: int = 10) -
 # --- fingerprints ------------------------------------------------------------------
 
 
+def _formats(hashed: DataFrame, tiers: Sequence[str]) -> DataFrame:
+    """The root weight files with ``_format``, the first of ``tiers`` that their name ends in."""
+    own = reduce(
+        lambda other, t: F.when(F.endswith(F.col("name"), F.lit(t)), t).otherwise(other),
+        reversed(tiers),
+        F.lit(None).cast("string"),
+    )
+    return hashed.where(F.col("depth") == 0).withColumn("_format", own).where(F.col("_format").isNotNull())
+
+
+def _prints(weights: DataFrame, orders: Sequence[Sequence[str]]) -> DataFrame:
+    """Per target one struct (file_count, total_size, fingerprint) for each order of formats: print_0, print_1, ...
+
+    Every format is hashed once, whatever the number of orders; only one row per
+    format and target meets the choice, never the file rows.
+    """
+    ones = weights.select("target", "_format", "sha256", F.lit(1).cast("long").alias("file_count"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("total_size"))
+    rolled = combined_hash(ones, ["target", "_format"], "sha256", "fingerprint", ["file_count", "total_size"])
+    rolled = rolled.where(F.col("fingerprint") != EMPTY_SHA256)  # none of its files could be read
+
+    def best(tiers: Sequence[str]) -> Column:
+        rank = F.array_position(names(tiers), F.col("_format"))
+        return F.min_by(F.struct("file_count", "total_size", "fingerprint"), F.when(rank > 0, rank))
+
+    return rolled.groupBy("target").agg(*[best(tiers).alias(f"print_{i}") for i, tiers in enumerate(orders)])
+
+
 def fingerprints(hashed: DataFrame, tiers: Sequence[str] = rules.FINGERPRINT_TIERS) -> tuple[DataFrame, DataFrame]:
     """(file rows, fingerprint row per target) over the best weight format present.
 
     Formats are tried in the order of ``tiers``; only the first that a target
     has counts.  Targets without weight files have no fingerprint.
     """
-    tier = reduce(
-        lambda other, i: F.when(F.endswith(F.col("name"), F.lit(tiers[i])), i).otherwise(other),
-        reversed(range(len(tiers))),
-        F.lit(None).cast("int"),
-    )
-    weights = hashed.where(F.col("depth") == 0).withColumn("_tier", tier).where(F.col("_tier").isNotNull())
-    sizes = weights.groupBy("target", "_tier").agg(
-        F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_size")
-    )
-    # Every format is rolled up before the best is chosen: at most one row per
-    # format and target meets the choice, never the file rows.
-    rolled = sizes.join(combined_hash(weights, ["target", "_tier"], "sha256", "fingerprint"), ["target", "_tier"])
-    chosen = rolled.groupBy("target").agg(
-        F.min(F.struct("_tier", "file_count", "total_size", "fingerprint")).alias("_best")
-    )
-    prints = chosen.select("target", "_best.file_count", "_best.total_size", "_best.fingerprint")
-    best = weights.groupBy("target").agg(F.min("_tier").alias("_tier"))
-    files = weights.join(best, ["target", "_tier"]).select("target", "name", "size", "sha256")
+    weights = _formats(hashed, tiers)
+    prints = _prints(weights, [tiers]).select("target", "print_0.*")
+    best = weights.groupBy("target").agg(F.min(F.array_position(names(tiers), F.col("_format"))).alias("_at"))
+    best = best.select("target", F.element_at(names(tiers), F.col("_at").cast("int")).alias("_format"))
+    files = weights.join(best, ["target", "_format"]).select("target", "name", "size", "sha256")
     return files, prints
 
 
-def fingerprint_findings(prints: DataFrame) -> DataFrame:
-    n = F.col("file_count")
-    return finding(
-        prints,
+def _fingerprint_flag(one: Column, condition: Column) -> tuple[str, Column, Column, Column]:
+    value, n = one["fingerprint"], one["file_count"]
+    return (
         "model_fingerprint",
-        F.format_string("Fingerprint %s... of %d files", F.substring("fingerprint", 1, 16), n),
-        evidence(fingerprint=F.col("fingerprint"), file_count=n, total_size=F.col("total_size")),
+        condition,
+        F.format_string("Fingerprint %s... of %d files", F.substring(value, 1, 16), n),
+        evidence(fingerprint=value, file_count=n, total_size=one["total_size"]),
+    )
+
+
+def _changed_flag(stored: Column, current: Column) -> tuple[str, Column, Column, Column]:
+    return (
+        "fingerprint_mismatch",
+        (stored != "") & (stored != current),
+        F.lit("Weights differ from the recorded fingerprint"),
+        evidence(stored_fingerprint=F.substring(stored, 1, 16), current_fingerprint=F.substring(current, 1, 16)),
     )
 
 
@@ -227,24 +251,21 @@ def fingerprint_changes(stored: DataFrame, current: DataFrame) -> DataFrame:
     return rows.where(F.col("stored") != F.col("fingerprint")).select("target", "stored", "fingerprint")
 
 
-def stored_fingerprint_findings(stored: DataFrame, current: DataFrame) -> DataFrame:
-    corrupt = finding(
+def corrupt_fingerprint_findings(stored: DataFrame) -> DataFrame:
+    return finding(
         stored.where(~F.col("readable")),
         "corrupt_fingerprint",
         F.lit("The recorded fingerprint cannot be read"),
         evidence(file=F.col("file")),
         F.col("file"),
     )
-    changed = finding(
-        fingerprint_changes(stored, current),
-        "fingerprint_mismatch",
-        F.lit("Weights differ from the recorded fingerprint"),
-        evidence(
-            stored_fingerprint=F.substring("stored", 1, 16),
-            current_fingerprint=F.substring("fingerprint", 1, 16),
-        ),
+
+
+def stored_fingerprint_findings(stored: DataFrame, current: DataFrame) -> DataFrame:
+    changed = findings_from_flags(
+        stored.join(current, "target"), [_changed_flag(F.col("stored"), F.col("fingerprint"))]
     )
-    return unite([corrupt, changed])
+    return unite([corrupt_fingerprint_findings(stored), changed])
 
 
 # --- listing checks ------------------------------------------------------------------
@@ -342,6 +363,7 @@ def manifest_findings(
     texts: DataFrame,
     hashed: DataFrame,
     manifest_names: Sequence[str] = rules.MANIFEST_FILES,
+    keep: bool = False,
 ) -> DataFrame:
     """``corrupt_manifest`` and ``weight_integrity_failed``.
 
@@ -356,16 +378,17 @@ def manifest_findings(
         evidence(file=F.col("file")),
         F.col("file"),
     )
-    issues, verdict = manifest_issues(manifests, hashed)
+    issues, verdict = manifest_issues(manifests, hashed, keep)
     return unite([corrupt, integrity_findings(issues, verdict)])
 
 
-def manifest_issues(manifests: DataFrame, hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def manifest_issues(manifests: DataFrame, hashed: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(every issue row, verdict per target) of the manifests that could be read."""
     return verify_manifests(
         manifest_files(manifests),
         manifests.where("readable").select("target", "integrity_hash"),
         hashed.select("target", F.col("relpath").alias("path"), "sha256"),
+        keep=keep,
     )
 
 
@@ -375,6 +398,7 @@ def check_weight_integrity(
     texts: DataFrame,
     hashed: DataFrame,
     manifest_names: Sequence[str] = rules.MANIFEST_FILES,
+    keep: bool = False,
 ) -> DataFrame:
     return unite(
         [
@@ -382,13 +406,17 @@ def check_weight_integrity(
             symlink_findings(flags, files),
             name_findings(files),
             large_file_findings(files),
-            manifest_findings(files, texts, hashed, manifest_names),
+            manifest_findings(files, texts, hashed, manifest_names, keep),
         ]
     )
 
 
 def fingerprint_model(texts: DataFrame, hashed: DataFrame) -> DataFrame:
-    _, prints = fingerprints(hashed)
-    _, current = fingerprints(hashed, rules.STORED_FINGERPRINT_TIERS)
-    return unite([fingerprint_findings(prints), stored_fingerprint_findings(stored_fingerprints(texts), current)])
-
+    """Fingerprints and their changes, both orders of formats from one roll-up of the digests."""
+    orders = (rules.FINGERPRINT_TIERS, rules.STORED_FINGERPRINT_TIERS)
+    prints = _prints(_formats(hashed, rules.FINGERPRINT_TIERS), orders)
+    stored = stored_fingerprints(texts)
+    both = prints.join(stored.select("target", "stored"), "target", "left")
+    own = _fingerprint_flag(F.col("print_0"), F.col("print_0").isNotNull())
+    changed = _changed_flag(F.col("stored"), F.col("print_1.fingerprint"))
+    return unite([findings_from_flags(both, [own, changed]), corrupt_fingerprint_findings(stored)])

@@ -233,7 +233,7 @@ def audit_weights(lake: Lake) -> DataFrame:
     return findings.unite(
         [
             weights.check_weight_integrity(
-                lake.flags, lake.listing, lake.manifest_texts, lake.hashed, lake.manifest_names
+                lake.flags, lake.listing, lake.manifest_texts, lake.hashed, lake.manifest_names, lake.stage
             ),
             weights.fingerprint_model(lake.manifest_texts, lake.hashed),
         ]
