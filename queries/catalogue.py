@@ -525,6 +525,16 @@ def source_url_check(spark, sf):
     return provenance.source_links(files).select("target", "key", "url")
 
 
+@query(ctes("page_documents") + """
+    SELECT target, page_id % 24 AS levels, link AS url FROM page_documents WHERE NOT link LIKE 'http://%' AND NOT link LIKE 'https://%'""")
+def deep_links(spark, sf):
+    pages = view(spark, sf, "page_documents")
+    levels = (F.col("page_id") % 24).cast("int")
+    text = F.concat(F.repeat(F.lit('{"more":'), levels), F.format_string('{"url": "%s"}', "link"), F.repeat(F.lit("}"), levels))
+    files = pages.select("target", levels.cast("string").alias("file"), text.alias("text"))
+    return provenance.source_links(files).select("target", F.col("file").cast("long").alias("levels"), "url")
+
+
 # --- adapters -----------------------------------------------------------------------------------------
 
 _ADAPTER = ctes("adapter_configs") + """,

@@ -236,9 +236,18 @@ def test_source_links(spark):
     ])
     found = provenance.source_url_findings(texts)
     assert [c[0] for c in _checks(found)] == ["a", "c", "f", "g", "i"]
-    depth = 400
-    deep = '{"k":' * depth + '{"url":"x"}' + "}" * depth
-    assert provenance.source_links(_texts(spark, [("z", "m.json", deep)])).count() == 1
+    assert {r.url for r in provenance.source_links(texts).where("target = 'f'").collect()} == {"5"}
+    shown = _texts(spark, [("j", "m.json", '{"url": 0, "a": {"url": false, "source_url": [], "b": {"url": ["x"]}}}'), ("k", "m.json", '{"a": {"url": "x"}, "a": {"url": "y"}}')])
+    assert sorted((r.target, r.url) for r in provenance.source_links(shown).collect()) == [("j", '["x"]'), ("k", "y")]
+
+
+def test_source_links_at_any_depth(spark):
+    def nested(depth):
+        return '{"k":' * depth + '{"url":"x"}' + "}" * depth
+
+    texts = _texts(spark, [("z", "m.json", nested(150)), ("y", "m.json", nested(1200)), ("x", "m.json", "{" * 10 + '"url"')])
+    assert [(r.target, r.url) for r in provenance.source_links(texts).collect()] == [("z", "x")]
+    assert _checks(provenance.source_url_findings(texts)) == [("y", "oversized_document"), ("z", "invalid_source_url")]
 
 
 def test_project_files(spark):
