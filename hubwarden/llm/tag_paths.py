@@ -5,9 +5,11 @@ elements.  Per path the length of its text, its links' share, its marks of
 punctuation and its number of blocks are added up; length and punctuation per
 block are smoothed over neighbours in page order, fused by multiplication, and
 paths whose fused ratio stays below a share of the page's deviation go.  Paths
-through an element that can't be content (navigation, adverts, forms, comments
-and the like) have the ratio nought, and so have forms that hold controls rather
-than text.  An article or main element raises the ratios of its paths, the class
+through an element that can't be content (navigation, buttons, scripts and the
+like) have the ratio nought, and so have forms that hold controls rather than
+text.  Elements whose class, id or role speaks against them (adverts, notices,
+comments) count a quarter: the largest of them comes back only if a quarter of
+its text and ratio outweighs the rest of the page.  An article or main element raises the ratios of its paths, the class
 of a comment or teaser lowers them; what lies outside must outweigh the raised
 ratios.
 
@@ -54,6 +56,7 @@ _CONTROLS = frozenset("button input select textarea".split())
 _HIDDEN = re.compile(r"\btype\s*=\s*[\"']?hidden", re.I)
 
 _RAISE, _LOWER = 4.0, 0.25
+_NAMED_TEXT = 1000  # characters that an element with a class word needs to be taken for the article
 _FORM_TEXT = 100  # a form with fewer characters a control is one to fill in
 _CLOSES = {  # a start tag that ends open elements, up to the barrier
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -70,13 +73,13 @@ _ENDS_P = frozenset(
 )
 
 
-def _stuff(name: str, attributes: str) -> bool:
-    """Whether an element can't be content, by its kind or its class, id or role."""
+def _stuff(name: str, attributes: str) -> int:
+    """2: an element that can't be content by its kind; 1: one that its class, id or role speaks against; else 0."""
     if name in _NEVER:
-        return True
+        return 2
     if "=" not in attributes or name in ("html", "body", "article", "main"):
-        return False
-    return not _class_words(attributes).isdisjoint(_NAMED)
+        return 0
+    return int(not _class_words(attributes).isdisjoint(_NAMED))
 
 
 def _class_words(attributes: str) -> set[str]:
@@ -84,19 +87,23 @@ def _class_words(attributes: str) -> set[str]:
 
 
 class Page:
-    """Blocks of a page in order: path, text, link characters, whether within stuff, weight by articles, form.
+    """Blocks of a page in order: path, text, link characters, region, weight by articles, form.
+
+    The region is 0, the number of the outermost element whose class, id or role
+    speaks against it, or -1 within an element that can't be content.
 
     A path is the number of its node in the tree of tag names met so far; the
     articles of comments and teasers have nodes of their own.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, str, int, bool, float, int]] = []
+        self.blocks: list[tuple[int, str, int, int, float, int]] = []
         self.headings: set[int] = set()  # paths that end in a heading
         self.forms: list[list[int]] = []  # (form around it, characters, controls)
-        self._nodes: dict[tuple[int, str, float], int] = {}
-        self._open: list[tuple[str, int, bool, float, int]] = []  # elements: (name, path, within stuff, weight, form)
+        self._nodes: dict[tuple[int, str, float, int], int] = {}
+        self._open: list[tuple[str, int, int, float, int]] = []  # elements: (name, path, within stuff, weight, form)
         self._count: Counter[str] = Counter()  # of open elements by name
+        self._regions = 0  # outermost elements with a class word
         self._parts: list[str] = []
         self._links, self._in_link = 0, 0
         at, n = 0, len(source)
@@ -131,17 +138,22 @@ class Page:
             if self._in_link:
                 self._links += len(text.strip())
 
-    def _push(self, name: str, stuff: bool, attributes: str = "") -> None:
-        _, path, within, weight, form = self._open[-1] if self._open else ("", -1, False, 1.0, -1)
+    def _push(self, name: str, stuff: int, attributes: str = "") -> None:
+        _, path, within, weight, form = self._open[-1] if self._open else ("", -1, 0, 1.0, -1)
+        if stuff == 2:
+            within = -1
+        elif stuff and not within:
+            self._regions += 1
+            within = self._regions
         if name in _CONTENT and weight >= 1:
             weight = _LOWER if name == "article" and "=" in attributes and not _class_words(attributes).isdisjoint(_LESSER) else _RAISE
         if name == "form":
             self.forms.append([form, 0, 0])
             form = len(self.forms) - 1
-        own = self._nodes.setdefault((path, name, weight), len(self._nodes))
+        own = self._nodes.setdefault((path, name, weight, within), len(self._nodes))
         if name in _HEADINGS:
             self.headings.add(own)
-        self._open.append((name, own, within or stuff, weight, form))
+        self._open.append((name, own, within, weight, form))
         self._count[name] += 1
 
     def _cut(self, i: int) -> None:
@@ -152,7 +164,7 @@ class Page:
     def _flush(self) -> None:
         text = " ".join(html.unescape("".join(self._parts)).split()) if self._parts else ""
         if text:
-            _, path, stuff, weight, form = self._open[-1] if self._open else ("", -1, False, 1.0, -1)
+            _, path, stuff, weight, form = self._open[-1] if self._open else ("", -1, 0, 1.0, -1)
             self.blocks.append((path, text, self._links, stuff, weight, form))
             if form >= 0 and not stuff:
                 self.forms[form][1] += max(0, len(text) - self._links)
@@ -168,9 +180,9 @@ class Page:
             return
         if name in _INLINE:
             self._in_link += name == "a"
-            if _stuff(name, attributes):
+            if stuff := _stuff(name, attributes):
                 self._flush()
-                self._push(name, True)
+                self._push(name, stuff)
             return
         self._flush()
         if name in _ENDS_P:
@@ -216,34 +228,52 @@ class Page:
         filled: list[bool] = []  # forms to fill in
         for around, chars, controls in forms:
             filled.append(around >= 0 and filled[around] or chars < _FORM_TEXT * max(1, controls))
-        able = [b for b in self.blocks if not b[3] and (b[5] < 0 or not filled[b[5]])]
+        free = [i for i, b in enumerate(self.blocks) if b[5] < 0 or not filled[b[5]]]
+        able = [i for i in free if not self.blocks[i][3]]
+        kept, best = self._chosen(able, share, spread)
+        # below a class word: a quarter of ratio and text, which have to outweigh all that has none
+        size: Counter[int] = Counter()
+        for i in free:
+            _, text, links, region, *_ = self.blocks[i]
+            size[region] += max(0, len(text) - links)
+        region = max((r for r in size if r > 0), key=lambda r: (size[r], -r), default=0)
+        if region and size[region] >= _NAMED_TEXT and _LOWER * size[region] > sum(len(self.blocks[i][1]) for i in kept):
+            again, ratio = self._chosen([i for i in free if self.blocks[i][3] == region], share, spread, _LOWER)
+            if max(ratio.values(), default=0.0) > max(best.values(), default=0.0):
+                kept = sorted(kept + again)
+        return [self.blocks[i][1] for i in kept]
+
+    def _chosen(self, able: list[int], share: float, spread: float, factor: float = 1.0) -> tuple[list[int], dict[int, float]]:
+        """Places of the blocks to keep among ``able``, and the ratio of each path."""
         if not able:
-            return []
+            return [], {}
+        blocks = [self.blocks[i] for i in able]
         sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3))
-        for path, text, links, *_ in able:
+        for path, text, links, *_ in blocks:
             sums[path] += (max(0, len(text) - links), len(_PUNCTUATION.findall(text)), 1)
-        ratios = np.array([sums[b[0]] for b in able])
+        ratios = np.array([sums[b[0]] for b in blocks])
         kernel = np.exp(-0.5 * (np.arange(-2, 3) / spread) ** 2)
-        weight = np.convolve(np.ones(len(able)), kernel, "same") if len(able) >= 5 else None
+        weight = np.convolve(np.ones(len(blocks)), kernel, "same") if len(blocks) >= 5 else None
 
         def smooth(x: np.ndarray) -> np.ndarray:
             return np.convolve(x, kernel, "same") / weight if weight is not None else x
 
-        own = np.array([max(0, len(t) - k) for _, t, k, *_ in able])
-        fused = smooth(ratios[:, 0] / ratios[:, 2]) * (1 + smooth(ratios[:, 1] / ratios[:, 2]))
+        own = [max(0, len(t) - k) for _, t, k, *_ in blocks]
+        fused = factor * smooth(ratios[:, 0] / ratios[:, 2]) * (1 + smooth(ratios[:, 1] / ratios[:, 2]))
         least = share * float(np.std(fused))
         best: dict[int, float] = defaultdict(float)
         under = 0.0
-        for b, f in zip(reversed(able), reversed((fused * [b[4] for b in able]).tolist())):
+        for b, f in zip(reversed(blocks), reversed((fused * [b[4] for b in blocks]).tolist())):
             under = max(f, under) if b[0] in self.headings else f  # a heading counts like the text below it
             best[b[0]] = max(best[b[0]], under)
-        raised = max((best[b[0]] for b in able if b[4] > 1), default=0.0)
+        raised = max((best[b[0]] for b in blocks if b[4] > 1), default=0.0)
         # a path of links alone has no text of its own
-        return [
-            b[1]
-            for b, o in zip(able, own)
+        kept = [
+            i
+            for i, b, o in zip(able, blocks, own)
             if best[b[0]] > (least if b[4] > 1 else max(least, raised)) and sums[b[0]][0] > 0 and (o or b[4] > 1)
         ]
+        return kept, best
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

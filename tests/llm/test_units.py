@@ -244,6 +244,18 @@ def test_pages():
 TEXT = "This is a sentence of the text, and it goes on; another part follows here. Then there is more, as in any text. "
 
 
+def test_class_words_lower_ratios_but_do_not_decide():
+    long = "".join(f"<p>{TEXT * 3}</p>" for _ in range(1 + 1000 // len(TEXT)))
+    n = long.count("<p>")
+    for around in ("class='share-price'", "class='post notice-of-meeting'", "id=search"):
+        for inner in (long, f"<article>{long}</article>"):
+            page = f"<body><nav><a href=x>Home</a></nav><div {around}>{inner}</div><div class=cookie><p>We use cookies, many.</p></div></body>"
+            assert Page(page).content() == [(TEXT * 3).strip()] * n, (around, inner[:9])
+    # comments as long as the article stay out, and so does a notice on an empty page
+    assert Page(f"<body><article>{long}</article><section class=comments>{long}</section></body>").content() == [(TEXT * 3).strip()] * n
+    assert Page("<body><div class=cookie-notice><p>We use cookies, as all do.</p></div></body>").content() == []
+
+
 def test_pages_with_teaser_or_comment_articles():
     teasers = "".join(f"<article{c}><h3>Card</h3><p>Short teaser {i}.</p></article>" for i, c in enumerate(["", " class=teaser", ""]))
     body = f"<div class=story><p>{TEXT * 3}</p><p>{TEXT * 2}</p></div>"
