@@ -102,8 +102,8 @@ def lucky_seed(own: np.ndarray, percent: int) -> int:
 
 
 def dense(own: np.ndarray) -> bytes:
-    """Parity sketch of a power of two of bits, two or more for each shingle; folds to any smaller power by XOR of its halves."""
-    bits = 1 << max(6, (2 * len(own) - 1).bit_length())
+    """Parity sketch of a power of two of bits, eight or more for each shingle; folds to any smaller power by XOR of its halves."""
+    bits = 1 << max(6, (8 * len(own) - 1).bit_length())
     odd = np.flatnonzero(np.bincount((mixed(own ^ _STEP) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
     out = np.zeros(bits, np.uint8)
     out[odd] = 1
