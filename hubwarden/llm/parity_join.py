@@ -11,7 +11,7 @@ puts pieces that many documents have last; a sample tells which, and affects
 speed only.
 
 Candidates pass two tests: the Hamming distance of dense parity sketches of
-about two bits a shingle, which is again a lower bound, then the exact sets.
+eight bits a shingle or more, which is again a lower bound, then the exact sets.
 
 Documents with equal sets are one class throughout.  In a bucket of pieces the
 class with the smallest id is paired with all others, and neighbours with each
