@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubwarden.session import drop_folder
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_staged(spark: SparkSession, staged: DataFrame) -> None:
+    """Remove the files of a table that ``session.stage`` wrote and nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        drop_folder(spark, folder)
+
+
 def crc_remainder(column: str, by: int) -> Column:
     """crc32 of a number's text, modulo ``by``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

@@ -1,29 +1,34 @@
-"""Katz backoff language model over words.
+"""Katz backoff language model over words, of any order.
 
-Counts of single words and of pairs are Good-Turing discounted up to ``top``
+Counts of n-grams of each length are Good-Turing discounted up to ``top``
 occurrences; what the discounts of a context free is spread over the words not
-seen after it, in proportion to their own probability, by a backoff weight that
+seen after it, in proportion to the next shorter model, by a backoff weight that
 makes every context's probabilities add up to one exactly.  Counts, discounted
-probabilities and weights are tables, partitioned by their n-gram; a token is
-scored by the pair's probability, or else by the weight of its context and the
-word's probability, or else by the mass kept for unknown words.
-
-All counting and scoring are joins on n-gram hashes.  Equal pairs of a document
-are counted before any shuffle, and a pair or word that many documents share
-meets its table row in a join that Spark can split.
+probabilities and weights are tables, one pair for each length.  A token is
+scored recursively: by the probability of its longest n-gram, or else by the
+weight of its context and the model one word shorter, down to single words and
+the mass kept for unknown ones.
+
+An n-gram is the columns ``w`` (its word), ``b1`` (the word before), ``b2`` and
+so on, each a word's hash; shorter n-grams are fewer of these columns, so tables
+of different lengths join on the names they share.  Equal n-grams of a document
+are counted before any shuffle, only tokens that a length doesn't have go on to
+the next, and an n-gram that many documents share meets its table row in a join
+that Spark can split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import mixed, signed, word_hashes
+from hubwarden.llm.common import drop_staged, mixed, signed, word_hashes
 from hubwarden.session import stage
 
 #: Stand-ins for the start and the end of a text; no word has their hash but by chance.
@@ -31,31 +36,49 @@ START, END = np.uint64(0x51A7), np.uint64(0xE4D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pair_table(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """(kept columns, h, w, pair, n): the pairs of each text and how often it has them; every text ends with END."""
-    fields = [docs.schema[k] for k in keep]
-    extra = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("pair", pa.int64()), ("n", pa.int32())])
+ORDER = 3
+_TOKENS = 1 << 18  # of a record batch
+
+
+def columns(length: int) -> list[str]:
+    """Columns of an n-gram: ``b2``, ``b1``, ``w`` for three words."""
+    return [*(f"b{i}" for i in range(length - 1, 0, -1)), "w"]
+
+
+def gram_table(docs: DataFrame, text: str = "text", *keep: str, order: int = ORDER) -> DataFrame:
+    """(kept columns, n-gram, n): the n-grams of ``order`` words of each text and how often it has them.
+
+    Every text begins with as many STARTs as a context has words and ends with END.
+    """
+    names = columns(order)
+    kept_kinds = "".join(f"`{docs.schema[k].name}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+
+    def made(some: pa.RecordBatch, parts: list[tuple], rows: list[np.ndarray]) -> pa.RecordBatch:
+        at = pa.array(np.concatenate(rows))
+        *grams, n = (np.concatenate(x) for x in zip(*parts))
+        own = [pa.array(signed(g)) for g in grams] + [pa.array(n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*(some.column(k).take(at) for k in range(len(keep))), *own], [*keep, *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                parts, rows = [], []
-                for j, own in enumerate(word_hashes(some.column(len(keep)))):
-                    w = np.append(own, END)
-                    h = np.concatenate([[START], w[:-1]]).astype(np.uint64)
-                    pair, first, n = np.unique(mixed(h * _STEP + w), return_index=True, return_counts=True)
-                    parts.append((h[first], w[first], pair, n))
-                    rows.append(np.full(len(pair), j))
-                if parts:
-                    at = pa.array(np.concatenate(rows))
-                    h, w, pair, n = (np.concatenate(x) for x in zip(*parts))
-                    columns = [some.column(k).take(at) for k in range(len(keep))]
-                    columns += [pa.array(signed(h)), pa.array(signed(w)), pa.array(signed(pair)), pa.array(n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, [*keep, *extra.names])
-
-    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return docs.select(*keep, text).mapInArrow(run, kind + "h long, w long, pair long, n int")
+            parts, rows, held = [], [], 0
+            for j, own in enumerate(word_hashes(batch.column(len(keep)))):
+                padded = np.concatenate([np.full(order - 1, START), own, [END]])
+                grams = [padded[i : i + len(own) + 1] for i in range(order)]
+                whole = grams[0]
+                for g in grams[1:]:
+                    whole = mixed(whole * _STEP + g)
+                _, first, n = np.unique(whole, return_index=True, return_counts=True)
+                parts.append((*(g[first] for g in grams), n))
+                rows.append(np.full(len(first), j))
+                held += len(first)
+                if held >= _TOKENS:
+                    yield made(batch, parts, rows)
+                    parts, rows, held = [], [], 0
+            if parts:
+                yield made(batch, parts, rows)
+
+    return docs.select(*keep, text).mapInArrow(run, kept_kinds + "".join(f"{c} long, " for c in names) + "n int")
 
 
 def discounts(seen: dict[int, int], top: int) -> list[float]:
@@ -76,13 +99,19 @@ def discounts(seen: dict[int, int], top: int) -> list[float]:
     return ratios
 
 
+@dataclass
+class Level:
+    """Model of n-grams of one length: (n-gram, p, c_word) and, beyond single words, (context, weight); ``c_word`` counts the word alone."""
+
+    grams: DataFrame
+    contexts: DataFrame | None
+
+
 @dataclass
 class Model:
-    """Tables (w, c, p), (pair, h, w, p) and (h, weight), and the sums they came from."""
+    """One level for each length, from single words up, and the sums they came from."""
 
-    words: DataFrame
-    pairs: DataFrame
-    contexts: DataFrame
+    levels: list[Level]
     tokens: int
     types: int
     unknown: float
@@ -97,56 +126,79 @@ def _discounted(ratios: list[float]) -> Column:
     return F.when(F.col("c") <= len(ratios), F.col("c") * ratio).otherwise(F.col("c").cast("double"))
 
 
-def train(pairs: DataFrame, top: int = 5) -> Model:
-    """Model of the pairs (h, w, pair, n) of the training texts; an empty table leaves all mass to unknown words."""
-    counted = stage(
-        pairs.groupBy("pair").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.sum("n").cast("long").alias("c")), "pairs"
-    )
-    single = stage(counted.groupBy("w").agg(F.sum("c").alias("c")), "words")
-    tokens, types = single.agg(F.sum("c"), F.count("*")).first()
+def train(grams: DataFrame, top: int = 5, order: int = ORDER) -> Model:
+    """Model of the n-grams (n-gram, n) of the training texts; an empty table leaves all mass to unknown words.
+
+    Counts of shorter n-grams are sums over the longer ones they end.  Tables
+    that only the training reads are removed once it is through with them.
+    """
+    spark = grams.sparkSession
+    counts = {order: stage(grams.groupBy(*columns(order)).agg(F.sum("n").cast("long").alias("c")), "counts")}
+    for k in range(order - 1, 0, -1):
+        counts[k] = stage(counts[k + 1].groupBy(*columns(k)).agg(F.sum("c").alias("c")), "counts")
+    tokens, types = counts[1].agg(F.sum("c"), F.count("*")).first()
     tokens = tokens or 0
     # words: the discounts free some mass for unknown words, at least that of half an occurrence
-    mass = _discounted(discounts(_counts_of_counts(single, top), top))
-    kept = float(single.agg(F.sum(mass)).first()[0] or 0.0)
+    mass = _discounted(discounts(_counts_of_counts(counts[1], top), top))
+    kept = float(counts[1].agg(F.sum(mass)).first()[0] or 0.0)
     total = max(float(tokens), kept + 0.5)
-    probable = single.withColumn("p", mass / F.lit(total))
-    # pairs: likewise for each context
+    unknown = (total - kept) / total
+    levels = [Level(stage(counts[1].select("w", (mass / F.lit(total)).alias("p"), F.col("c").alias("c_word")), "words"), None)]
+    for k in range(2, order + 1):
+        levels.append(_longer(counts[k], levels[-1], k, top, unknown))
+        drop_staged(spark, counts.pop(k))
+    drop_staged(spark, counts.pop(1))
+    return Model(levels, int(tokens), int(types), unknown)
+
+
+def _longer(counted: DataFrame, shorter: Level, k: int, top: int, unknown: float) -> Level:
+    """Level of n-grams of ``k`` words; whatever was seen after a context, the shorter model has seen after its end."""
     mass = _discounted(discounts(_counts_of_counts(counted, top), top))
-    with_word = counted.withColumn("mass", mass).join(probable.select("w", F.col("p").alias("p_word")), "w")
-    sums = with_word.groupBy("h").agg(F.sum("c").alias("c_h"), F.sum("mass").alias("kept"), F.sum("p_word").alias("seen"))
-    sums = sums.withColumn("total", F.greatest(F.col("c_h").cast("double"), F.col("kept") + 0.5))
-    free = F.greatest(1 - F.col("seen"), F.lit((total - kept) / total / 2))  # unknown words are never among the seen
-    contexts = stage(sums.select("h", "total", ((1 - F.col("kept") / F.col("total")) / free).alias("weight")), "contexts")
-    scored = counted.withColumn("mass", mass).join(contexts, "h").select("pair", "h", "w", (F.col("mass") / F.col("total")).alias("p"))
-    return Model(stage(probable, "words"), stage(scored, "pairs"), contexts, int(tokens), int(types), (total - kept) / total)
+    below = shorter.grams.withColumnRenamed("p", "p_below")
+    with_below = stage(counted.withColumn("mass", mass).join(below, columns(k - 1)), "masses")
+    context = columns(k)[:-1]
+    sums = with_below.groupBy(*context).agg(F.sum("c").alias("c"), F.sum("mass").alias("kept"), F.sum("p_below").alias("seen"))
+    sums = sums.withColumn("total", F.greatest(F.col("c").cast("double"), F.col("kept") + 0.5))
+    # unknown words are never among the seen, so something is left but for rounding
+    left = F.greatest(1 - F.col("seen"), F.lit(unknown * 1e-9))
+    contexts = stage(sums.select(*context, "total", ((1 - F.col("kept") / F.col("total")) / left).alias("weight")), "contexts")
+    grams = with_below.join(contexts.select(*context, "total"), context).select(*columns(k), (F.col("mass") / F.col("total")).alias("p"), "c_word")
+    out = Level(stage(grams, "grams"), contexts.drop("total"))
+    drop_staged(counted.sparkSession, with_below)
+    return out
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", *keep: str) -> DataFrame:
-    """``score`` of each row of ``docs`` by itself, whatever its kept columns repeat or lack."""
-    row = "row" + "_" * max(map(len, docs.columns))
-    numbered = docs.select(*keep, text).withColumn(row, F.monotonically_increasing_id())
-    return score(pair_table(numbered, text, *keep, row), model, *keep, row).drop(row)
+    """``score`` of each row of ``docs`` by itself, whatever its kept columns repeat or lack, or are called."""
+    own = [f"kept_{i}" for i in range(len(keep))]
+    numbered = docs.select(*(F.col(k).alias(o) for k, o in zip(keep, own)), F.col(text).alias("text"), F.monotonically_increasing_id().alias("kept_row"))
+    scored = score(gram_table(numbered, "text", *own, "kept_row", order=len(model.levels)), model, *own, "kept_row")
+    return scored.drop("kept_row").withColumnsRenamed(dict(zip(own, keep)))
 
 
-def score(pairs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """(kept columns, n_tokens, n_known, score, base_score): log10 probabilities of the texts whose pairs are given.
+def score(grams: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """(kept columns, n_tokens, n_known, score, base_score): log10 probabilities of the texts whose n-grams of full length are given.
 
     Texts with equal kept columns count as one; ``score_documents`` keeps rows apart.
 
     ``base_score``: each token by (c + 0.5) / (N + 0.5 (V + 1)).
     """
-    met = pairs.join(model.pairs.select("pair", "p"), "pair", "left")
-    whole = met.join(model.words.select("w", "c", F.col("p").alias("p_word")), "w", "left")
-    backed = F.coalesce("weight", F.lit(1.0)) * F.coalesce("p_word", F.lit(model.unknown))
-    # a seen pair needs no weight: its context is left null, and null keys aren't shuffled to one task
-    whole = whole.withColumn("ctx", F.when(F.col("p").isNull(), F.col("h")))
-    seen = whole.where("ctx IS NULL").withColumn("log", F.log10("p"))
-    unseen = whole.where("ctx IS NOT NULL").join(model.contexts.select(F.col("h").alias("ctx"), "weight"), "ctx", "left").withColumn("log", F.log10(backed))
-    both = seen.select(*keep, "n", "c", "log").unionByName(unseen.select(*keep, "n", "c", "log"))
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.tokens + 0.5 * (model.types + 1)))
-    return both.groupBy(*keep).agg(
+    parts, rows = [], grams.withColumn("log", F.lit(0.0))
+    for k in range(len(model.levels), 1, -1):
+        level, gram = model.levels[k - 1], columns(k)
+        met = rows.join(level.grams, gram, "left")
+        parts.append(met.where("p IS NOT NULL").select(*keep, "n", "c_word", (F.col("log") + F.log10("p")).alias("log")))
+        unseen = met.where("p IS NULL").select(*keep, *gram, "n", "log").join(level.contexts, gram[:-1], "left")
+        # a context that was never seen has no mass of its own: the shorter model decides
+        backed = F.col("log") + F.log10(F.coalesce("weight", F.lit(1.0)))
+        rows = unseen.select(*keep, *columns(k - 1), "n", backed.alias("log"))
+    met = rows.join(model.levels[0].grams, "w", "left")
+    parts.append(met.select(*keep, "n", "c_word", (F.col("log") + F.log10(F.coalesce("p", F.lit(model.unknown)))).alias("log")))
+    base = F.log10((F.coalesce("c_word", F.lit(0)) + 0.5) / F.lit(model.tokens + 0.5 * (model.types + 1)))
+    sums = [
         F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).cast("long").alias("n_known"),
+        F.sum(F.when(F.col("c_word") > 0, F.col("n")).otherwise(0)).cast("long").alias("n_known"),
         F.sum(F.col("n") * F.col("log")).alias("score"),
         F.sum(F.col("n") * base).alias("base_score"),
-    )
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keep).agg(*sums)

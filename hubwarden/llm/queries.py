@@ -56,7 +56,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_katz_backoff")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5))
-    model = katz.train(katz.pair_table(docs.where("NOT held_out")))
+    model = katz.train(katz.gram_table(docs.where("NOT held_out")))
     scored = katz.score_documents(docs, model, "text", "doc_id", "held_out")
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 

@@ -69,11 +69,14 @@ def test_leaks(spark, docs, sf):
 
 def test_katz(docs):
     kept = docs.select("doc_id", "text")
-    model = katz.train(katz.pair_table(docs))
+    model = katz.train(katz.gram_table(docs))
     rows = katz.score_documents(kept, model, "text", "doc_id").collect()
     assert len(rows) == docs.count() and (not rows or [r.doc_id for r in rows].count(4) == 2)
     assert all(r.score < 0 and r.n_tokens == r.n_known for r in rows)
-    other = katz.train(katz.pair_table(docs.where("false")))
+    # kept columns may bear the names of an n-gram's
+    clash = katz.score_documents(kept.select(F.col("doc_id").alias("w"), F.col("doc_id").alias("b1"), "text"), model, "text", "w", "b1").collect()
+    assert sorted((str(r.w), str(r.b1), round(r.score, 6)) for r in clash) == sorted((str(r.doc_id), str(r.doc_id), round(r.score, 6)) for r in rows)
+    other = katz.train(katz.gram_table(docs.where("false")))
     assert all(r.n_known == 0 and r.score <= 0 for r in katz.score_documents(kept, other, "text", "doc_id").collect())
 
 

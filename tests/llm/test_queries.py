@@ -66,46 +66,67 @@ def test_op2(spark, texts):
     assert want and {(r.doc_id, r.item_id) for r in run(spark, "op2_template_leaks")} == want
 
 
+class Katz:
+    """The model by its definition, on dictionaries; n-grams are tuples of words, None ends a text and 0 begins it."""
+
+    def __init__(self, texts, order, top=5):
+        self.order, self.counts = order, [collections.Counter() for _ in range(order)]
+        for w in texts:
+            padded = [0] * (order - 1) + w
+            for i in range(order - 1, len(padded)):
+                for k in range(1, order + 1):
+                    self.counts[k - 1][tuple(padded[i - k + 1 : i + 1])] += 1
+        self.ratios = [katz.discounts(collections.Counter(c.values()), top) for c in self.counts]
+        self.n, self.v = sum(self.counts[0].values()), len(self.counts[0])
+        kept = sum(self.mass(g) for g in self.counts[0])
+        self.total = {(): max(self.n, kept + 0.5)}
+        self.unknown = (self.total[()] - kept) / self.total[()]
+        self.weight = {}
+        for k in range(2, order + 1):
+            after = collections.defaultdict(list)
+            for g in self.counts[k - 1]:
+                after[g[:-1]].append(g)
+            for h, seen in after.items():
+                kept = sum(map(self.mass, seen))
+                self.total[h] = max(sum(self.counts[k - 1][g] for g in seen), kept + 0.5)
+                self.weight[h] = (1 - kept / self.total[h]) / (1 - sum(self.p(g[1:]) for g in seen))
+
+    def mass(self, g):
+        c, ratios = self.counts[len(g) - 1][g], self.ratios[len(g) - 1]
+        return c * ratios[c - 1] if c <= len(ratios) else c
+
+    def p(self, g):
+        if g in self.counts[len(g) - 1]:
+            return self.mass(g) / self.total[g[:-1]]
+        return self.unknown if len(g) == 1 else self.weight.get(g[:-1], 1.0) * self.p(g[1:])
+
+    def score(self, w):
+        padded = [0] * (self.order - 1) + w
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order]))) for i in range(len(w)))
+
+
 def test_op3(spark, texts):
     out = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in texts}
     tokens = {d: [*words(t), None] for d, t in texts.items()}
-    single, pair = collections.Counter(), collections.Counter()
-    for d, w in tokens.items():
-        if not out[d]:
-            single.update(w)
-            pair.update(zip([0, *w[:-1]], w))
-    n, v = sum(single.values()), len(single)
-    ratios = [katz.discounts(collections.Counter(c.values()), 5) for c in (single, pair)]
-
-    def mass(c, r):
-        return c * r[c - 1] if c <= 5 else c
-
-    kept = sum(mass(c, ratios[0]) for c in single.values())
-    total = max(n, kept + 0.5)
-    p1, unknown = {w: mass(c, ratios[0]) / total for w, c in single.items()}, (total - kept) / total
-    of, held, seen = (collections.defaultdict(float) for _ in range(3))
-    for (h, w), c in pair.items():
-        of[h] += c
-        held[h] += mass(c, ratios[1])
-        seen[h] += p1[w]
-    top = {h: max(of[h], held[h] + 0.5) for h in of}
-    weight = {h: (1 - held[h] / top[h]) / (1 - seen[h]) for h in of}
+    models = {k: Katz([w for d, w in tokens.items() if not out[d]], k) for k in (1, 2, 3)}
+    model = models[3]
     # every context's probabilities add up to one
-    for h in list(of)[:50]:
-        inside = sum(mass(c, ratios[1]) / top[h] for (x, _), c in pair.items() if x == h)
-        assert inside + weight[h] * (sum(p for w, p in p1.items() if (h, w) not in pair) + unknown) == pytest.approx(1)
+    for h in [*list(model.weight)[:20], *list(model.weight)[-20:]]:
+        assert sum(model.p((*h, *w)) for w in model.counts[0]) + model.p((*h, "never seen")) == pytest.approx(1)
     better = 0.0
     for r in run(spark, "op3_katz_backoff"):
         w = tokens[r.doc_id]
-        s = sum(
-            math.log10(mass(pair[h, x], ratios[1]) / top[h] if (h, x) in pair else weight.get(h, 1.0) * p1.get(x, unknown))
-            for h, x in zip([0, *w[:-1]], w)
-        )
-        base = sum(math.log10((single.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(w), sum(x in single for x in w), n)
-        assert r.score == pytest.approx(s) and r.base_score == pytest.approx(base)
+        base = sum(math.log10((model.counts[0].get((x,), 0) + 0.5) / (model.n + 0.5 * (model.v + 1))) for x in w)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(w), sum((x,) in model.counts[0] for x in w), model.n)
+        assert r.score == pytest.approx(model.score(w)) and r.base_score == pytest.approx(base)
         better += r.score - r.base_score if r.held_out else 0
     assert better > 0
+    # other orders
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", held_out("doc_id", 5))
+    for k in (1, 2):
+        made = katz.train(katz.gram_table(docs.where("NOT held_out"), order=k), order=k)
+        for r in katz.score_documents(docs, made, "text", "doc_id").limit(40).collect():
+            assert r.score == pytest.approx(models[k].score(tokens[r.doc_id]))
 
 
 def test_op4_on_held_out_labels(spark):
