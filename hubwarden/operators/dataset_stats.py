@@ -113,13 +113,29 @@ def profile_of_facts(
     duplicate_limit: int = rules.DUPLICATE_LIMIT,
 ) -> DataFrame:
     """``file_profile`` from ``entry_facts``."""
-    keys = list(keys)
-    merged = facts.groupBy(*keys, "entry_key").agg(
+    return profile_of_counts(count_entries(facts, keys), keys, sigma, short_length, entropy_limit, duplicate_limit)
+
+
+def count_entries(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, entry_key, _copies, _role, _len, _h): equal entries of ``entry_facts`` as one row."""
+    return facts.groupBy(*keys, "entry_key").agg(
         F.count(F.lit(1)).alias("_copies"),
         F.max("_role").alias("_role"),
         F.max("_len").alias("_len"),
         F.max("_h").alias("_h"),
     )
+
+
+def profile_of_counts(
+    merged: DataFrame,
+    keys: Sequence[str] = ("target", "file"),
+    sigma: float = rules.OUTLIER_SIGMA,
+    short_length: int = rules.SHORT_LENGTH,
+    entropy_limit: float = rules.ENTROPY_LIMIT,
+    duplicate_limit: int = rules.DUPLICATE_LIMIT,
+) -> DataFrame:
+    """``file_profile`` from ``count_entries``."""
+    keys = list(keys)
     copies, filled = F.col("_copies"), F.col("_len") > 0
     per_length = merged.groupBy(*keys, "_len").agg(
         F.sum(copies).alias("_n"),

@@ -22,6 +22,7 @@ from hubwarden.operators import (
     export,
     patterns,
     poisoning,
+    profile_store,
     project,
     provenance,
     supply_chain,
@@ -110,13 +111,33 @@ _PROFILE_SQL = f"""
 
 @query(_PROFILE_SQL)
 def dataset_profile(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    return _profile_columns(dataset_stats.file_profile(_document_entries(spark, sf), ["source"], sigma=2.0, entropy_limit=4.5))
+
+
+def _document_entries(spark, sf):
+    return table(spark, sf, "documents").select(
         "source",
         F.sha2("text", 256).alias("entry_key"),
         F.lit(None).cast("string").alias("role"),
         F.col("text").alias("measured"),
     )
-    p = dataset_stats.file_profile(docs, ["source"], sigma=2.0, entropy_limit=4.5)
+
+
+@query(_PROFILE_SQL)
+def merged_profiles(spark, sf):
+    """The same profile from counts that four runs left in a table, one of them saved twice, two of them compacted before the others came."""
+    entries = _document_entries(spark, sf).withColumn("part", F.abs(F.xxhash64("entry_key", F.rand(7))) % 4)
+    facts = session.stage(dataset_stats.entry_facts(entries, ["source", "part"]), "entry_facts")
+    path = session.new_folder(spark, "entry_counts")
+    for part in (0, 1, 1, None, 2, 3):
+        if part is None:
+            profile_store.compact(spark, path, ["source"])
+        else:
+            profile_store.save_counts(facts.where(F.col("part") == part).drop("part"), path, part, ["source"])
+    return _profile_columns(profile_store.stored_profile(spark, path, ["source"], sigma=2.0, entropy_limit=4.5))
+
+
+def _profile_columns(p):
     return p.select(
         "source",
         "n",
