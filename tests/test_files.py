@@ -11,7 +11,7 @@ from hubwarden.functions import hashing, scores
 from hubwarden.operators import adapters, compliance, export, project, provenance, supply_chain, tensors, weights
 from hubwarden.operators import findings as fo
 from hubwarden.sources.content import with_sha256
-from hubwarden.sources.tensors import decode_tensors
+from hubwarden.sources.tensors import decode_tensors, read_tensors, tensor_ranges
 from hubwarden.sources.tree import read_tree
 from tests.conftest import f32, put, safetensors_bytes
 
@@ -206,6 +206,36 @@ def test_tensors(spark):
     read.unpersist()
 
 
+def test_large_adapters_are_read_by_ranges(spark, tmp_path):
+    big = np.linspace(-3, 3, 5000, dtype="<f4").reshape(50, 100)
+    big[41, 7] = -77.0
+    holes = np.ones(3000, dtype="<f8")
+    holes[2900] = np.nan
+    good = safetensors_bytes({"big": ("F32", big), "holes": ("F64", holes), "empty": ("F32", np.zeros((0, 4), dtype="<f4")), "odd": ("F8", np.zeros(3, dtype="u1")),
+                              **{f"small{i}": f32(float(i)) for i in range(40)}})
+    rows = []
+    for target, data in {"good": good, "cut": good[:-9000], "junk": b"\x01"}.items():
+        path = put(tmp_path, f"{target}/a.safetensors", data)
+        rows.append((target, "a.safetensors", str(path), data))
+    rows.append(("gone", "a.safetensors", str(tmp_path / "gone.safetensors"), b""))
+    files = spark.createDataFrame(rows, "target string, relpath string, path string, content binary")
+
+    def told(df):
+        return sorted((str(tuple(r)) for r in df.where("target <> 'gone'").collect()))
+
+    want = told(decode_tensors(files))
+    for piece in (800, 8000, 1 << 26):
+        got = read_tensors(files, piece=piece)
+        assert told(got) == want
+        assert [r.read_status for r in got.where("target = 'gone'").collect()] == ["unreadable"]
+    top = {r.key: r for r in read_tensors(files.where("target = 'good'"), piece=800).collect()}
+    assert len(top) == 44 and top["big"].max_abs == 77.0 and top["holes"].has_nan and top["odd"].read_status == "unsupported_dtype"
+    # one file becomes many rows, each for a task to open; small tensors share one
+    ranges = tensor_ranges(files.where("target = 'good'"), 800).collect()
+    assert 50 < len(ranges) < 70 and all(sum(x.size for x in r.ranges) < 1600 for r in ranges)
+    assert told(read_tensors(files.where("target <> 'gone'"), with_values=False)) == told(decode_tensors(files, with_values=False))
+
+
 def test_adapter_risk(spark):
     rows = [("low", "x.q_proj.lora_A"), ("high", "embed_tokens"), ("high2", "a.LM_HEAD"), ("mid", "mlp.gate_proj")]
     df = spark.createDataFrame(rows, "target string, key string")
