@@ -44,7 +44,9 @@ class Lake:
     but costly to derive (digests, tensor summaries, profiles, the listing) are
     written to the cluster's shared folder once and read by all checks; of texts
     only those of configurations, manifests and cards are.  ``max_text_bytes`` is the size above which a data
-    file gets a remark; no file is left out for its size.
+    file gets a remark; no file is left out for its size.  ``more_rules``: a
+    table of rules (``operators.rule_table.SCHEMA``) searched beside the built-in
+    ones, under the names of the text checks.
     """
 
     artifacts: DataFrame
@@ -53,6 +55,7 @@ class Lake:
     manifest_names: Sequence[str] = rules.MANIFEST_FILES
     compat: bool = False
     stage: bool = True
+    more_rules: DataFrame | None = None
 
     def __post_init__(self) -> None:
         # an object that repeats a key is read like everywhere else: the last one counts
@@ -134,7 +137,7 @@ class Lake:
             read = chosen.withColumns({"piece": F.lit(0).cast("long"), "kind": F.lit(pieces.WHOLE)})
         else:
             read = pieces.read_pieces(chosen, documents)
-        return self._kept("facts", facts.text_facts(read, documents))
+        return self._kept("facts", facts.text_facts(read, documents, self.more_rules))
 
     @cached_property
     def gates(self) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hubwarden import rules
 from hubwarden.functions.paths import at_root
 from hubwarden.functions.text import once
-from hubwarden.operators import adapters, dataset_stats, poisoning, project, provenance
+from hubwarden.operators import adapters, dataset_stats, poisoning, project, provenance, rule_table
 from hubwarden.operators.patterns import with_hits
 from hubwarden.sources import entries, text
 
@@ -37,16 +37,19 @@ def wanted(manifest_names=rules.MANIFEST_FILES) -> dict[str, Column]:
     return {**found, "pipeline": found["pipeline"] | project.is_script() | project.is_config()}
 
 
-def text_facts(pieces: DataFrame, kept: Column) -> DataFrame:
+def text_facts(pieces: DataFrame, kept: Column, more_rules: DataFrame | None = None) -> DataFrame:
     """Facts of the pieces (target, relpath, name, depth, size, is_dataset, piece, kind, content).
 
     ``pos`` 0 is the row of a piece, its entries follow from 1 on.  ``kept``:
     condition on files whose text stays; so does that of JSON objects at a
-    target's root, in which links are looked for.
+    target's root, in which links are looked for.  ``more_rules``: a table of
+    further rules (``operators.rule_table``) for the checks of the families.
     """
     rows = text.to_text(pieces)
     families = [f._replace(applies=F.col("is_dataset")) for f in poisoning.text_families()] + project.text_families()
     rows = with_hits(rows, "text", families)
+    if more_rules is not None:
+        rows = _with_more_hits(rows, more_rules, families)
     rows = entries.with_values(rows, F.col("is_dataset"))
     # a root object may hold links, whatever else it is
     links = at_root(["*.json"]) & F.startswith(F.ltrim(F.translate("text", "\t\r\n", "   ")), F.lit("{")) & (F.col("kind") == "whole")
@@ -76,6 +79,17 @@ def text_facts(pieces: DataFrame, kept: Column) -> DataFrame:
     return dataset_stats.entry_facts(described, facts)
 
 
+def _with_more_hits(rows: DataFrame, more_rules: DataFrame, families) -> DataFrame:
+    known = [f.check for f in families]
+    strange = more_rules.where(~F.col("check").isin(known)).select("check").first()
+    if strange is not None:
+        raise ValueError(f"no text check is called {strange.check}; these are: {', '.join(known)}")
+    found = rule_table.with_hits(rows, "text", more_rules, rule_table.conditions(families), "_more")
+    # a rule that a family has too counts once
+    both = F.array_distinct(F.concat(F.coalesce("hits", F.slice("_more", 1, 0)), F.coalesce("_more", F.slice("hits", 1, 0))))
+    return found.withColumn("hits", both).drop("_more")
+
+
 def rule_hits(facts: DataFrame) -> DataFrame:
     """(target, file, name, check, rule, matches) of each file, over all its pieces."""
     rows = facts.where("pos = 0 AND size(hits) > 0").select(*_FILE, F.explode("hits").alias("h")).select(*_FILE, "h.*")

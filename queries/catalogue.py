@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from hubwarden.operators import (
     profile_store,
     project,
     provenance,
+    rule_table,
     supply_chain,
     tensors,
     weights,
@@ -280,6 +282,41 @@ def label_flip_files(spark, sf):
     return patterns.count_patterns(files, "text", rules.LABEL_FLIPS, ["conv_id", "turn"])
 
 
+@query(r"""
+    WITH items AS (SELECT split_part(text, '.', 1) AS first FROM benchmark),
+    turns AS (SELECT split_part(text, '.', 1) AS first FROM conversations),
+    r AS (
+      SELECT 'item_phrase' AS check_name, lower(first) AS rule FROM items WHERE length(first) >= 12
+      UNION SELECT 'item_pattern',
+        regexp_replace(regexp_replace(trim(first), '[^\p{L}\p{N}\s]', '.', 'g'), '\s+', '\\s+', 'g')
+        FROM items WHERE length(first) >= 12
+      UNION SELECT 'turn_literal', first FROM turns WHERE length(first) >= 12)
+    SELECT * FROM (SELECT doc_id, check_name, rule, CAST(CASE check_name
+        WHEN 'item_pattern' THEN len(regexp_extract_all(text, rule, 0, 'i'))
+        WHEN 'item_phrase' THEN contains(lower(text), rule)::INT
+        ELSE contains(text, rule)::INT END AS BIGINT) AS matches FROM documents, r) h WHERE matches > 0""")
+def rule_table_hits(spark, sf):
+    """Rules out of two tables: each first sentence of a benchmark item as a phrase and, with any white space
+    between its words and any sign for a mark, as a counted pattern; each of a turn as a literal."""
+    sentence = F.split_part("text", F.lit("."), F.lit(1)).alias("rule")
+    items, turns = (table(spark, sf, t).select(sentence).where(F.length("rule") >= 12) for t in ("benchmark", "conversations"))
+    pattern = F.regexp_replace(F.regexp_replace(F.trim("rule"), r"[^\p{L}\p{N}\s]", "."), r"\s+", r"\\s+")
+    words = F.transform(F.regexp_extract_all("rule", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w")))
+    longest = F.array_max(words)["w"]
+    none = F.lit(None).cast("array<string>")
+    made = [
+        (items.withColumn("rule", F.lower("rule")), "item_phrase", "phrase", none),
+        (items.withColumn("rule", pattern), "item_pattern", "count", F.when(longest.isNotNull(), F.array(longest))),
+        (turns, "turn_literal", "literal", none),
+    ]
+    rows = [
+        df.withColumns({"check": F.lit(check), "mode": F.lit(mode), "ignore_case": F.lit(mode == "count"), "needles": needles, "linear": F.lit(None).cast("string")})
+        for df, check, mode, needles in made
+    ]
+    found = rule_table.find_rules(table(spark, sf, "documents"), "text", reduce(DataFrame.unionByName, rows), ["doc_id"])
+    return found.withColumnRenamed("check", "check_name")
+
+
 @query("WITH " + _pattern_values("r", rules.CREDENTIALS) + """
     SELECT doc_id, pattern FROM documents, r WHERE regexp_matches(text, pattern, 'i')""")
 def credential_scan(spark, sf):
