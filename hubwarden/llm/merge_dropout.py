@@ -35,7 +35,7 @@ from hubwarden.llm.common import mixed, per_stage
 
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _SPACE = "▁"
-_CACHE = 900_000
+CACHE = 900_000  # nodes of trees, of 400 bytes or so
 _SHORT = 16
 _MASK = (1 << 64) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +68,7 @@ class _Column:
 class Pieces:
     """Vocabulary of a SentencePiece BPE model and the words split with it so far."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None, cache: int = CACHE):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -92,7 +92,7 @@ class Pieces:
             self.place[own] = place
             self.ids.append(i)
         self.limit = int(dropout * 2**64)
-        self.seed, self.variants = seed & _MASK, variants
+        self.seed, self.variants, self.cache = seed & _MASK, variants, cache
         self._forget()
         self._pairs()
 
@@ -320,7 +320,7 @@ class Pieces:
         draws = np.concatenate(parts)
         if self.variants:
             draws %= np.uint64(self.variants)
-        if len(self.node_word) >= _CACHE:
+        if len(self.node_word) >= self.cache:
             self._forget()
         known = self.root.get
         found = [known(c, -1) for c in chunks]
@@ -356,13 +356,20 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]
 
 
-def pieces(path: str, dropout: float, seed: int, variants: int | None = None) -> Pieces:
+def pieces(path: str, dropout: float, seed: int, variants: int | None = None, cache: int = CACHE) -> Pieces:
     """One per Python worker and setting, kept between the tasks of a stage."""
-    return per_stage(Pieces, path, dropout, seed, variants)
+    return per_stage(Pieces, path, dropout, seed, variants, cache)
 
 
 def encode(
-    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int | None = None, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    dropout: float = 0.1,
+    seed: int = 1,
+    variants: int | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    cache: int = CACHE,
 ) -> DataFrame:
     """(key, n_pieces, ids_crc32, lossless, ids) per row.
 
@@ -370,11 +377,12 @@ def encode(
     says that decoding the ids gave the text back.  Null and empty texts have no
     ids; rows with a null key are split like key -1.  Every occurrence of a word
     is drawn by itself; a number of ``variants`` allows each word so many splits.
+    A worker keeps up to ``cache`` splits of words and then starts anew; the ids don't depend on it.
     """
     schema = pa.schema([(key, pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(path, dropout, seed, variants)
+        own = pieces(path, dropout, seed, variants, cache)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)

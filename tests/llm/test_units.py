@@ -83,6 +83,16 @@ def test_every_occurrence_is_drawn_by_itself():
     assert sum(own.word(" a", d) == whole for d in draws) / len(draws) == pytest.approx(0.9, abs=0.03)
 
 
+def test_splits_dont_depend_on_how_many_are_kept():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [" ".join(f"word{(i * j) % 97}ish and others" for j in range(30)) for i in range(40)]
+    coded = []
+    for cache in (1, 50, 900_000):
+        own = merge_dropout.Pieces(path, 0.3, 5, cache=cache)
+        coded.append([[x.tolist() for x in own.encode(texts[i : i + 4], list(range(i, i + 4)))] for i in range(0, 40, 4)])
+    assert coded[0] == coded[1] == coded[2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 9))
 def test_sketches_bound_the_difference_and_linked_sets_share_a_piece(n, changed, seed):
