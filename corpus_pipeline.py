@@ -65,8 +65,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, lossless, ids) of every document."""
-    return merge_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """(doc_id, n_pieces, ids_crc32, lossless, ids) of every document; few splits are kept, the earlier stages hold memory too."""
+    return merge_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), cache=150_000)
 
 
 STAGES = [
