@@ -133,7 +133,7 @@ class _Opens:
 
 def test_each_text_is_opened_once_in_a_scan(spark, tmp_path):
     read_tree.spark = spark
-    listing = _hub(tmp_path, 20)
+    _hub(tmp_path, 20)
     for name, body in {
         "config.json": '{"_name_or_path": "m"}',
         "adapter_config.json": '{"r": 8}',
@@ -146,6 +146,7 @@ def test_each_text_is_opened_once_in_a_scan(spark, tmp_path):
         "README.md": "training",
     }.items():
         put(tmp_path, f"a/{name}", body)
+    listing = read_tree(spark, [str(tmp_path)], layout="hub")
     opens = _Opens(tmp_path)
     found = {(r.check, r.file) for r in scan(Lake(listing)).select("check", "file").collect()}
     counts = opens.counts()
