@@ -11,24 +11,35 @@ same for one rule and for a hundred thousand, and the hits are those of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache, reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubwarden.functions.text import ODD_CASE, contains_any, java_regex, once
 from hubwarden.operators.patterns import Family
 from hubwarden.rules import Pattern
+from hubwarden.session import stage
 
 SCHEMA = (
     "check string, rule string, mode string, ignore_case boolean, needles array<string>, linear string"
 )
 MODES = ("count", "search", "phrase", "literal")
+#: Rules that every task may hold; those of a larger table are joined.
 MAX_RULES = 100_000
 #: ODD_CASE letters and the ASCII letters that a match in any case takes them for.
 _ASCII_OF_ODD = "siik"
 _CANDIDATES = "array<struct<check:string,rule:string,mode:string,regex:string,linear:string>>"
+_COLUMNS = ("check", "rule", "mode", "ignore_case", "needles", "linear")
+_BITS = 24  # 2^24 bits tell which runs of bytes may be a key
+_WIDEST = 4096  # bytes of a key
+_SLICE = 1 << 18  # bytes of a text that are hashed together
+_POINT = 0x9FB21C651E98DF25
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def rules_of(families: Sequence[Family]) -> list[tuple]:
@@ -47,14 +58,20 @@ def rule_table(spark: SparkSession, families: Sequence[Family]) -> DataFrame:
     return spark.createDataFrame(rules_of(families), SCHEMA)
 
 
-def _checked(rules: DataFrame, max_rules: int) -> list[tuple]:
-    """The rules as sorted rows; a table of more than ``max_rules`` rows is refused, since every task holds it."""
-    rows = rules.select("check", "rule", "mode", "ignore_case", "needles", "linear").distinct().limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules; raise max_rules if every task can hold them")
-    for r in rows:
-        if r.check is None or r.rule is None or r.mode not in MODES:
-            raise ValueError(f"a rule needs a check, a text and a mode out of {MODES}: {r}")
+def _checked(rules: DataFrame, max_rules: int | None, held: int) -> list[tuple] | None:
+    """The rules as sorted rows, none if there are more than ``held``; a table of more than ``max_rules`` rows is refused."""
+    most = held if max_rules is None else min(held, max_rules)
+    rules = rules.select(*_COLUMNS)
+    bad = rules.where(F.col("check").isNull() | F.col("rule").isNull() | ~F.coalesce(F.col("mode").isin(*MODES), F.lit(False))).first()
+    if bad is not None:
+        raise ValueError(f"a rule needs a check, a text and a mode out of {MODES}: {bad}")
+    rows = rules.distinct().limit(most + 1).collect()
+    if max_rules is not None and len(rows) > max_rules:
+        raise ValueError(f"more than {max_rules} rules; raise max_rules or leave it out")
+    if len(rows) > most:
+        if max_rules is not None and rules.distinct().limit(max_rules + 1).count() > max_rules:
+            raise ValueError(f"more than {max_rules} rules; raise max_rules or leave it out")
+        return None
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1], r[2], str(r[3:])))
 
 
@@ -141,22 +158,141 @@ def _matches(text: Column, lowered: Column, rule: Column) -> Column:
     )
 
 
-def with_hits(
-    df: DataFrame,
-    text: str,
-    rules: DataFrame,
-    applies: dict[str, Column] | None = None,
-    name: str = "hits",
-    max_rules: int = MAX_RULES,
-) -> DataFrame:
-    """Add (check, rule, matches) of the rules that hit, as an array; NULL where the text is.
+@cache
+def _powers(point: int) -> np.ndarray:
+    out = np.full(_SLICE + _WIDEST, point, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    ``rules`` has the columns of ``SCHEMA``; the rules of a check named in
-    ``applies`` hit only where its condition holds.  ``needles`` may be empty or
-    NULL: such a rule runs on every text.  Repeated rules count once.  The rules
-    go to every task, so a table of more than ``max_rules`` of them is refused.
-    """
-    rows = _checked(rules, max_rules)
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_POINT)[: len(data)], out=out[1:])
+    return out
+
+
+def _runs(sums: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` bytes, out of the sums of at most a slice and a key."""
+    return (sums[width:] - sums[:-width]) * _powers(pow(_POINT, -1, 1 << 64))[: max(0, len(sums) - width)]
+
+
+def _keys(runs: np.ndarray, width: int, folded: bool) -> np.ndarray:
+    return _mixed(runs * _STEP + np.uint64(2 * width + folded))
+
+
+def _places(runs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a key."""
+    return runs >> np.uint64(64 - _BITS), keys >> np.uint64(64 - _BITS)
+
+
+def _keyed_literals(literals: DataFrame) -> DataFrame:
+    """(literal, folded, width, key, place, place2) of each literal (literal, folded): that of its first and last run which fewer literals have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, (literal, folded) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                data = np.frombuffer(literal.encode(), np.uint8)
+                width = min(_WIDEST, 1 << (len(data).bit_length() - 1))
+                for end in {width, len(data)}:
+                    own = _runs(_sums(data[end - width : end]), width)
+                    key = _keys(own, width, folded)
+                    rows.append((at, width, key.view(np.int64)[0], *(int(p[0]) for p in _places(own, key))))
+            at, *columns = (pa.array(np.array(c, np.int64)) for c in (zip(*rows) if rows else [[]] * 5))
+            kept = [batch.column(0).take(at), batch.column(1).take(at)]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], ["literal", "folded", "width", "key", "place", "place2"])
+
+    both = literals.mapInArrow(run, "literal string, folded boolean, width long, key long, place long, place2 long")
+    shared = both.groupBy("key").agg(F.count("*").alias("n"))
+    least = F.min(F.struct("n", "key", "width", "place", "place2")).alias("least")
+    return both.join(shared, "key").groupBy("literal", "folded").agg(least).select("literal", "folded", "least.*").drop("n")
+
+
+def _bitmap(keyed: DataFrame) -> np.ndarray:
+    """2^24 bits, two for each key; at most 262,144 rows reach the driver."""
+    place = keyed.select(F.explode(F.array("place", "place2")).alias("place"))
+    some = place.selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, cast(pmod(place, 64) AS int)) AS bit")
+    bits = np.zeros(1 << (_BITS - 6), np.int64)
+    for word, bit in some.groupBy("word").agg(F.bit_or("bit")).collect():
+        bits[word] = bit
+    return bits.view(np.uint8)
+
+
+def _keys_met(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(_row, key) of the runs of each text (_row, as written, in lower case, without odd letters) that may be keys."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(keyed))
+    widths = [(r["folded"], r["width"]) for r in keyed.select("folded", "width").distinct().collect()]  # a few powers of two
+
+    def met(text: bytes | None, folded: bool) -> Iterator[np.ndarray]:
+        own = sorted(w for f, w in widths if f == folded)
+        if not text or not own:
+            return
+        bits, data = shared.value, np.frombuffer(text, np.uint8)
+        for start in range(0, len(data), _SLICE):
+            sums = _sums(data[start : start + _SLICE + own[-1] - 1])
+            for width in own:
+                runs = _runs(sums, width)[:_SLICE]
+                place = runs >> np.uint64(64 - _BITS)
+                runs = runs[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
+                keys = _keys(runs, width, folded)
+                _, place = _places(runs, keys)
+                yield keys[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, row in enumerate(batch.column(0).to_pylist()):
+                found = [k for i, folded in ((1, False), (2, True), (3, True)) for k in met(batch.column(i)[at].as_py(), folded)]
+                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys.view(np.int64))], ["_row", "key"])
+
+    return texts.mapInArrow(run, "_row long, key long")
+
+
+def _joined(numbered: DataFrame, rules: DataFrame) -> DataFrame:
+    """(columns of ``numbered``, check, rule, matches) of the rules that hit, one row each; ``numbered`` has ``_row``, ``_text`` and ``_off``."""
+    any_case = F.coalesce("ignore_case", F.lit(False))
+    whole = F.col("mode").isin("phrase", "literal")
+    proves = F.forall("needles", lambda n: F.coalesce((n != "") & ~(any_case & n.rlike(r"[^\x00-\x7F]")), F.lit(False)))
+    needles = F.when(F.col("needles").isNotNull() & proves, F.when(any_case, F.transform("needles", F.lower)).otherwise(F.col("needles")))
+    literals = F.when(whole, F.when(F.col("rule") != "", F.array("rule"))).otherwise(needles)
+    java = [
+        F.when(~whole, F.concat(F.when(any_case, "(?idU)").otherwise("(?dU)"), c)).alias(name)
+        for c, name in ((F.col("rule"), "regex"), (F.col("linear"), "linear"))
+    ]
+    rule = F.struct("check", "rule", "mode", *java, F.struct("ignore_case", "needles").alias("other"))
+    folded = (F.col("mode") == "phrase") | ~whole & any_case
+    own = rules.select(*_COLUMNS).distinct().select(rule.alias("_rule"), folded.alias("folded"), literals.alias("literals"))
+    own = stage(own, "rules")
+    each = own.where("size(literals) > 0").select("_rule", "folded", F.explode("literals").alias("literal"))
+    keyed = stage(_keyed_literals(each.select("literal", "folded").distinct()), "keys")
+
+    body, lowered = F.col("_text"), F.lower("_text")
+    plain = F.when(contains_any(body, ODD_CASE), F.lower(F.translate(body, "".join(ODD_CASE), _ASCII_OF_ODD)))
+    texts = numbered.where("_text IS NOT NULL").select("_row", *(c.cast("binary") for c in (body, lowered, plain)))
+    may = _keys_met(texts, keyed).join(each.join(keyed, ["literal", "folded"]).select("key", "_rule"), "key").select("_row", "_rule").distinct()
+    always = own.where("literals IS NULL OR size(literals) = 0").select("_rule")
+    found = [numbered.join(may, "_row"), numbered.where("_text IS NOT NULL").crossJoin(always)]
+    tried = reduce(DataFrame.unionByName, found).where(~F.array_contains("_off", F.col("_rule.check")))
+    tried = once(tried, "_matches", _matches(body, lowered, F.col("_rule"))).where("_matches > 0")
+    hit = F.struct(F.col("_rule.check").alias("check"), F.col("_rule.rule").alias("rule"), F.col("_matches").alias("matches"))
+    return tried.select(*numbered.columns, hit.alias("_hit"))
+
+
+def _numbered(df: DataFrame, text: str, applies: dict[str, Column] | None, *kept: str) -> DataFrame:
+    found = df.select(*kept, F.col(text).alias("_text"), _disabled(applies).alias("_off"), F.monotonically_increasing_id().alias("_row"))
+    return stage(found, "texts")
+
+
+def _found_by_automaton(df: DataFrame, text: str, rows: list[tuple], applies: dict[str, Column] | None, name: str) -> DataFrame:
     candidates, exact = _candidates(rows)
     body, lowered = F.col("_text"), F.col("_lower")
     odd = contains_any(body, ODD_CASE)
@@ -172,20 +308,51 @@ def with_hits(
     return found.select(*[c for c in df.columns if c != name], name)
 
 
+def with_hits(
+    df: DataFrame,
+    text: str,
+    rules: DataFrame,
+    applies: dict[str, Column] | None = None,
+    name: str = "hits",
+    max_rules: int | None = None,
+    held: int = MAX_RULES,
+) -> DataFrame:
+    """Add (check, rule, matches) of the rules that hit, as an array; NULL where the text is.
+
+    ``rules`` has the columns of ``SCHEMA``; the rules of a check named in
+    ``applies`` hit only where its condition holds.  ``needles`` may be empty or
+    NULL: such a rule runs on every text.  Repeated rules count once.  Up to
+    ``held`` rules go to every task; those of a larger table are joined with the
+    texts, which are staged for it.  ``max_rules`` refuses tables of more.
+    """
+    rows = _checked(rules, max_rules, held)
+    if rows is None:
+        numbered = _numbered(df, text, applies, *df.columns)
+        hits = _joined(numbered.select("_row", "_text", "_off"), rules).groupBy("_row").agg(F.array_sort(F.collect_list("_hit")).alias("_hits"))
+        empty = F.array().cast(hits.schema["_hits"].dataType)
+        own = F.when(F.col("_text").isNotNull(), F.coalesce("_hits", empty)).otherwise(F.lit(None))
+        return numbered.join(hits, "_row", "left").withColumn(name, own).select(*[c for c in df.columns if c != name], name)
+    return _found_by_automaton(df, text, rows, applies, name)
+
+
 def find_rules(
     df: DataFrame,
     text: str,
     rules: DataFrame,
     keys: Sequence[str],
     applies: dict[str, Column] | None = None,
-    max_rules: int = MAX_RULES,
+    max_rules: int | None = None,
+    held: int = MAX_RULES,
 ) -> DataFrame:
     """(keys, check, rule, matches), one row per row of ``df`` and rule of the table that hits.
 
     See ``with_hits``.  A NULL text has no hits, an empty one those of patterns
     that match the empty text, an empty table of rules none.
     """
-    found = with_hits(df, text, rules, applies, "_hits", max_rules)
+    rows = _checked(rules, max_rules, held)
+    if rows is None:
+        return _joined(_numbered(df, text, applies, *keys), rules).select(*keys, "_hit.*")
+    found = _found_by_automaton(df, text, rows, applies, "_hits")
     return found.select(*keys, F.explode("_hits").alias("_hit")).select(*keys, "_hit.*")
 
 

@@ -78,6 +78,34 @@ def test_bad_tables_are_refused(spark):
         rule_table.find_rules(_texts(spark, "a"), "text", table.withColumn("mode", F.lit("other")), ["id"])
 
 
+def test_a_table_too_large_for_tasks_is_joined(spark):
+    texts = [*TEXTS, None, "", "IMPORT subprocess import subprocess exec(eval(", "Disable All FİLTERS", "x" * 300_000 + " exec( é" + "ab" * 3000, "abc abd"]
+    more = [
+        Family("long", ["ab" * 2900, "x" * 5000, "abc", "abd", "é", "a"], "literal"),
+        Family("phrases", ["disable all", ""], "phrase"),
+        Family("bare", [Pattern("ab[cd]", True), Pattern("(?:abc)?", False, ("abc", ""))], "count"),
+    ]
+    families = FAMILIES + more
+    table = rule_table.rule_table(spark, families)
+    df = _texts(spark, *texts)
+    twice = df.unionByName(df.where("id = 2"))  # rows may repeat
+    want = _rows(rule_table.find_rules(twice, "text", table, ["id"]))
+    assert len(want) > 50 and _rows(rule_table.find_rules(twice, "text", table, ["id"], held=0)) == want
+    both = [rule_table.with_hits(twice, "text", table, rule_table.conditions(families), held=n).collect() for n in (0, 1000)]
+    few, all_ = (sorted((r.id, None if r.hits is None else sorted(map(tuple, r.hits))) for r in rows if r.text is not None) for rows in both)
+    assert few == all_
+    assert [[r.hits for r in rows if r.text is None] for rows in both] == [[None], [None]]
+
+
+def test_more_rules_than_a_task_holds(spark):
+    words = [f"word_{i:06}_of_many" for i in range(rule_table.MAX_RULES + 1)]
+    table = spark.createDataFrame([(w,) for w in words], "rule string").selectExpr(
+        "'many' AS check", "rule", "'literal' AS mode", "false AS ignore_case", "cast(null AS array<string>) AS needles", "cast(null AS string) AS linear"
+    )
+    got = _rows(rule_table.find_rules(_texts(spark, f"- {words[7]}, {words[-1]}", "none", None), "text", table, ["id"]))
+    assert got == [(0, "many", words[7], 1), (0, "many", words[-1], 1)]
+
+
 def _many(n):
     return [Family("many", [Pattern(rf"marker_{i}_\d+", True, (f"marker_{i}_",)) for i in range(n)], "count")]
 
