@@ -154,6 +154,35 @@ def test_chained_around_a_stock_phrase(spark):
         assert got[1] == got[3] == (40, 40 + n)
 
 
+def test_chained_between_other_documents(spark):
+    def own(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    # parts of a passage are older and come again in between, so its seeds' first and last occurrences lie in neither document
+    words = own("w", 50).split()
+    shared = " ".join(words)
+    parts = [" ".join(words[i:j]) for i, j in ((0, 30), (20, 49), (1, 40))]
+    before = [f"{own(f'p{i}_', 9)} {part} {own(f'q{i}_', 9)}" for i, part in enumerate(parts)]
+    between = [f"{own(f'r{i}_', 9)} {part} {own(f's{i}_', 9)}" for i, part in enumerate(parts)]
+    texts = [*before, f"{own('a', 40)} {shared} {own('b', 40)}", *between, f"{own('c', 40)} {shared} {own('d', 40)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.end, r.other) for r in chains.passages(df).collect()}
+    assert got == {3: (40, 90, 0), 7: (40, 90, 0)}
+
+
+def test_seeds_meet_all_classes(spark):
+    # one seed in forty documents; the words around it agree by half between two that are neither first nor neighbours
+    rows = [(5, d, (d << 32) | (d % 15 + 1) * 0x11111111) for d in range(14)]
+    rows += [(5, 20 + d, (d << 32) | (d % 15 + 1) * 0x1111 | 0x99990000) for d in (1, 3, 2)]
+    df = spark.createDataFrame(rows, "seed long, doc long, at long")
+    got = {tuple(sorted((r.a, r.m.doc))) for r in chains._matches(df).collect()}
+    nibbles = {d: at & 0xFFFFFFFF for _, d, at in rows}
+    want = {
+        (a, b) for a in nibbles for b in nibbles if a < b and sum((nibbles[a] ^ nibbles[b]) >> k & 15 == 0 for k in range(0, 32, 4)) >= chains.AROUND
+    }
+    assert len(want) == 9 and got == want
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (3, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (7, None), (8, [None, 1.0]), (9, [nan, 1.0])]
