@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hubwarden.llm.common import drop_staged
 from hubwarden.session import stage
 
 
@@ -12,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a long, b long); ``root`` is the smallest node it can reach.
 
     Every step joins on nodes; the edges are written after each pair of steps,
-    so a lost executor costs one step.  Loops, repeated and nulls edges are
+    so a lost executor costs one step; older ones are removed.  Loops, repeated and nulls edges are
     dropped.  Ends after about log(longest path) pairs of steps.
     """
     own = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -28,4 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # each lower neighbour and the node itself move to the lowest of them
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        own = stage(small.distinct(), "edges")
+        older, own = own, stage(small.distinct(), "edges")
+        drop_staged(own.sparkSession, older)

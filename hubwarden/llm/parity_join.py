@@ -19,7 +19,9 @@ other; what these pairs connect isn't paired again, so a group of near copies
 gives as many pairs as it has members.  The classes of a bucket that are still
 apart are then compared, without exception: one by one in small buckets, and in
 large ones by chunks of sketches that meet each other, where only pairs whose
-sketches allow a link become rows.
+sketches allow a link become rows.  A pair that meets in many large buckets
+becomes a row in the first of them: each class carries its smallest keys of
+large buckets.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hubwarden.llm.common import flushed, mixed, signed, windows, word_hashes
+from hubwarden.llm.common import drop_staged, flushed, mixed, per_stage, signed, windows, word_hashes
 from hubwarden.llm.graph import components
 from hubwarden.session import stage
 
@@ -44,6 +46,7 @@ _FREQUENT = 200_000  # pieces that are kept as frequent, at most
 _BITS = 24
 _SMALL = 32  # classes of a bucket that are paired one by one
 _CHUNK = 256  # classes of a bucket whose sketches come in one row
+_FIRST = 16  # keys of large buckets that a class carries, to be paired once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,6 +133,7 @@ def class_table(docs: DataFrame, size: int, percent: int, key: str, text: str) -
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        per_stage(None)
         met: set[int] = set()
         for batch in batches:
             for doc_id, text_id, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), word_hashes(batch.column(1))):
@@ -159,6 +163,7 @@ def _keys(docs: DataFrame, size: int, percent: int, key: str, text: str, more: s
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # _FREQUENT keys at most, rarest first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_stage(None)
         met: set[int] = set()
         rare = None if shared.value is None else _rarest(shared.value)
         held: list[tuple[np.ndarray, int, int]] = []
@@ -237,6 +242,7 @@ def _sets(docs: DataFrame, size: int, text: str, wanted: DataFrame) -> DataFrame
     schema = pa.schema([("class", pa.int64()), ("members", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        per_stage(None)
         bits, met = shared.value, set()
         for batch in batches:
             ids = batch.column(1).to_numpy()
@@ -268,32 +274,41 @@ def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
 
 
 def _near(percent: int):
-    """Pairs (a, b) of classes of two packs, not connected yet, whose sketches allow a link."""
+    """Pairs (a, b) of classes of two packs of a key, or of one by itself, not connected yet, whose sketches allow a link.
+
+    Classes that have a smaller key in common are paired there.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def groups(pack: pa.Scalar) -> dict[int, tuple[np.ndarray, ...]]:
-        """Classes, sizes, roots and sketches by the sketches' length in words."""
+    def groups(key: int, pack: pa.Scalar) -> dict[int, tuple]:
+        """Classes, sizes, roots, sketches and keys below ``key`` by the sketches' length in words."""
         members = pack.values
         classes, n, root = (members.field(i).to_numpy().astype(np.int64) for i in range(3))
         raw = members.field(3).to_pylist()
+        lower = [{k for k in own if k < key} for own in members.field(4).to_pylist()]
         length = np.array([len(x) >> 3 for x in raw])
         out = {}
         for words in np.unique(length).tolist():
             at = np.flatnonzero(length == words)
-            out[words] = (classes[at], n[at], root[at], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, words))
+            out[words] = (classes[at], n[at], root[at], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, words), [lower[i] for i in at])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_stage(None)
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                for w1, (c1, n1, r1, s1) in groups(left).items():
-                    for w2, (c2, n2, r2, s2) in groups(right).items():
+            packs = [batch.column(i) for i in range(1, batch.num_columns)]
+            for key, left, right in zip(batch.column(0).to_pylist(), packs[0], packs[-1]):
+                for w1, (c1, n1, r1, s1, k1) in (lefts := groups(key, left)).items():
+                    for w2, (c2, n2, r2, s2, k2) in (groups(key, right) if len(packs) > 1 else lefts).items():
                         x, y = _folded(s1, min(w1, w2)), _folded(s2, min(w1, w2))
                         for i in range(len(c1)):
                             able = np.flatnonzero((r2 != r1[i]) & (np.minimum(n2, n1[i]) * 100 >= np.maximum(n2, n1[i]) * percent))
+                            if len(packs) == 1:
+                                able = able[c2[able] > c1[i]]
                             if len(able):
                                 far = np.bitwise_count(x[i] ^ y[able]).sum(axis=1, dtype=np.int64)
                                 able = able[far <= _farthest(n2[able] + n1[i], percent)]
+                            able = np.array([j for j in able.tolist() if k1[i].isdisjoint(k2[j])], np.int64)
                             if len(able):
                                 a, b = np.minimum(c2[able], c1[i]), np.maximum(c2[able], c1[i])
                                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
@@ -305,6 +320,7 @@ def _tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
     """Pairs (a, b) that pass ``test(value of a, value of b)``; ``values``: class, value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_stage(None)
         for batch in batches:
             good = [test(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -337,6 +353,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
 
     first_of = table.where("sketch IS NOT NULL").groupBy("class").agg(F.first(F.struct("n", "sketch")).alias("value"), F.min("text_id").alias("text_id"))
     sketches = stage(first_of, "sketches")
+    rows = stage(table.select("doc_id", "n", "class"), "rows")
+    drop_staged(docs.sparkSession, table)
 
     def sized(a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -351,7 +369,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
 
     def exact(able: DataFrame, name: str) -> DataFrame:
         wanted = able.select(F.col("a").alias("class")).union(able.select("b")).distinct().join(sketches.select("class", "text_id"), "class")
-        return stage(_tested(able, _sets(docs, size, text, wanted), link), f"{name}-links")
+        found = stage(_tested(able, _sets(docs, size, text, wanted), link), f"{name}-links")
+        drop_staged(docs.sparkSession, able)
+        return found
 
     star = buckets.where(sized("n", "least_n")).select(F.col("least").alias("a"), F.col("class").alias("b"))
     chain = buckets.where("before IS NOT NULL").where(sized("n", "before_n")).select(F.col("before").alias("a"), F.col("class").alias("b"))
@@ -362,22 +382,31 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, key: s
     # buckets whose classes aren't all connected yet: in small ones all that are apart pair up,
     # in large ones their sketches meet chunk by chunk
     placed = buckets.select("key", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "class")).distinct()
+    placed = placed.withColumn("root", F.coalesce("root", "class")).repartition("key").distinct()  # dealt by key once, for all that follows
     sizes = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y")
     left = stage(placed.join(sizes.select("key", "members"), "key"), "apart")
     p, q = left.where(F.col("members") <= _SMALL).alias("p"), left.alias("q")
     across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.root") != F.col("q.root")) & sized("p.n", "q.n"))
     pairs = across.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = stage(_tested(pairs, sketches, close), "small-close")
+    drop_staged(docs.sparkSession, buckets)
     large = left.where(F.col("members") > _SMALL).withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / _CHUNK)))
-    member = F.struct("class", "value.n", "root", "value.sketch")
-    packs = large.drop("n").join(sketches, "class").groupBy("key", "chunk").agg(F.collect_list(member).alias("pack"))  # about _CHUNK members each
+    lowest = large.groupBy("class").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRST).alias("keys"))
+    member = F.struct("class", "value.n", "root", "value.sketch", "keys")
+    of_class = sketches.join(lowest, "class").select("class", "value", "keys")
+    packs = large.drop("n").join(of_class, "class").groupBy("key", "chunk", "members").agg(F.collect_list(member).alias("pack"))  # about _CHUNK members each
     packs = stage(packs, "packs")
-    other = packs.select("key", F.col("chunk").alias("chunk2"), F.col("pack").alias("pack2"))
-    met = packs.join(other, "key").where("chunk <= chunk2").select("pack", "pack2").mapInArrow(_near(percent), "a long, b long")
-    able = stage(_tested(pairs, sketches, close).union(met).distinct(), "second-close")
+    one, many = packs.where(F.col("members") <= _CHUNK), packs.where(F.col("members") > _CHUNK)  # only the chunks of several meet others
+    other = many.select("key", F.col("chunk").alias("chunk2"), F.col("pack").alias("pack2"))
+    met = one.select("key", "pack").mapInArrow(_near(percent), "a long, b long")
+    met = met.union(many.join(other, "key").where("chunk <= chunk2").select("key", "pack", "pack2").mapInArrow(_near(percent), "a long, b long"))
+    able = stage(pairs.union(met).distinct(), "second-close")
+    for done in (pairs, left, packs):
+        drop_staged(docs.sparkSession, done)
     second = exact(able, "second")
+    drop_staged(docs.sparkSession, sketches)
 
     roots = stage(components(first.union(second)), "roots")
-    members = table.join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", "class", F.coalesce("root", "class").alias("root"))
+    members = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", "class", F.coalesce("root", "class").alias("root"))
     least = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return members.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
