@@ -97,18 +97,20 @@ class Pieces:
         self._pairs()
 
     def _forget(self) -> None:
-        """Trees of no word.  A node has its word's hash, its candidates, for each the node below (-1: none, -2: asked for once), and its ids."""
+        """Trees of no word.  A node has its word's hash and whether the batch form can split it, its candidates, for each the node below (-1: none, -2: asked for once), and its ids."""
         self.root: dict[str, int] = {}
         self.node_word: list[str] = []
         self.skips: list[frozenset[int]] = []
         self.hashed, self.candidates, self.below, self.node_ids = (_Column(t) for t in (np.uint64, np.uint64, np.int32, np.int32))
         self.first, self.count, self.id_first, self.id_count = (_Column(np.int64) for _ in range(4))
+        self.plain = _Column(bool)
 
-    def _add(self, words: list[str], skips: list[frozenset[int]], ids: list[tuple[int, ...]], candidates: list[list[int]]) -> range:
+    def _add(self, words: list[str], plain: list[bool], skips: list[frozenset[int]], ids: list[tuple[int, ...]], candidates: list[list[int]]) -> range:
         """New nodes."""
         n = len(self.node_word)
         self.node_word += words
         self.skips += skips
+        self.plain.extend(plain)
         self.hashed.extend([xxhash.xxh3_64_intdigest(w.encode(), self.seed) for w in words])
         for rows, table, first, count in ((candidates, self.candidates, self.first, self.count), (ids, self.node_ids, self.id_first, self.id_count)):
             sizes = np.array([len(x) for x in rows], np.int64)
@@ -169,56 +171,72 @@ class Pieces:
 
     def words(self, words: list[str], draws: np.ndarray) -> list[tuple[int, ...]]:
         """``word`` for many words of at most ``_SHORT`` characters; their agendas step together."""
-        return self._words(words, draws)[0]
+        hashed = np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed) for w in words], np.uint64)
+        ids, count, _ = self._words(words, hashed + draws.astype(np.uint64) * _STEP)
+        return [tuple(x.tolist()) for x in np.split(ids, np.cumsum(count)[:-1])]
 
-    def _words(self, words: list[str], draws: np.ndarray | None) -> tuple[list[tuple[int, ...]], list[list[int]]]:
-        """Ids of each word, and without draws, so without dropout, the candidates in their order."""
+    def _words(self, words: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Ids of all words and how many each has, and without the keys of the draws, so without dropout, the candidates in their order.
+
+        A symbol, its start and the place of its pair with the next one are one
+        number, place first, so the smallest of a row is the next to merge.
+        """
         came: list[tuple[np.ndarray, np.ndarray]] = []
         n = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         none, width = self.none, int(n.max()) + 1
+        inside = np.arange(width)[None, :] < n[:, None]
         symbols = np.full((len(words), width), none, np.int32)
-        symbols[np.arange(width)[None, :] < n[:, None]] = self.symbol[codes]
-        start = np.broadcast_to(np.arange(width), symbols.shape).copy()
-        start = np.where(np.arange(width)[None, :] < n[:, None], start, n[:, None])
-        places = np.full(symbols.shape, none, np.int32)
+        symbols[inside] = self.symbol[codes]
+        places = np.full(symbols.shape, none, np.int64)
         places[:, :-1] = self._place_of(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(words), -1)
-        if draws is not None:
-            keys = np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed) for w in words], np.uint64) + draws.astype(np.uint64) * _STEP
-        rows, columns = np.arange(len(words)), np.arange(width)
-        while len(rows):
-            at = places[rows].argmin(axis=1)
-            best = places[rows, at]
-            rows, at, best = rows[best < none], at[best < none], best[best < none]
-            if self.limit and len(rows):
-                top = best.astype(np.uint64) << np.uint64(48) | start[rows, at].astype(np.uint64) << np.uint64(24)
-                top |= start[rows, np.minimum(at + 2, width - 1)].astype(np.uint64)
-                if draws is None:
-                    came.append((rows, top))
-                    skip = np.zeros(len(rows), bool)
+        held = places << 32 | np.where(inside, np.arange(width), n[:, None]) << 24 | symbols
+        low, never = (1 << 32) - 1, none << 32
+        own = np.arange(len(words))  # words still merging, and their rows
+        rows, columns = held, np.arange(width)
+        while len(own):
+            at = rows.argmin(axis=1)
+            top = rows[np.arange(len(own)), at]
+            on = top < never
+            if not on.all():
+                held[own[~on]] = rows[~on]
+                own, rows, at, top = own[on], rows[on], at[on], top[on]
+                if not len(own):
+                    break
+            i, best = np.arange(len(own)), top >> 32
+            if self.limit:
+                end = rows[i, np.minimum(at + 2, width - 1)] >> 24 & 0xFF
+                code = (best << 48 | (top >> 24 & 0xFF) << 24 | end).astype(np.uint64)
+                if keys is None:
+                    came.append((own, code))
                 else:
-                    skip = _hash(keys[rows] ^ top) < np.uint64(self.limit)
-                places[rows[skip], at[skip]] = none
-                done, at, best = rows[~skip], at[~skip], best[~skip]
-            else:
-                done = rows
+                    skip = np.flatnonzero(_hash(keys[own] ^ code) < np.uint64(self.limit))
+                    rows[skip, at[skip]] = top[skip] & low | never
+                    if len(skip):
+                        i = np.delete(i, skip)
+                        at, best = at[i], best[i]
             # the right symbol of each merge leaves its row, and the later ones move up
             source = np.minimum(columns[None, :] + (columns[None, :] > at[:, None]), width - 1)
-            for table in (symbols, start, places):
-                table[done] = np.take_along_axis(table[done], source, axis=1)
-            symbols[done, at] = best
-            places[done, at] = self._place_of(best, symbols[done, np.minimum(at + 1, width - 1)])
-            inner = at > 0
-            places[done[inner], at[inner] - 1] = self._place_of(symbols[done[inner], at[inner] - 1], best[inner])
+            moved = np.take_along_axis(rows if len(i) == len(rows) else rows[i], source, axis=1)
+            j = np.arange(len(i))
+            start = moved[j, at] >> 24 & 0xFF
+            right = moved[j, np.minimum(at + 1, width - 1)] & 0xFFFFFF
+            moved[j, at] = self._place_of(best, right).astype(np.int64) << 32 | start << 24 | best
+            inner = np.flatnonzero(at > 0)
+            before = moved[inner, at[inner] - 1]
+            moved[inner, at[inner] - 1] = self._place_of(before & 0xFFFFFF, best[inner]).astype(np.int64) << 32 | before & low
+            if len(i) == len(rows):
+                rows = moved
+            else:
+                rows[i] = moved
+        symbols = held & 0xFFFFFF
+        taken = symbols < none
         by_place = np.array([*self.ids, -1], np.int32)
-        flat, held = by_place[symbols], symbols < none
-        parts = flat[held].tolist()
-        ends = np.cumsum(held.sum(axis=1)).tolist()
-        candidates: list[list[int]] = [[] for _ in words]
-        for rows, tops in came:
-            for row, top in zip(rows.tolist(), tops.tolist()):
-                candidates[row].append(top)
-        return [tuple(parts[a:b]) for a, b in zip([0, *ends], ends)], candidates
+        candidates: list[list[int]] = [[] for _ in words] if keys is None else []
+        for which, codes in came:
+            for row, code in zip(which.tolist(), codes.tolist()):
+                candidates[row].append(code)
+        return by_place[symbols[taken]], taken.sum(axis=1), candidates
 
     def word(self, word: str, draw: int) -> tuple[int, ...]:
         """Ids of one word as the occurrence ``draw`` splits it."""
@@ -275,8 +293,12 @@ class Pieces:
         kept = set(plain)
         odd = [w for w in words if w not in kept]
         own = [self._agenda(w) for w in odd]
-        ids, candidates = self._words(plain, None) if plain else ([], [])
-        nodes = self._add(plain + odd, [frozenset()] * len(words), ids + [x for x, _ in own], candidates + [x for _, x in own])
+        ids, candidates = [], []
+        if plain:
+            flat, count, candidates = self._words(plain, None)
+            ends, flat = np.cumsum(count).tolist(), flat.tolist()
+            ids = [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+        nodes = self._add(plain + odd, [True] * len(plain) + [False] * len(odd), [frozenset()] * len(words), ids + [x for x, _ in own], candidates + [x for _, x in own])
         self.root.update(zip(plain + odd, nodes))
 
     def _drawn(self, nodes: np.ndarray, draws: np.ndarray) -> list[int]:
@@ -298,7 +320,7 @@ class Pieces:
                 skips = [self.skips[i] | {int(c)} for i, c in zip(node[again].tolist(), self.candidates.all()[place[again]].tolist())]
                 words = [self.node_word[i] for i in node[again].tolist()]
                 ids, came = zip(*(self._agenda(w, skips=x) for w, x in zip(words, skips)))
-                self.below.all()[place[again]] = self._add(words, skips, list(ids), list(came))
+                self.below.all()[place[again]] = self._add(words, self.plain.all()[node[again]], skips, list(ids), list(came))
             self.below.all()[place[child == -1]] = -2
             child = np.where(child == -2, self.below.all()[place], child)
             missing += at[child < 0].tolist()
@@ -328,24 +350,25 @@ class Pieces:
             new = [c for c in {c: 0 for c, f in zip(chunks, found) if f < 0} if len(c) <= 2 * _SHORT]
             if new:
                 self._learn(new)
-                found = [known(c, -1) for c in chunks]
+                found = [known(c, -1) if f < 0 else f for c, f in zip(chunks, found)]
         nodes = np.array(found, np.int64)
         alone = np.flatnonzero(nodes < 0).tolist()  # long words
-        rare = self._drawn(nodes, draws)
-        plain = [i for i in rare if self._plain(chunks[i])]
-        alone += set(rare).difference(plain)
+        rare = np.array(self._drawn(nodes, draws), np.int64)  # their nodes are those above the ones they ask for
+        batch = self.plain.all()[nodes[rare]] if len(rare) else np.zeros(0, bool)
+        plain = rare[batch]
+        alone += rare[~batch].tolist()
         own = [self.word(chunks[i], int(draws[i])) for i in alone]
-        if plain:
-            own += self.words([chunks[i] for i in plain], draws[plain])
-        alone += plain
         # ids of the nodes, and of the others after them
         first, count = self.id_first.all()[nodes] if self.root else nodes.copy(), self.id_count.all()[nodes] if self.root else nodes.copy()
+        kept = self.node_ids.size
         if alone:
             sizes = np.array([len(x) for x in own], np.int64)
             first[alone], count[alone] = self.node_ids.size + np.cumsum(sizes) - sizes, sizes
-        kept = self.node_ids.size
-        if alone:
             self.node_ids.extend(np.fromiter(chain.from_iterable(own), np.int32))
+        if len(plain):
+            ids, sizes, _ = self._words([chunks[i] for i in plain.tolist()], self.hashed.all()[nodes[plain]] + draws[plain] * _STEP)
+            first[plain], count[plain] = self.node_ids.size + np.cumsum(sizes) - sizes, sizes
+            self.node_ids.extend(ids)
         starts = np.append(0, np.cumsum(count))
         whole = self.node_ids.all()[np.arange(starts[-1]) + np.repeat(first - starts[:-1], count)]
         self.node_ids.size = kept  # the others aren't kept

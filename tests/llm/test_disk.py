@@ -1,4 +1,4 @@
-"""What operators leave on disk, and rows that repeat."""
+"""What operators leave on disk, and work that repeats."""
 
 import glob
 import os
@@ -6,10 +6,11 @@ import tempfile
 import time
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hubwarden.llm import parity_join
+from hubwarden.llm import merge_dropout, parity_join
 from hubwarden.session import shared_dir, stage
 
 
@@ -60,3 +61,17 @@ def test_a_pair_of_many_large_buckets_is_one_row():
     assert met([members]) == [(0, 1)]
     assert met([members[:1], members[1:]]) == [(0, 1)]
     assert met([members[1:], members[:1]]) == [(0, 1)]
+
+
+def test_occurrences_of_kept_words_are_not_looked_through_again(monkeypatch):
+    looked = []
+    real = merge_dropout.Pieces._plain
+    monkeypatch.setattr(merge_dropout.Pieces, "_plain", lambda self, word: looked.append(word) or real(self, word))
+    own = merge_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.5, 7)
+    text = "many repeated occurrences of several words, 東京 and Zürich " * 30
+    for i in range(4):
+        ids = own.encode([text, "", text], [i, 2, i + 9])
+        assert [own.decode(x).decode() for x in ids] == [text, "", text]
+    assert len(looked) == len(set(looked))  # once for each different word
+    words = {w for w in looked if real(own, w)}
+    assert own.words(sorted(words), np.arange(len(words))) == [own.word(w, i) for i, w in enumerate(sorted(words))]
