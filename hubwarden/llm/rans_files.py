@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +44,7 @@ _AT_ONCE = 32  # blocks that are coded together
 _PART = 1 << 22  # ids in a part
 _CACHE = 300_000
 _PARTS = 1_000_000
+_MARKS = bytes(c for c in range(33, 127) if chr(c) != "'" and not chr(c).isalnum())
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 _PIECES = "array<struct<row:int,doc_id:bigint,at:int,n:int>>"
@@ -73,37 +75,48 @@ class WordTokens:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _run(self, part: str) -> bytes:
+        """Ids of letters alone or marks alone, normal already: one run for the model, in its byte alphabet."""
+        own = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(own)]).tobytes()
+
     def _learn(self, new: list[bytes]) -> None:
-        split = {}
-        for word in new:
-            m = _PLAIN.fullmatch(word.decode())
-            split[word] = (m[1].lower().encode(), m[2].encode()) if m else (word,)
         if len(self.parts) > _PARTS:
             self.parts = {}
-        fresh = {p: len(ps) == 2 for ps in split.values() for p in ps if p not in self.parts}
-        for p in [p for p, plain in fresh.items() if plain]:
-            # letters alone or marks alone, normal already: one run for the model, in its byte alphabet
-            found = self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, p.decode())))
-            self.parts[p] = np.array([t.id for t in found], np.uint32).tobytes()
-        whole = [p for p, plain in fresh.items() if not plain]
-        for p, e in zip(whole, self.tokenizer.encode_batch_fast([p.decode() for p in whole], add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, np.uint32).tobytes()
         if len(self.young) > _CACHE:
             self.young, self.old = {}, self.young
-        for word, ps in split.items():
-            self.young[word] = b"".join(self.parts[p] for p in ps)
+        parts, young, whole = self.parts, self.young, []
+        for word in new:
+            letters = word.rstrip(_MARKS)
+            if letters.isalpha():  # of ASCII
+                low, marks = letters.lower(), word[len(letters) :]
+            elif not word.isascii() and (m := _PLAIN.fullmatch(word.decode())):
+                low, marks = m[1].lower().encode(), m[2].encode()
+            else:
+                whole.append(word)
+                continue
+            if (ids := parts.get(low)) is None:
+                ids = parts[low] = self._run(low.decode())
+            if marks:
+                if (more := parts.get(marks)) is None:
+                    more = parts[marks] = self._run(marks.decode())
+                ids += more
+            young[word] = ids
+        fresh = [w for w in whole if w not in parts]
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
+            parts[w] = array("I", e.ids).tobytes()
+        young.update((w, parts[w]) for w in whole)
 
     def _of(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            unmet = [w for w in dict.fromkeys(words) if w not in self.young]
+        young = self.young
+        if unmet := {w: None for w in words if w not in young}:
             again = {w: self.old[w] for w in unmet if w in self.old}
             self._learn([w for w in unmet if w not in again])
             self.young.update(again)
-            lost = [w for w in dict.fromkeys(words) if w not in self.young]  # when the young have just become the old
-            self.young.update((w, self.old[w]) for w in lost)
-            return b"".join(map(self.young.__getitem__, words))
+            if self.young is not young:  # the young have just become the old
+                young = self.young
+                young.update((w, self.old[w]) for w in {w: None for w in words if w not in young})
+        return b"".join(map(young.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
@@ -370,12 +383,15 @@ def document_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for pieces in batch.column("pieces").to_pylist():
-            value = pieces[0]["crc"]
-            for p in pieces[1:]:
-                value = crc32_joined(value, p["crc"], 4 * p["n"])
-            out.append(value)
+        pieces = batch.column("pieces")
+        ends, flat = pieces.offsets.to_numpy(), pieces.values
+        crc, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        out = crc[ends[:-1]]
+        for i in np.flatnonzero(np.diff(ends) > 1).tolist():  # most documents lie in one block
+            value = int(out[i])
+            for j in range(ends[i] + 1, ends[i + 1]):
+                value = crc32_joined(value, int(crc[j]), 4 * int(n[j]))
+            out[i] = value
         columns = [batch.column(i) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

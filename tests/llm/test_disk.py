@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hubwarden.llm import merge_dropout, parity_join
+from hubwarden.llm import merge_dropout, parity_join, rans_files
 from hubwarden.session import shared_dir, stage
 
 
@@ -75,3 +75,30 @@ def test_occurrences_of_kept_words_are_not_looked_through_again(monkeypatch):
     assert len(looked) == len(set(looked))  # once for each different word
     words = {w for w in looked if real(own, w)}
     assert own.words(sorted(words), np.arange(len(words))) == [own.word(w, i) for i, w in enumerate(sorted(words))]
+
+
+def test_ascii_words_are_learnt_from_their_bytes(monkeypatch):
+    class Latin:
+        def fullmatch(self, word, own=rans_files._PLAIN):
+            assert not word.isascii()
+            return own.fullmatch(word)
+
+    monkeypatch.setattr(rans_files, "_PLAIN", Latin())
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = rans_files.WordTokens(path)
+    words = ["Plain", "plain,", "don't", "it's!", "...", "(a)", "x1", "Zürich", "ZÜRICH!)", "naïve's", "東京", "a-b", "end'", "É", "\x7f", "~", "A" * 300]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(len(words))] + ["", " \n "]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts])):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_checksums_of_documents_in_several_blocks():
+    import zlib
+
+    parts = [b"abcd" * 3, b"efgh" * 5, b"ijkl"]
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("crc", pa.int64()), ("n", pa.int64())]))
+    lists = [[{"at": i, "crc": zlib.crc32(p), "n": len(p) // 4} for i, p in enumerate(own)] for own in (parts[:1], parts, parts[1:])]
+    arrays = [pa.array([7, 8, 9, 10], pa.int64())] * 3 + [pa.array([[], *lists], kind)]
+    batch = pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "pieces"]).slice(1)
+    (out,) = rans_files._combined([batch])
+    assert out.column(3).to_pylist() == [zlib.crc32(parts[0]), zlib.crc32(b"".join(parts)), zlib.crc32(b"".join(parts[1:]))]
