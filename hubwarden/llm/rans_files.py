@@ -42,6 +42,7 @@ STEPS = 256  # between checkpoints
 _LOW = np.uint64(1 << 31)
 _AT_ONCE = 32  # blocks that are coded together
 _PART = 1 << 22  # ids in a part
+_TOGETHER = 256  # documents whose ids are counted together
 _CACHE = 300_000
 _PARTS = 1_000_000
 _MARKS = bytes(c for c in range(33, 127) if chr(c) != "'" and not chr(c).isalnum())
@@ -167,8 +168,9 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                own = np.bincount(_ids(packed))
+            packs = batch.column(0)
+            for i in range(0, len(packs), _TOGETHER):
+                own = np.bincount(np.concatenate([_ids(p) for p in packs.slice(i, _TOGETHER).to_pylist()]))
                 if len(own) > len(total):
                     total = np.append(total, np.zeros(len(own) - len(total), np.int64))
                 total[: len(own)] += own
@@ -287,8 +289,18 @@ def write_files(tokens: DataFrame, folder: str) -> None:
     read_blocks(spark, folder).groupBy("part").agg(F.sum("n").alias("tokens")).coalesce(1).write.parquet(f"{folder}/parts")
 
 
+def _places(ids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Function from ids in use, ascending in ``ids``, to their places there: by a table where ids are small, as in any vocabulary."""
+    if not len(ids) or ids[-1] >= 1 << 22:
+        return lambda own: np.searchsorted(ids, own)
+    table = np.zeros(int(ids[-1]) + 1, np.int32)
+    table[ids] = np.arange(len(ids))
+    return table.__getitem__
+
+
 def _coded(batches: Iterator[pa.RecordBatch], ids: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> Iterator[tuple]:
     part, block, first, row = TaskContext.get().partitionId(), 0, 0, 0
+    place_of = _places(ids)
     held, docs, size = [], [], 0  # ids not yet coded, and the pieces (row, doc_id, start, n) they belong to
 
     def emit(last: bool) -> Iterator[tuple]:
@@ -299,7 +311,7 @@ def _coded(batches: Iterator[pa.RecordBatch], ids: np.ndarray, freq: np.ndarray,
         starts = np.array([d[2] for d in docs])
         for i in range(0, len(own), _AT_ONCE):
             some = own[i : i + _AT_ONCE]
-            for j, (ids_, coded) in enumerate(zip(some, encode_blocks([np.searchsorted(ids, s) for s in some], freq, cum))):
+            for j, (ids_, coded) in enumerate(zip(some, encode_blocks([place_of(s) for s in some], freq, cum))):
                 a = (i + j) * BLOCK
                 b = a + len(ids_)
                 near = docs[max(0, int(np.searchsorted(starts, a, "right")) - 1) : int(np.searchsorted(starts, b, "left"))]

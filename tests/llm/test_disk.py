@@ -102,3 +102,9 @@ def test_checksums_of_documents_in_several_blocks():
     batch = pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "pieces"]).slice(1)
     (out,) = rans_files._combined([batch])
     assert out.column(3).to_pylist() == [zlib.crc32(parts[0]), zlib.crc32(b"".join(parts)), zlib.crc32(b"".join(parts[1:]))]
+
+
+def test_places_of_ids():
+    for ids in ([1, 5, 9, 4000], [0, 7, 1 << 31], [3]):
+        own = np.array(ids, np.uint32)
+        assert rans_files._places(own)(own[::-1]).tolist() == list(range(len(ids)))[::-1]
