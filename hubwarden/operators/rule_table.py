@@ -11,7 +11,7 @@ same for one rule and for a hundred thousand, and the hits are those of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import cache, reduce
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -35,9 +35,12 @@ MAX_RULES = 100_000
 _ASCII_OF_ODD = "siik"
 _CANDIDATES = "array<struct<check:string,rule:string,mode:string,regex:string,linear:string>>"
 _COLUMNS = ("check", "rule", "mode", "ignore_case", "needles", "linear")
-_BITS = 24  # 2^24 bits tell which runs of bytes may be a key
-_WIDEST = 4096  # bytes of a key
-_SLICE = 1 << 18  # bytes of a text that are hashed together
+_FEWEST, _MOST = 24, 30  # powers of two between which the bits of a bitmap lie, 32 for a literal or more
+_SEGMENTS = 64  # a bitmap is made in so many pieces
+_WIDTHS = np.array([1, 2, 4, 8, 16, 64, 256, 1024, 4096])  # bytes of a key
+_LONGEST = 8191  # bytes of a literal that are looked for together
+_SLICE = 1 << 18  # bytes of text that are hashed together
+_TRIED = 1 << 18  # pairs of a place and a length that are hashed together
 _POINT = 0x9FB21C651E98DF25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,7 +163,7 @@ def _matches(text: Column, lowered: Column, rule: Column) -> Column:
 
 @cache
 def _powers(point: int) -> np.ndarray:
-    out = np.full(_SLICE + _WIDEST, point, np.uint64)
+    out = np.full(_SLICE + _LONGEST, point, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
@@ -180,110 +183,172 @@ def _sums(data: np.ndarray) -> np.ndarray:
 
 
 def _runs(sums: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` bytes, out of the sums of at most a slice and a key."""
+    """Hashes of all runs of ``width`` bytes, out of the sums of at most a slice and a literal."""
     return (sums[width:] - sums[:-width]) * _powers(pow(_POINT, -1, 1 << 64))[: max(0, len(sums) - width)]
 
 
-def _keys(runs: np.ndarray, width: int, folded: bool) -> np.ndarray:
-    return _mixed(runs * _STEP + np.uint64(2 * width + folded))
+def _runs_at(sums: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the runs that begin ``at`` and have a ``length`` each."""
+    return (sums[at + length] - sums[at]) * _powers(pow(_POINT, -1, 1 << 64))[at]
 
 
-def _places(runs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a key."""
-    return runs >> np.uint64(64 - _BITS), keys >> np.uint64(64 - _BITS)
+def _keys(runs: np.ndarray, length: np.ndarray | int, folded: bool) -> np.ndarray:
+    return _mixed(runs * _STEP + np.asarray(2 * length + folded).astype(np.uint64))
+
+
+def _whole_places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The four bits of a whole literal."""
+    for own in (keys, _mixed(keys * _STEP)):
+        yield own >> np.uint64(64 - bits)
+        yield own & np.uint64((1 << bits) - 1)
+
+
+def _set(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
 def _keyed_literals(literals: DataFrame) -> DataFrame:
-    """(literal, folded, width, key, place, place2) of each literal (literal, folded): that of its first and last run which fewer literals have."""
+    """(_id, folded, width, length, run, key, whole) of each literal (_id, folded, literal).
+
+    ``run`` and ``key`` are the hashes of its first ``width`` bytes, ``whole``
+    that of all its ``length`` bytes; of a very long one the first ones stand for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for at, (literal, folded) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                data = np.frombuffer(literal.encode(), np.uint8)
-                width = min(_WIDEST, 1 << (len(data).bit_length() - 1))
-                for end in {width, len(data)}:
-                    own = _runs(_sums(data[end - width : end]), width)
-                    key = _keys(own, width, folded)
-                    rows.append((at, width, key.view(np.int64)[0], *(int(p[0]) for p in _places(own, key))))
-            at, *columns = (pa.array(np.array(c, np.int64)) for c in (zip(*rows) if rows else [[]] * 5))
-            kept = [batch.column(0).take(at), batch.column(1).take(at)]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], ["literal", "folded", "width", "key", "place", "place2"])
-
-    both = literals.mapInArrow(run, "literal string, folded boolean, width long, key long, place long, place2 long")
-    shared = both.groupBy("key").agg(F.count("*").alias("n"))
-    least = F.min(F.struct("n", "key", "width", "place", "place2")).alias("least")
-    return both.join(shared, "key").groupBy("literal", "folded").agg(least).select("literal", "folded", "least.*").drop("n")
-
-
-def _bitmap(keyed: DataFrame) -> np.ndarray:
-    """2^24 bits, two for each key; at most 262,144 rows reach the driver."""
-    place = keyed.select(F.explode(F.array("place", "place2")).alias("place"))
-    some = place.selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, cast(pmod(place, 64) AS int)) AS bit")
-    bits = np.zeros(1 << (_BITS - 6), np.int64)
-    for word, bit in some.groupBy("word").agg(F.bit_or("bit")).collect():
-        bits[word] = bit
-    return bits.view(np.uint8)
-
-
-def _keys_met(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(_row, key) of the runs of each text (_row, as written, in lower case, without odd letters) that may be keys."""
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(keyed))
-    widths = [(r["folded"], r["width"]) for r in keyed.select("folded", "width").distinct().collect()]  # a few powers of two
-
-    def met(text: bytes | None, folded: bool) -> Iterator[np.ndarray]:
-        own = sorted(w for f, w in widths if f == folded)
-        if not text or not own:
+            for folded, literal in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                data = np.frombuffer(literal.encode()[:_LONGEST], np.uint8)
+                width = int(_WIDTHS[np.searchsorted(_WIDTHS, len(data), "right") - 1])
+                sums = _sums(data)
+                first, all_of_it = _runs(sums[: width + 1], width), _runs(sums, len(data))
+                own = (first, _keys(first, width, folded), _keys(all_of_it, len(data), folded))
+                rows.append((width, len(data), *(h.view(np.int64)[0] for h in own)))
+            columns = [pa.array(np.array(c, np.int64)) for c in (zip(*rows) if rows else [[]] * 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "folded", "width", "length", "run", "key", "whole"])
+
+    return literals.mapInArrow(run, "_id long, folded boolean, width long, length long, run long, key long, whole long")
+
+
+def _bitmap(keyed: DataFrame, bits: int, whole: bool) -> np.ndarray:
+    """2^bits bits, those of the literals' first runs or of the whole literals; tasks make it in segments."""
+    shift = bits - (_SEGMENTS.bit_length() - 1)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run, key = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            place = np.unique(np.concatenate([*_whole_places(key, bits)] if whole else [x >> np.uint64(64 - bits) for x in (run, key)]))
+            columns = [pa.array(x.astype(np.int64)) for x in (place >> np.uint64(shift), place)]
+            yield pa.RecordBatch.from_arrays(columns, ["segment", "place"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            segment, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for s in np.unique(segment).tolist():
+                at = place[segment == s] - (s << shift)
+                np.bitwise_or.at(own.setdefault(s, np.zeros(1 << (shift - 3), np.uint8)), at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for s, found in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["segment", "bits"])
+
+    places = keyed.select("run", "whole" if whole else "key").mapInArrow(placed, "segment long, place long")
+    out = np.zeros((_SEGMENTS, 1 << (shift - 3)), np.uint8)
+    for segment, found in places.repartition("segment").mapInArrow(joined, "segment long, bits binary").collect():
+        out[segment] = np.frombuffer(found, np.uint8)
+    return out.reshape(-1)
+
+
+def _literals_met(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(_row, whole) of the literals that each text (_row, as written, in lower case, without odd letters) holds, and very few others.
+
+    All texts of a batch are hashed together.  Where a first run may be a
+    literal's, the runs of all lengths that such literals have are looked up,
+    so literals that begin alike don't meet the texts which only hold that.
+    """
+    n = keyed.count()
+    bits = min(_MOST, max(_FEWEST, (32 * n).bit_length()))
+    shared = texts.sparkSession.sparkContext.broadcast([_bitmap(keyed, bits, whole) for whole in (False, True)])
+    lengths: dict[bool, dict[int, list[int]]] = {False: {}, True: {}}
+    for r in keyed.select("folded", "width", "length").distinct().collect():  # at most 16,382
+        lengths[r["folded"]].setdefault(r["width"], []).append(r["length"])
+
+    def met(column: pa.Array, folded: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows and hashes of what they hold."""
+        own = {w: np.sort(n) for w, n in lengths[folded].items()}
+        column = column.cast(pa.large_binary())
+        if not own or not len(column):
             return
-        bits, data = shared.value, np.frombuffer(text, np.uint8)
-        for start in range(0, len(data), _SLICE):
-            sums = _sums(data[start : start + _SLICE + own[-1] - 1])
-            for width in own:
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        first, whole = shared.value
+        for start in range(int(offsets[0]), int(offsets[-1]), _SLICE):
+            sums = _sums(data[start : min(start + _SLICE + _LONGEST - 1, int(offsets[-1]))])
+            for width, some in own.items():
                 runs = _runs(sums, width)[:_SLICE]
-                place = runs >> np.uint64(64 - _BITS)
-                runs = runs[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
-                keys = _keys(runs, width, folded)
-                _, place = _places(runs, keys)
-                yield keys[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
+                at = np.flatnonzero(_set(first, runs >> np.uint64(64 - bits)))
+                at = at[_set(first, _keys(runs[at], width, folded) >> np.uint64(64 - bits))]
+                row = np.searchsorted(offsets, start + at, "right") - 1
+                room = offsets[row + 1] - start - at
+                step = max(1, _TRIED // len(some))
+                for i in range(0, len(at), step):
+                    place, k = np.nonzero(some <= room[i : i + step, None])
+                    place += i
+                    keys = _keys(_runs_at(sums, at[place], some[k]), some[k], folded)
+                    hit = np.ones(len(keys), bool)
+                    for bit in _whole_places(keys, bits):
+                        hit &= _set(whole, bit)
+                    yield row[place[hit]], keys[hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, row in enumerate(batch.column(0).to_pylist()):
-                found = [k for i, folded in ((1, False), (2, True), (3, True)) for k in met(batch.column(i)[at].as_py(), folded)]
-                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys.view(np.int64))], ["_row", "key"])
+            found = [f for i, folded in ((1, False), (2, True), (3, True)) for f in met(batch.column(i), folded)]
+            if found:
+                rows, keys = (np.concatenate(c) for c in zip(*found))
+                pairs = np.unique(np.stack([rows.astype(np.uint64), keys], axis=1), axis=0)
+                own = batch.column(0).take(pa.array(pairs[:, 0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(pairs[:, 1].view(np.int64))], ["_row", "whole"])
 
-    return texts.mapInArrow(run, "_row long, key long")
+    return texts.mapInArrow(run, "_row long, whole long")
 
 
-def _joined(numbered: DataFrame, rules: DataFrame) -> DataFrame:
-    """(columns of ``numbered``, check, rule, matches) of the rules that hit, one row each; ``numbered`` has ``_row``, ``_text`` and ``_off``."""
+def _tried(numbered: DataFrame, rules: DataFrame) -> DataFrame:
+    """(columns of ``numbered``, _rule) of the rules that may hit a text, one row each."""
     any_case = F.coalesce("ignore_case", F.lit(False))
     whole = F.col("mode").isin("phrase", "literal")
     proves = F.forall("needles", lambda n: F.coalesce((n != "") & ~(any_case & n.rlike(r"[^\x00-\x7F]")), F.lit(False)))
     needles = F.when(F.col("needles").isNotNull() & proves, F.when(any_case, F.transform("needles", F.lower)).otherwise(F.col("needles")))
     literals = F.when(whole, F.when(F.col("rule") != "", F.array("rule"))).otherwise(needles)
-    java = [
-        F.when(~whole, F.concat(F.when(any_case, "(?idU)").otherwise("(?dU)"), c)).alias(name)
-        for c, name in ((F.col("rule"), "regex"), (F.col("linear"), "linear"))
-    ]
-    rule = F.struct("check", "rule", "mode", *java, F.struct("ignore_case", "needles").alias("other"))
     folded = (F.col("mode") == "phrase") | ~whole & any_case
-    own = rules.select(*_COLUMNS).distinct().select(rule.alias("_rule"), folded.alias("folded"), literals.alias("literals"))
+    rule = F.struct("check", "rule", "mode", "linear", (~whole).alias("pattern"), any_case.alias("any_case"))
+    own = rules.select(*_COLUMNS).distinct().select(F.monotonically_increasing_id().alias("_id"), rule.alias("_rule"), folded.alias("folded"), literals.alias("literals"))
     own = stage(own, "rules")
-    each = own.where("size(literals) > 0").select("_rule", "folded", F.explode("literals").alias("literal"))
-    keyed = stage(_keyed_literals(each.select("literal", "folded").distinct()), "keys")
+    keyed = stage(_keyed_literals(own.where("size(literals) > 0").select("_id", "folded", F.explode("literals").alias("literal"))), "keys")
 
     body, lowered = F.col("_text"), F.lower("_text")
     plain = F.when(contains_any(body, ODD_CASE), F.lower(F.translate(body, "".join(ODD_CASE), _ASCII_OF_ODD)))
     texts = numbered.where("_text IS NOT NULL").select("_row", *(c.cast("binary") for c in (body, lowered, plain)))
-    may = _keys_met(texts, keyed).join(each.join(keyed, ["literal", "folded"]).select("key", "_rule"), "key").select("_row", "_rule").distinct()
+    # rules are numbers until each meets its texts
+    may = _literals_met(texts, keyed).join(keyed.select("whole", "_id"), "whole").select("_row", "_id").distinct()
+    tried = numbered.join(may.join(own.select("_id", "_rule"), "_id").drop("_id"), "_row")
     always = own.where("literals IS NULL OR size(literals) = 0").select("_rule")
-    found = [numbered.join(may, "_row"), numbered.where("_text IS NOT NULL").crossJoin(always)]
-    tried = reduce(DataFrame.unionByName, found).where(~F.array_contains("_off", F.col("_rule.check")))
-    tried = once(tried, "_matches", _matches(body, lowered, F.col("_rule"))).where("_matches > 0")
-    hit = F.struct(F.col("_rule.check").alias("check"), F.col("_rule.rule").alias("rule"), F.col("_matches").alias("matches"))
+    n = always.count()
+    if not n:
+        return tried
+    # every task of texts reads all of these, so they lie in few parts
+    return tried.unionByName(numbered.where("_text IS NOT NULL").crossJoin(always.coalesce(1 + n // 10_000)))
+
+
+def _joined(numbered: DataFrame, rules: DataFrame) -> DataFrame:
+    """(columns of ``numbered``, check, rule, matches) of the rules that hit, one row each; ``numbered`` has ``_row``, ``_text`` and ``_off``."""
+    body, rule = F.col("_text"), F.col("_rule")
+    tried = _tried(numbered, rules).where(~F.array_contains("_off", rule["check"]))
+    java = [
+        F.when(rule["pattern"], F.concat(F.when(rule["any_case"], "(?idU)").otherwise("(?dU)"), rule[c])).alias(name)
+        for c, name in (("rule", "regex"), ("linear", "linear"))
+    ]
+    tried = tried.withColumn("_rule", F.struct(rule["check"].alias("check"), rule["rule"].alias("rule"), rule["mode"].alias("mode"), *java))
+    tried = once(tried, "_matches", _matches(body, F.lower(body), rule)).where("_matches > 0")
+    hit = F.struct(rule["check"].alias("check"), rule["rule"].alias("rule"), F.col("_matches").alias("matches"))
     return tried.select(*numbered.columns, hit.alias("_hit"))
 
 

@@ -106,6 +106,21 @@ def test_more_rules_than_a_task_holds(spark):
     assert got == [(0, "many", words[7], 1), (0, "many", words[-1], 1)]
 
 
+def test_only_rules_whose_literal_a_text_holds_meet_it(spark, monkeypatch):
+    """Many rules that begin or end alike: a text meets those it holds, not all that share eight bytes with it."""
+    tails = [f"{a}{b}{c}" for a in "aeiou" for b in "bdfgh" for c in "klmnp"]
+    words = [f"then the {t}" for t in tails] + [f"{t} and that" for t in tails]
+    texts = [f"{words[i]}, then the way {words[-i - 1]} or {tails[i]} and this" for i in range(40)] + ["then the " * 50, "then the abk"[:9], "abk and that"]
+    table = spark.createDataFrame([(w,) for w in words], "rule string").selectExpr(
+        "'many' AS check", "rule", "'literal' AS mode", "false AS ignore_case", "cast(null AS array<string>) AS needles", "cast(null AS string) AS linear"
+    )
+    tried, joined = [], rule_table.once
+    monkeypatch.setattr(rule_table, "once", lambda df, *args: (tried.append(df.count()), joined(df, *args))[1])
+    got = _rows(rule_table.find_rules(_texts(spark, *texts), "text", table, ["id"], held=0))
+    assert [(r[0], r[2]) for r in got] == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
+    assert len(got) == 81 and tried[0] < 100
+
+
 def _many(n):
     return [Family("many", [Pattern(rf"marker_{i}_\d+", True, (f"marker_{i}_",)) for i in range(n)], "count")]
 
