@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns in every operator and stage."""
 
 import math
+import os
+import random
 
 import numpy as np
 import public_tokenizers
@@ -246,3 +248,20 @@ def test_stages_judge_rows_and_not_ids(spark, sf):
     assert sorted(map(tuple, left), key=str) == sorted([(1, copy), (7, "a text of its own"), (None, None), (9, leak), (9, "clean"), (10, ""), (10, "")], key=str)
     left = corpus_pipeline.drop_leaks(spark, docs, sf).select("doc_id", "text").collect()
     assert sorted(map(tuple, left), key=str) == sorted([x for x in texts if x[1] not in (leak, copy)], key=str)
+
+
+def test_ngrams_are_no_tables(spark, monkeypatch):
+    """Nearly all n-grams of random words differ; nothing staged may be much larger than the text."""
+    rng, sizes, staged = random.Random(4), {}, katz.stage
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(500)) for _ in range(400)]
+
+    def measured(df, name, *more):
+        out = staged(df, name, *more)
+        sizes[f"{name} {len(sizes)}"] = sum(os.path.getsize(f.split(":", 1)[1]) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(katz, "stage", measured)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scored = katz.score_documents(docs, katz.train(katz.gram_table(docs)), "text", "doc_id")
+    assert scored.agg(F.sum("n_tokens")).first()[0] == 501 * 400
+    assert max(sizes.values()) < 2 * sum(map(len, texts)), sizes
